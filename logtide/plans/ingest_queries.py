@@ -30,7 +30,7 @@ BROKEN = "event_id % 71 = 0 OR event_id % 73 = 0"
 )
 def read_raw_logs(spark, sf_dir):
     good, _ = topics.quarantine_undecodable(topics.parse_raw_logs(inputs.raw_json(spark, sf_dir)))
-    return good.withColumnRenamed("timestamp", "time_text").drop("metadata")
+    return good.withColumnRenamed("timestamp", "time_text").drop("metadata", "value")
 
 
 @query(

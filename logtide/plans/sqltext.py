@@ -94,4 +94,3 @@ rates AS (SELECT {ak}, a.ts, a.value, coalesce(sum(b.step) FILTER (WHERE b.befor
   GROUP BY {ak}, a.ts, a.value)"""
 
 
-__all__ = ["AS_OF", "END", "RESET"]
