@@ -66,8 +66,17 @@ def chunk_exits(ttl: int):
     return exits
 
 
-def anchor_times(times: DataFrame, keys: list[str], ttl_us: int, chunk_us: int | None = None) -> DataFrame:
-    """(keys, us) of the anchors, from distinct (keys, us) rows. The result has one row per anchor."""
+def anchor_times(
+    times: DataFrame,
+    keys: list[str],
+    ttl_us: int,
+    chunk_us: int | None = None,
+    carried: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, us) of the anchors, from distinct (keys, us) rows. The result has one row per anchor.
+
+    ``carried`` (keys, free) says until when earlier alerts suppress a key.
+    """
     chunk_us = chunk_us or CHUNK_TTLS * ttl_us
     chunks = (
         times.groupBy(*keys, F.floor(F.col("us") / chunk_us).alias("chunk"))
@@ -83,16 +92,18 @@ def anchor_times(times: DataFrame, keys: list[str], ttl_us: int, chunk_us: int |
         entry = F.struct(step["chunk"].alias("chunk"), acc["free"].alias("free"))
         return F.struct(free.alias("free"), F.concat(acc["entries"], F.array(entry)).alias("entries"))
 
+    per_key = steps.groupBy(*keys).agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    never = F.lit(-(2**62)).cast("bigint")
+    if carried is not None:
+        per_key = per_key.join(carried.select(*keys, F.col("free").alias("_free")), keys, "left")
+        never = F.coalesce("_free", never)
     start = F.struct(
-        F.lit(-(2**62)).cast("bigint").alias("free"),
+        never.alias("free"),
         F.array().cast("array<struct<chunk:bigint,free:bigint>>").alias("entries"),
     )
-    entries = (
-        steps.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("step")).alias("steps"))
-        .select(*keys, F.explode(F.aggregate("steps", start, advance)["entries"]).alias("e"))
-        .select(*keys, "e.*")
-    )
+    entries = per_key.select(
+        *keys, F.explode(F.aggregate("steps", start, advance)["entries"]).alias("e")
+    ).select(*keys, "e.*")
 
     def replay(acc: Column, t: Column) -> Column:
         notify = F.struct((t + ttl_us).alias("free"), F.concat(acc["anchors"], F.array(t)).alias("anchors"))
@@ -111,12 +122,16 @@ def dedup_alerts(
     time: str = "detected_at",
     id_col: str = "alert_id",
     clears: DataFrame | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``deduplicated``: true if the alert repeats one that notified less than the TTL before.
 
     At equal time and key the smallest id notifies. An alert without key is never a duplicate. ``clears``
-    (key, cleared_at) ends suppression: the next alert of the key notifies again.
+    (key, cleared_at) ends suppression: the next alert of the key notifies again. ``carried`` (key, free) holds
+    the suppression still open from alerts before these, as a stream keeps it.
     """
+    if clears is not None and carried is not None:
+        raise ValueError("clears need the whole history of a key")
     rows = alerts.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
     if key not in rows.columns:
         rows = with_dedup_key(rows, key)
@@ -129,7 +144,7 @@ def dedup_alerts(
         .groupBy(*keys, F.col("_us").alias("us"))
         .agg(F.min(id_col).alias("_first"))
     )
-    anchors = anchor_times(firsts.select(*keys, "us"), keys, ttl_seconds * MICROS)
+    anchors = anchor_times(firsts.select(*keys, "us"), keys, ttl_seconds * MICROS, carried=carried)
     notified = firsts.join(anchors, [*keys, "us"], "left_semi").withColumnsRenamed(
         {"us": "_us", "_first": id_col}
     ).withColumn("_notified", F.lit(True))
@@ -140,6 +155,24 @@ def dedup_alerts(
     )
 
 
+def open_suppressions(
+    flagged: DataFrame,
+    ttl_seconds: int,
+    carried: DataFrame | None = None,
+    late_seconds: int = 600,
+    key: str = "dedup_key",
+    time: str = "detected_at",
+) -> DataFrame:
+    """(key, free) to carry into the next batch: one row per key whose suppression may still matter."""
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    notified = flagged.filter(~F.col("deduplicated") & F.col(key).isNotNull())
+    ends = notified.groupBy(key).agg((F.max(us) + ttl_seconds * MICROS).alias("free"))
+    if carried is not None:
+        ends = ends.unionByName(carried.select(key, "free")).groupBy(key).agg(F.max("free").alias("free"))
+    horizon = flagged.agg(F.max(us) - late_seconds * MICROS).scalar()
+    return ends.filter(F.coalesce(F.col("free") > horizon, F.lit(True)))
+
+
 def _number_clears(rows: DataFrame, clears: DataFrame, key: str) -> DataFrame:
     """Add ``_epoch``, the number of clears of the key before the row. Clears are rare operator actions."""
     per_key = clears.groupBy(key).agg(

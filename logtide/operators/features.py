@@ -11,6 +11,14 @@ from logtide.schemas import FEATURES
 MICROS = 1_000_000
 
 
+def counts_per_micro(
+    df: DataFrame, key: str = "service", time: str = "event_time", distinct_micros: bool = False
+) -> DataFrame:
+    """(key, _us, _n): rows per key and microsecond, combined before the shuffle."""
+    n = F.lit(1).cast("bigint") if distinct_micros else F.count(F.lit(1))
+    return df.groupBy(key, F.unix_micros(F.col(time).cast("timestamp")).alias("_us")).agg(n.alias("_n"))
+
+
 def rolling_count(
     df: DataFrame,
     window_seconds: int = 60,
@@ -19,6 +27,7 @@ def rolling_count(
     out: str = "request_count_last_60s",
     distinct_micros: bool = False,
     slice_seconds: int | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of the same key in (t - window, t], counted at every row.
 
@@ -26,14 +35,16 @@ def rolling_count(
     opens at t and closes at t + window; a running sum of openings and closings is the rolling count, linear
     in the rows. The running sum goes over (key, time slice): counts still open at the end of a slice are
     opened again at the start of the next, so a busy key spreads over as many tasks as it has slices.
-    ``distinct_micros`` counts a microsecond once, however many rows it has.
+    ``distinct_micros`` counts a microsecond once, however many rows it has. ``carried`` holds counts per
+    (key, microsecond) of rows seen before ``df``, as a stream keeps them.
     """
     window = window_seconds * MICROS
     slice_len = max(window, (slice_seconds or 5 * window_seconds) * MICROS)
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    n = F.lit(1).cast("bigint") if distinct_micros else F.count(F.lit(1))
-    rows = df.withColumn("_us", us)
-    per_us = rows.groupBy(key, "_us").agg(n.alias("_n"))
+    rows = df.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
+    per_us = counts_per_micro(df, key, time, distinct_micros)
+    if carried is not None:
+        both = F.max("_n") if distinct_micros else F.sum("_n")
+        per_us = per_us.unionByName(carried.select(key, "_us", "_n")).groupBy(key, "_us").agg(both.alias("_n"))
 
     this_slice = F.floor(F.col("_us") / slice_len)
     close = F.col("_us") + window
@@ -85,10 +96,11 @@ def extract_features(
     labels: DataFrame | None = None,
     window_seconds: int = 60,
     time: str = "event_time",
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Add the ``features`` struct to normalised rows. Without ``labels`` the services of ``df`` define them."""
     labels = service_labels(df, time=time) if labels is None else labels
-    counted = rolling_count(df, window_seconds, time=time, out="_count")
+    counted = rolling_count(df, window_seconds, time=time, out="_count", carried=carried)
     return encode_services(counted, labels, out="_service").withColumn(
         "features", feature_struct(time)
     ).drop("_count", "_service")

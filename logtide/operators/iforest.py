@@ -125,17 +125,25 @@ def fit_iforest(
     seed: int = 42,
     scaled: bool = True,
 ) -> ForestModel:
-    """Fit scaler, trees and offset. Repeatable: sampling depends on seed and row id, not on partitions."""
-    scaler_rows = None
+    """Fit scaler, trees and offset. Repeatable: sampling depends on seed and row id, not on partitions.
+
+    ``df`` is read three times (scaler and row count, tree samples, offset), so give it as a stored table.
+    """
+    spark = df.sparkSession
+    fitted = fit_scaler(df, columns, struct).collect()
+    n = fitted[0]["n"]
+    if not n:
+        raise ValueError("no training rows")
+    psi = min(256 if max_samples == "auto" else int(max_samples), n)
     if scaled:
-        scaler_rows = fit_scaler(df, columns, struct).collect()
-        exprs = scale_columns(scaler_rows, struct)
+        exprs = scale_columns(fitted, struct)
+        scaler = spark.createDataFrame(
+            [(r["feature"], r["mean"], r["scale"]) for r in fitted], "feature string, mean double, scale double"
+        )
     else:
         exprs = {c: F.col(f"{struct}.{c}" if struct else c).cast("double") for c in columns}
+        scaler = None
     rows = df.select(F.col(id_col), *[e.alias(c) for c, e in exprs.items()])
-    n = rows.count()
-    psi = min(256 if max_samples == "auto" else int(max_samples), n)
-    spark = df.sparkSession
     nodes = grow_forest(tree_samples(rows, columns, id_col, trees, psi, n, seed), columns, seed)
     nodes = spark.createDataFrame(nodes.toArrow())  # at most trees * (2 * psi - 1) rows
     meta = {
@@ -148,9 +156,6 @@ def fit_iforest(
         "training_rows": n,
         "offset": 0.0,
     }
-    scaler = None
-    if scaler_rows is not None:
-        scaler = spark.createDataFrame(scaler_rows, "feature string, mean double, scale double")
     model = ForestModel(nodes, scaler, meta)
     raw = rows.select(raw_score(model, [F.col(c) for c in columns]).alias("raw"))
     meta["offset"] = forest_offset(raw, contamination).first()["offset"]

@@ -16,7 +16,7 @@ def feature_values(df: DataFrame, columns: list[str], features: str = "features"
 
 
 def fit_scaler(df: DataFrame, columns: list[str], struct: str | None = "features") -> DataFrame:
-    """(feature, mean, scale), one row per feature, in one pass. A constant feature gets scale 1."""
+    """(feature, mean, scale, n), one row per feature, in one pass. A constant feature gets scale 1."""
     stats = []
     for c in columns:
         value = F.col(f"{struct}.{c}" if struct else c).cast("double")
@@ -26,6 +26,7 @@ def fit_scaler(df: DataFrame, columns: list[str], struct: str | None = "features
                 F.lit(c).alias("feature"),
                 F.avg(value).alias("mean"),
                 F.when(spread > 0, spread).otherwise(1.0).alias("scale"),
+                F.count(F.lit(1)).alias("n"),
             )
         )
     return df.agg(F.explode(F.array(*stats)).alias("s")).select("s.*")
