@@ -21,15 +21,18 @@ ISO_TIME = (
     r"([ T]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
 COMPACT_TIME = r"^\d{8}T\d{6}$"
+ACCESS_LOG_TIME = r"^\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$"
 
 
-def normalise_level(col: Column) -> Column:
+def canonical_level(name: Column) -> Column:
     """One of DEBUG, INFO, WARN, ERROR, CRITICAL; unknown and null become INFO."""
-    name = F.upper(strip(col))
-    result = F.when(F.lit(False), F.lit(None).cast("string"))
-    for level, spellings in LEVEL_SPELLINGS.items():
-        result = result.when(name.isin(spellings), level)
-    return result.otherwise("INFO")
+    pairs = [F.lit(x) for level, names in LEVEL_SPELLINGS.items() for name in names for x in (name, level)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), name), F.lit("INFO"))
+
+
+def normalise_level(col: Column) -> Column:
+    """``canonical_level`` of a level as the source wrote it."""
+    return canonical_level(F.upper(strip(col)))
 
 
 def parse_iso(col: Column) -> Column:
@@ -39,10 +42,15 @@ def parse_iso(col: Column) -> Column:
     )
 
 
+def parse_access_log(col: Column) -> Column:
+    """Time as web server access logs write it. The pattern check keeps other texts off the slow parser."""
+    parsed = F.try_to_timestamp(col, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+    return F.when(col.rlike(ACCESS_LOG_TIME), parsed)
+
+
 def normalise_timestamp(text: Column, epoch_seconds: Column | None, default: Column) -> Column:
-    """Event time from ISO text, access-log text or a numeric epoch, else ``default``."""
-    text = strip(text)
-    parsed = [parse_iso(text), F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))]
+    """Event time from stripped ISO text, access-log text or a numeric epoch, else ``default``."""
+    parsed = [parse_iso(text), parse_access_log(text)]
     if epoch_seconds is not None:
         # 0001-01-01 .. 9999-12-31, the range a calendar date can take
         in_range = epoch_seconds.between(-62135596800.0, 253402300799.0)
@@ -58,16 +66,15 @@ def source_hour(text: Column, utc_time: Column) -> Column:
 
 
 def safe_double(col: Column, default: float | None = None) -> Column:
-    """Number from text, else ``default``. A type suffix as in ``1.5d`` does not belong to a number."""
-    text = strip(col.cast("string"))
-    number = F.when(~text.rlike(r"[0-9.][dDfF]$"), text.try_cast("double"))
+    """Number from text, else ``default``; blanks around it are ignored, a type suffix as in ``1.5d`` is not."""
+    text = col.cast("string")
+    number = F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 
 
 def safe_int(col: Column) -> Column:
-    """Integer from text; a text with a fraction is not an integer."""
-    text = strip(col.cast("string"))
-    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+    """Integer from text, blanks around it ignored; a text with a fraction is not an integer."""
+    return col.cast("string").try_cast("int")
 
 
 def clean_latency(col: Column) -> Column:

@@ -21,6 +21,11 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+def is_blank(col: Column) -> Column:
+    """True for a text without any visible character; stops at the first one it meets."""
+    return ~col.rlike(f"[^{WHITESPACE}]")
+
+
 def clean_text(col: Column, max_len: int | None = None) -> Column:
     """Stripped text, null when blank, cut to ``max_len``."""
     text = F.nullif(strip(col.cast("string")), F.lit(""))

@@ -46,21 +46,22 @@ def rolling_count(
         both = F.max("_n") if distinct_micros else F.sum("_n")
         per_us = per_us.unionByName(carried.select(key, "_us", "_n")).groupBy(key, "_us").agg(both.alias("_n"))
 
-    this_slice = F.floor(F.col("_us") / slice_len)
-    close = F.col("_us") + window
-    close_slice = F.floor(close / slice_len)
+    def slice_start(at):
+        return at - F.pmod(at, F.lit(slice_len))
 
     def step(part, at, delta, real):
         return F.struct(part.alias("part"), at.alias("at"), delta.alias("delta"), F.lit(real).alias("real"))
 
+    opened, closed = F.col("_us"), F.col("_us") + window
+    carry = F.array(step(slice_start(closed), slice_start(closed), F.col("_n"), False))
     steps = F.array(
-        step(this_slice, F.col("_us"), F.col("_n"), True),
-        step(close_slice, close, -F.col("_n"), False),
-        F.when(close_slice > this_slice, step(close_slice, close_slice * slice_len, F.col("_n"), False)),
+        step(slice_start(opened), opened, F.col("_n"), True),
+        step(slice_start(closed), closed, -F.col("_n"), False),
     )
+    steps = F.when(slice_start(closed) > slice_start(opened), F.concat(steps, carry)).otherwise(steps)
     running = Window.partitionBy(key, "part").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     counts = (
-        per_us.select(key, F.explode(F.array_compact(steps)).alias("s"))
+        per_us.select(key, F.explode(steps).alias("s"))
         .select(key, "s.*")
         .withColumn(out, F.sum("delta").over(running))
         .filter("real")

@@ -21,6 +21,8 @@ from logtide.schemas import FEATURE_COLUMNS
 
 EULER = 0.5772156649
 MAX_NODES = 4_000_000
+# Rows kept for sampling, as a multiple of the sample size of a tree.
+POOL = 64
 
 NODES = T.StructType(
     [
@@ -81,20 +83,27 @@ class ForestModel:
         return self.meta["features"]
 
 
+def hash_bound(share: float) -> int:
+    """Largest 64-bit hash among the lowest ``share`` of all hashes."""
+    return 2**63 - 1 if share >= 1.0 else int(-(2**63) + share * (2**64 - 1))
+
+
 def tree_samples(rows: DataFrame, columns: list[str], id_col: str, trees: int, psi: int, n: int, seed: int):
-    """(tree, order, features): for each tree the ``psi`` rows with the smallest seeded hash.
+    """(tree, pos, features): for each tree ``psi`` rows without repeats, chosen by seeded hash.
 
-    A row is a candidate of a tree if its hash is under a bound that leaves about 2*psi+64 candidates per tree
-    however many rows there are; only candidates are shuffled.
+    One hash per row first keeps a pool of about ``POOL * psi`` rows, so the work per row does not grow with the
+    number of trees. In the pool a row is a candidate of a tree if its hash for that tree is under a bound that
+    leaves about 2*psi+64 candidates per tree; the ``psi`` smallest are taken. Only candidates are shuffled.
     """
-    share = min(1.0, (2 * psi + 64) / max(n, 1))
-    bound = int(-(2**63) + share * (2**64 - 1)) if share < 1.0 else 2**63 - 1
+    in_pool = min(1.0, POOL * psi / max(n, 1))
+    pool = rows.filter(F.xxhash64(F.lit(seed), F.col(id_col)) <= F.lit(hash_bound(in_pool)))
+    share = min(1.0, (2 * psi + 64) / max(in_pool * n, 1.0))
     picks = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(id_col)).alias("h")),
+        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed + 1), t, F.col(id_col)).alias("h")),
     )
-    candidates = rows.select(
-        *columns, F.col(id_col), F.explode(F.filter(picks, lambda p: p["h"] <= bound)).alias("p")
+    candidates = pool.select(
+        *columns, F.col(id_col), F.explode(F.filter(picks, lambda p: p["h"] <= hash_bound(share))).alias("p")
     ).select("p.tree", "p.h", *columns, F.col(id_col).cast("string").alias("_id"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", "_id"))
     return candidates.withColumn("pos", rank).filter(F.col("pos") <= psi).drop("h", "_id")

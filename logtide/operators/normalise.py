@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions import normalise as N
-from logtide.functions.text import clean_text, strip
+from logtide.functions.text import strip
 from logtide.operators.ingest import assign_log_ids
 from logtide.operators.validate import quarantine_malformed
 
@@ -22,25 +22,31 @@ def normalise_logs(
     A record without readable time gets its ingest time, else ``as_of`` (default: now).
     """
     as_of = F.current_timestamp() if as_of is None else as_of
-    usable, _ = quarantine_malformed(raw)
-    usable = assign_log_ids(usable, repeatable_ids)
-    have = raw.columns
-    ingested = N.parse_iso(strip(F.col("ingested_at").cast("string"))) if "ingested_at" in have else F.lit(None)
+    have = dict(raw.dtypes)
+    # strip once; everything below works on the stripped texts
+    texts = [c for c in ("service", "level", "message", "host", "timestamp", "ingested_at") if have.get(c) == "string"]
+    usable, _ = quarantine_malformed(assign_log_ids(raw, repeatable_ids))
+    usable = usable.withColumns({f"_{c}": strip(F.col(c)) for c in texts})
+    ingested = F.lit(None)
+    if "ingested_at" in have:
+        ingested = N.parse_iso(F.col("_ingested_at")) if "ingested_at" in texts else F.col("ingested_at")
     epoch = F.col("epoch_seconds") if "epoch_seconds" in have else None
     default = F.coalesce(ingested.cast("timestamp"), as_of)
-    if dict(raw.dtypes)["timestamp"] == "string":
-        event_time = N.normalise_timestamp(F.col("timestamp"), epoch, default)
+    if "timestamp" in texts:
+        event_time = N.normalise_timestamp(F.col("_timestamp"), epoch, default)
     else:
         event_time = F.coalesce(F.col("timestamp").cast("timestamp"), default)
+    numeric = have["response_time_ms"] == "double"
+    latency = F.coalesce("response_time_ms", F.lit(0.0)) if numeric else N.safe_double(F.col("response_time_ms"), 0.0)
     return usable.withColumns(
         {
-            "service": N.clean_service(F.col("service")),
-            "level": N.normalise_level(F.col("level")),
-            "message": strip(F.col("message")),
-            "host": clean_text(F.col("host"), 253),
+            "service": F.lower("_service"),
+            "level": N.canonical_level(F.upper("_level")),
+            "message": F.col("_message"),
+            "host": F.left(F.nullif("_host", F.lit("")), F.lit(253)),
             "event_time": event_time,
-            "response_time_ms": N.clean_latency(F.col("response_time_ms")),
+            "response_time_ms": F.greatest(F.lit(0.0), latency),
             "error_code": N.clean_error_code(F.col("error_code")),
             "processed_at": F.current_timestamp() if processed_at is None else processed_at,
         }
-    ).drop("timestamp", "epoch_seconds")
+    ).drop("timestamp", "epoch_seconds", *[f"_{c}" for c in texts])

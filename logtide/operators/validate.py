@@ -9,48 +9,58 @@ from pyspark.sql import functions as F
 
 from logtide.functions import normalise as N
 from logtide.functions.features import cap_latency
-from logtide.functions.text import strip
+from logtide.functions.text import is_blank, strip
 
 # Levels the ingest edge accepts, in any case (fixed values).
 INGEST_LEVELS = ["DEBUG", "INFO", "WARN", "WARNING", "ERROR", "CRITICAL", "FATAL"]
 
 
-def _rule(broken: Column, field: str, rule: str) -> Column:
-    return F.when(broken, F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule")))
-
-
-def _text_rules(field: str, col: Column, limit: int, required: bool) -> list[Column]:
-    rules = [_rule(F.char_length(col) > limit, field, "too_long")]
+def _text_rules(field: str, col: Column, limit: int, required: bool) -> list[tuple[Column, str, str]]:
+    rules = [(F.char_length(col) > limit, field, "too_long")]
     if required:
-        rules.append(_rule(col.isNull(), field, "missing"))
-        rules.append(_rule(strip(col) == "", field, "blank"))
+        rules.append((col.isNull(), field, "missing"))
+        rules.append((is_blank(col), field, "blank"))
     return rules
 
 
-def _number_rules(field: str, col: Column, number: Column, low: float, high: float) -> list[Column]:
+def _number_rules(field: str, col: Column, number: Column, low: float, high: float) -> list[tuple[Column, str, str]]:
     return [
-        _rule(col.isNotNull() & number.isNull(), field, "not_a_number"),
-        _rule(~number.between(low, high), field, "out_of_range"),
+        (col.isNotNull() & number.isNull(), field, "not_a_number"),
+        (~number.between(low, high), field, "out_of_range"),
     ]
 
 
-def entry_errors(field: Callable[[str], Column] = F.col) -> Column:
-    """Array of (field, rule) pairs a log entry breaks. ``field`` looks a field up by name."""
+def entry_rules(field: Callable[[str], Column] = F.col) -> list[tuple[Column, str, str]]:
+    """(broken, field, rule) of every ingest rule. ``field`` looks a field up by name."""
     level, latency, code, when = (
         field(c) for c in ("level", "response_time_ms", "error_code", "timestamp")
     )
     readable = field("epoch_seconds").isNotNull() | N.parse_iso(when).isNotNull()
-    rules = [
+    return [
         *_text_rules("service", field("service"), 128, required=True),
-        _rule(level.isNull(), "level", "missing"),
-        _rule(~F.upper(level).isin(INGEST_LEVELS), "level", "unknown"),
+        (level.isNull(), "level", "missing"),
+        (~F.upper(level).isin(INGEST_LEVELS), "level", "unknown"),
         *_text_rules("message", field("message"), 4096, required=True),
         *_text_rules("host", field("host"), 253, required=False),
         *_number_rules("response_time_ms", latency, N.safe_double(latency), 0.0, 300_000.0),
         *_number_rules("error_code", code, N.safe_int(code), 0, 99_999),
-        _rule(when.isNotNull() & ~readable, "timestamp", "not_iso"),
+        (when.isNotNull() & ~readable, "timestamp", "not_iso"),
     ]
-    return F.array_compact(F.array(*rules))
+
+
+def entry_errors(field: Callable[[str], Column] = F.col) -> Column:
+    """Array of (field, rule) pairs a log entry breaks.
+
+    A plain condition tells first whether any rule is broken; only then is the array put together.
+    """
+    rules = entry_rules(field)
+    found = F.array_compact(
+        F.array(*[F.when(c, F.struct(F.lit(f).alias("field"), F.lit(r).alias("rule"))) for c, f, r in rules])
+    )
+    broken = F.lit(False)
+    for condition, _, _ in rules:
+        broken = broken | F.coalesce(condition, F.lit(False))
+    return F.when(broken, found).otherwise(F.array().cast("array<struct<field:string,rule:string>>"))
 
 
 def validate_log_entries(df: DataFrame) -> DataFrame:
@@ -79,9 +89,9 @@ def accept_entries(validated: DataFrame) -> DataFrame:
 def malformed_reason() -> Column:
     """Why the processor cannot use a record; null when it can."""
     return (
-        F.when(F.col("service").isNull() | (strip(F.col("service")) == ""), "service")
+        F.when(F.col("service").isNull() | (is_blank(F.col("service"))), "service")
         .when(F.col("message").isNull(), "message_missing")
-        .when(strip(F.col("message")) == "", "message_empty")
+        .when(is_blank(F.col("message")), "message_empty")
     )
 
 

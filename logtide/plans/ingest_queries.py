@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions import features as E
 from logtide.functions import normalise as N
-from logtide.functions.text import clean_text
+from logtide.functions.text import clean_text, strip
 from logtide.operators import ingest, stats, validate
 from logtide.operators.normalise import normalise_logs
 from logtide.plans import inputs
@@ -190,7 +190,7 @@ TIME_SQL = f"""CASE event_id % 9
 def normalise_timestamp(spark, sf_dir):
     raw = inputs.raw_logs(spark, sf_dir)
     default = F.coalesce(N.parse_iso(F.col("ingested_at")), at())
-    when = N.normalise_timestamp(F.col("timestamp"), F.col("epoch_seconds"), default)
+    when = N.normalise_timestamp(strip(F.col("timestamp")), F.col("epoch_seconds"), default)
     return raw.select("event_id", when.alias("event_time")).select("event_id", stamp("event_time"))
 
 
@@ -253,7 +253,7 @@ def feature_hour(spark, sf_dir):
 def feature_hour_source(spark, sf_dir):
     raw = inputs.raw_logs(spark, sf_dir)
     default = F.coalesce(N.parse_iso(F.col("ingested_at")), at())
-    when = N.normalise_timestamp(F.col("timestamp"), F.col("epoch_seconds"), default)
+    when = N.normalise_timestamp(strip(F.col("timestamp")), F.col("epoch_seconds"), default)
     hour = N.source_hour(F.col("timestamp"), F.col("event_time"))
     return raw.withColumn("event_time", when).select("event_id", hour.alias("hour_of_day"))
 
