@@ -5,12 +5,15 @@ it. Anchors of one key therefore form a chain: each is the first alert at or aft
 the one before. The chain is sequential in time, yet a busy key must not sit in one task, so it is computed as
 a parallel scan over time chunks:
 
-1. per (key, chunk): where does a chain that enters the chunk at a given time leave it? The answer is a step
-   function, kept as breakpoints. Chains merge quickly, so it is far smaller than the chunk.
-2. per key: run through the step functions in chunk order to learn when each chunk becomes free.
-3. per (key, chunk): replay the chain from that time.
-
-Every group is bounded by the length of a chunk or by the number of chunks.
+1. per (key, chunk): a chain that is free to notify from time b on when it enters the chunk, from when is it free
+   again when it leaves? The answer is a step function of b, kept as breakpoints. Chains merge as they go, so the
+   longer the chunk, the fewer the steps.
+2. per (key, group of chunks): the step functions of the chunks put after one another.
+3. per key: run through the groups in order to learn from when each group is free; then, per group, the same for
+   its chunks.
+4. per (key, chunk): replay the chain from that time.
+
+A task holds the alert times of one key in one chunk (a few TTLs), or the steps of one group, never a whole key.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.functions.alerting import dedup_key
+from logtide.operators.quantiles import value_ranks
 
 MICROS = 1_000_000
 DEFAULT_TTL = 3600
-CHUNK_TTLS = 24
+CHUNK_TTLS = 4
+GROUP_CHUNKS = 16
+NEVER = -(2**62)
 
 EXITS = T.StructType(
     [
@@ -40,12 +46,18 @@ def with_dedup_key(alerts: DataFrame, out: str = "dedup_key") -> DataFrame:
     return alerts.withColumn(out, dedup_key(*cols))
 
 
+def _steps(upto: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join neighbouring steps with the same value."""
+    last = np.append(leave[1:] != leave[:-1], True)
+    return upto[last], leave[last]
+
+
 def chunk_exits(ttl: int):
-    """UDF over the sorted alert times of a chunk: entering at or before ``upto`` means free again at ``leave``."""
+    """UDF over the sorted alert times of a chunk: free from ``upto`` or before means free again at ``leave``."""
 
     @F.pandas_udf(EXITS)
     def exits(times: pd.Series) -> pd.DataFrame:
-        upto, leave = [], []
+        found = []
         for t in times:
             t = np.asarray(t, dtype=np.int64)
             after = np.searchsorted(t, t + ttl)
@@ -55,17 +67,56 @@ def chunk_exits(ttl: int):
                 if np.array_equal(jump, last):
                     break
                 last = jump
-            # later entries than one TTL after the first alert cannot occur
+            # a chain cannot enter later than one TTL after the first alert
             entries = np.searchsorted(t, t[0] + ttl, side="right") + 1
-            leaving = t[last[:entries]] + ttl
-            step = np.append(leaving[1:] != leaving[:-1], True)
-            upto.append(t[:entries][step])
-            leave.append(leaving[step])
-        return pd.DataFrame({"upto": upto, "leave": leave})
+            found.append(_steps(t[:entries], t[last[:entries]] + ttl))
+        return pd.DataFrame(found, columns=["upto", "leave"])
 
     return exits
 
 
+def group_exits(ttl: int, group_us: int):
+    """UDF over the step functions of the chunks of a group, in order: the step function of the group."""
+
+    @F.pandas_udf(EXITS)
+    def exits(group: pd.Series, uptos: pd.Series, leaves: pd.Series) -> pd.DataFrame:
+        found = []
+        for number, us, ls in zip(group, uptos, leaves):
+            upto, leave = (np.asarray(x[0], dtype=np.int64) for x in (us, ls))
+            for u, v in zip(us[1:], ls[1:]):
+                u, v = np.asarray(u, dtype=np.int64), np.asarray(v, dtype=np.int64)
+                at = np.searchsorted(u, leave)
+                moved = np.where(at < len(u), v[np.minimum(at, len(u) - 1)], leave)
+                beyond = u > upto[-1]
+                upto, leave = _steps(np.append(upto, u[beyond]), np.append(moved, v[beyond]))
+            entries = np.searchsorted(upto, number * group_us + ttl, side="right") + 1
+            found.append((upto[:entries], leave[:entries]))
+        return pd.DataFrame(found, columns=["upto", "leave"])
+
+    return exits
+
+
+def _entries(steps: DataFrame, keys: list[str], start: DataFrame | None) -> DataFrame:
+    """(keys, chunk, free): from when the chain is free at each chunk, given where it starts per ``keys``."""
+    per_key = steps.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "upto", "leave"))).alias("steps")
+    )
+    free = F.lit(NEVER).cast("bigint")
+    if start is not None:
+        per_key = per_key.join(start, keys, "left")
+        free = F.coalesce("free", free)
+
+    def advance(acc: Column, step: Column) -> Column:
+        pos = F.size(F.filter(step["upto"], lambda u: u < acc["free"]))
+        leave = F.coalesce(F.get(step["leave"], pos), acc["free"])
+        entry = F.struct(step["chunk"].alias("chunk"), acc["free"].alias("free"))
+        return F.struct(leave.alias("free"), F.concat(acc["entries"], F.array(entry)).alias("entries"))
+
+    none = F.array().cast("array<struct<chunk:bigint,free:bigint>>")
+    walked = F.aggregate("steps", F.struct(free.alias("free"), none.alias("entries")), advance)
+    return per_key.select(*keys, F.explode(walked["entries"]).alias("e")).select(*keys, "e.*")
+
+
 def anchor_times(
     times: DataFrame,
     keys: list[str],
@@ -78,32 +129,25 @@ def anchor_times(
     ``carried`` (keys, free) says until when earlier alerts suppress a key.
     """
     chunk_us = chunk_us or CHUNK_TTLS * ttl_us
-    chunks = (
-        times.groupBy(*keys, F.floor(F.col("us") / chunk_us).alias("chunk"))
-        .agg(F.array_sort(F.collect_list("us")).alias("times"))
+    group_us = GROUP_CHUNKS * chunk_us
+    us, chunk = F.col("us"), F.col("chunk")
+    chunks = times.groupBy(*keys, ((us - F.pmod(us, F.lit(chunk_us))) / chunk_us).cast("bigint").alias("chunk")).agg(
+        F.array_sort(F.collect_list("us")).alias("times")
     )
+    group = ((chunk - F.pmod(chunk, F.lit(GROUP_CHUNKS))) / GROUP_CHUNKS).cast("bigint")
     steps = chunks.select(*keys, "chunk", chunk_exits(ttl_us)("times").alias("x")).select(
-        *keys, F.struct("chunk", "x.upto", "x.leave").alias("step")
+        *keys, "chunk", group.alias("_group"), "x.*"
     )
-
-    def advance(acc: Column, step: Column) -> Column:
-        pos = F.size(F.filter(step["upto"], lambda u: u < acc["free"]))
-        free = F.coalesce(F.get(step["leave"], pos), acc["free"])
-        entry = F.struct(step["chunk"].alias("chunk"), acc["free"].alias("free"))
-        return F.struct(free.alias("free"), F.concat(acc["entries"], F.array(entry)).alias("entries"))
-
-    per_key = steps.groupBy(*keys).agg(F.array_sort(F.collect_list("step")).alias("steps"))
-    never = F.lit(-(2**62)).cast("bigint")
-    if carried is not None:
-        per_key = per_key.join(carried.select(*keys, F.col("free").alias("_free")), keys, "left")
-        never = F.coalesce("_free", never)
-    start = F.struct(
-        never.alias("free"),
-        F.array().cast("array<struct<chunk:bigint,free:bigint>>").alias("entries"),
+    # breakpoints lie inside their chunk, so sorting by them puts the chunks in order
+    groups = steps.groupBy(*keys, F.col("_group").alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("upto", "leave"))).alias("s")
+    )
+    parts = [F.transform("s", lambda p: p["upto"]), F.transform("s", lambda p: p["leave"])]
+    group_steps = groups.select(*keys, "chunk", group_exits(ttl_us, group_us)("chunk", *parts).alias("x")).select(
+        *keys, "chunk", "x.*"
     )
-    entries = per_key.select(
-        *keys, F.explode(F.aggregate("steps", start, advance)["entries"]).alias("e")
-    ).select(*keys, "e.*")
+    group_entries = _entries(group_steps, keys, carried).withColumnRenamed("chunk", "_group")
+    entries = _entries(steps, [*keys, "_group"], group_entries).drop("_group")
 
     def replay(acc: Column, t: Column) -> Column:
         notify = F.struct((t + ttl_us).alias("free"), F.concat(acc["anchors"], F.array(t)).alias("anchors"))
@@ -123,12 +167,14 @@ def dedup_alerts(
     id_col: str = "alert_id",
     clears: DataFrame | None = None,
     carried: DataFrame | None = None,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Add ``deduplicated``: true if the alert repeats one that notified less than the TTL before.
 
     At equal time and key the smallest id notifies. An alert without key is never a duplicate. ``clears``
     (key, cleared_at) ends suppression: the next alert of the key notifies again. ``carried`` (key, free) holds
-    the suppression still open from alerts before these, as a stream keeps it.
+    the suppression still open from alerts before these, as a stream keeps it. ``chunk_seconds`` (default: four
+    TTLs) bounds the alerts of one key that a task holds.
     """
     if clears is not None and carried is not None:
         raise ValueError("clears need the whole history of a key")
@@ -144,7 +190,8 @@ def dedup_alerts(
         .groupBy(*keys, F.col("_us").alias("us"))
         .agg(F.min(id_col).alias("_first"))
     )
-    anchors = anchor_times(firsts.select(*keys, "us"), keys, ttl_seconds * MICROS, carried=carried)
+    chunk_us = chunk_seconds * MICROS if chunk_seconds else None
+    anchors = anchor_times(firsts.select(*keys, "us"), keys, ttl_seconds * MICROS, chunk_us, carried)
     notified = firsts.join(anchors, [*keys, "us"], "left_semi").withColumnsRenamed(
         {"us": "_us", "_first": id_col}
     ).withColumn("_notified", F.lit(True))
@@ -174,14 +221,11 @@ def open_suppressions(
 
 
 def _number_clears(rows: DataFrame, clears: DataFrame, key: str) -> DataFrame:
-    """Add ``_epoch``, the number of clears of the key before the row. Clears are rare operator actions."""
-    per_key = clears.groupBy(key).agg(
-        F.collect_set(F.unix_micros(F.col("cleared_at").cast("timestamp"))).alias("_clears")
-    )
-    before = F.size(F.filter("_clears", lambda c: c < F.col("_us")))
-    return rows.join(per_key, key, "left").withColumn(
-        "_epoch", F.when(F.col("_clears").isNull(), 0).otherwise(before)
-    ).drop("_clears")
+    """Add ``_epoch``, the number of clears of the key before the row, by a running count over daily bands."""
+    cleared_us = F.unix_micros(F.col("cleared_at").cast("timestamp")).alias("_us")
+    both = rows.select(key, "_us", F.lit(0).alias("c")).unionByName(clears.select(key, cleared_us, F.lit(1).alias("c")))
+    ranked = value_ranks(both, "_us", {"c": F.sum("c")}, band_width=86_400.0 * MICROS, by=[key])
+    return rows.join(ranked.select(key, "_us", F.col("c_before").alias("_epoch")), [key, "_us"], "left")
 
 
 def dedup_ttl_remaining(

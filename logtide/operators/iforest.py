@@ -134,7 +134,7 @@ def fit_iforest(
     seed: int = 42,
     scaled: bool = True,
 ) -> ForestModel:
-    """Fit scaler, trees and offset. Repeatable: sampling depends on seed and row id, not on partitions.
+    """Fit scaler, trees and offset. Repeatable: the rows of a tree depend on seed and row id, not on partitions.
 
     ``df`` is read three times (scaler and row count, tree samples, offset), so give it as a stored table.
     """
@@ -173,7 +173,7 @@ def fit_iforest(
 
 def forest_offset(scores: DataFrame, contamination: float, score: str = "raw") -> DataFrame:
     """Offset: the contamination percentile of ``-s`` over the training rows."""
-    return percentiles(scores, score, {"offset": contamination}).select("offset")
+    return percentiles(scores, score, {"offset": contamination}, band_width=2.0**-20).select("offset")
 
 
 def _arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:

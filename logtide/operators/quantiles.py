@@ -1,7 +1,8 @@
 """Exact ranks and percentiles without sorting all rows in one task.
 
 Equal values are counted first, then each value learns how many rows lie before it by a two-level running sum:
-over value bands, and inside each band. No task sees more than one band or the list of bands.
+over value bands, and inside each band. No task sees more than one band or the list of bands; choose ``band_width`` so that the values
+span some ten thousand bands.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ def value_ranks(
     df: DataFrame,
     value: str,
     counts: dict[str, Column] | None = None,
-    band_width: float = 1 / 1024,
+    band_width: float = 1 / 65536,
     by: list[str] | None = None,
 ) -> DataFrame:
     """Per distinct value: each count, the count before it (``<name>_before``) and over all (``<name>_all``)."""
@@ -48,7 +49,7 @@ def percentiles(
     df: DataFrame,
     value: str,
     points: dict[str, float],
-    band_width: float = 1 / 1024,
+    band_width: float = 1 / 65536,
     by: list[str] | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles (0..1), one column per point and the row count ``n``."""

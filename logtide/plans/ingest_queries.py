@@ -121,9 +121,8 @@ def rejected_by_rule(spark, sf_dir):
 
 @query(
     "batch_ingest_summary",
-    f"""WITH {RAW}, v AS (SELECT user_id % 1000000007 AS u, * FROM
-    (SELECT r.*, e.user_id, e.ts AS t FROM raw r JOIN events e USING (event_id))),
-  b AS (SELECT CAST(u AS VARCHAR) || '-' || strftime(t, '%Y%m%d') AS request_id, event_id, {ERROR_LIST} AS e FROM v),
+    f"""WITH {RAW}, b AS (SELECT CASE WHEN (event_id // 120) % 3 = 0 THEN 'big-' || (event_id // 120)
+    ELSE 'req-' || (event_id // 40) END AS request_id, event_id, {ERROR_LIST} AS e FROM raw),
   p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY event_id) - 1 AS pos,
     count(*) OVER (PARTITION BY request_id) AS size FROM b),
   q AS (SELECT *, CASE WHEN size NOT BETWEEN 1 AND 100 THEN 'batch_size' WHEN len(e) > 0
@@ -138,13 +137,15 @@ def rejected_by_rule(spark, sf_dir):
 )
 def batch_ingest_summary(spark, sf_dir):
     raw = inputs.raw_logs(spark, sf_dir)
-    who = inputs.events(spark, sf_dir).select("event_id", "user_id", "ts")
-    day = F.date_format("ts", "yyyyMMdd")
     entry = F.struct("event_id", *[c for c in raw.columns if c != "event_id"])
-    # a request is one user's day here, so it stays as small as a client batch
+    # a request is 40 events in a row, or 120, which is more than a batch may have
     requests = (
-        raw.join(who, "event_id")
-        .groupBy(F.concat_ws("-", F.col("user_id").cast("string"), day).alias("request_id"))
+        raw.groupBy(
+            F.expr(
+                "CASE WHEN (event_id DIV 120) % 3 = 0 THEN 'big-' || (event_id DIV 120)"
+                " ELSE 'req-' || (event_id DIV 40) END"
+            ).alias("request_id")
+        )
         .agg(F.array_sort(F.collect_list(entry)).alias("logs"))
     )
     details = F.array_join(

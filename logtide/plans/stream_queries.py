@@ -1,6 +1,7 @@
 """Streaming jobs over the driver tables, checked against the SQL of their batch twins.
 
-The rows land as files in three time ranges, are streamed file by file, and the written result is returned.
+The rows land as files in three time ranges, each taken up by a run of the query, and the written result is
+returned.
 """
 
 from __future__ import annotations
@@ -21,33 +22,29 @@ from logtide.streaming import jobs
 CUTS = ["2024-01-01", "2024-01-11", "2024-01-21", "2025-01-01"]
 
 
-def land(rows: DataFrame, name: str, time: str) -> str:
-    """Write rows as three sets of files in time order."""
-    path = scratch_path(rows.sparkSession, name)
-    for low, high in zip(CUTS, CUTS[1:]):
-        part = rows.filter((F.col(time) >= F.lit(low).cast("timestamp")) & (F.col(time) < F.lit(high).cast("timestamp")))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+def in_parts(rows: DataFrame, time: str) -> list[DataFrame]:
+    """The rows of three time ranges, in order."""
+    ends = [F.lit(c).cast("timestamp") for c in CUTS]
+    return [rows.filter((F.col(time) >= low) & (F.col(time) < high)) for low, high in zip(ends, ends[1:])]
 
 
-def land_json(spark, sf_dir) -> str:
-    logs = inputs.logs(spark, sf_dir)
-    fields = ["log_id", "service", "level", "message", "host", "response_time_ms", "error_code", "timestamp"]
-    value = topics.json_value(logs, fields)
-    path = scratch_path(spark, "landed")
-    for low, high in zip(CUTS, CUTS[1:]):
-        part = logs.filter(
-            (F.col("timestamp") >= F.lit(low).cast("timestamp")) & (F.col("timestamp") < F.lit(high).cast("timestamp"))
-        )
-        part.select(value.alias("value")).coalesce(1).write.mode("append").text(path)
-    return path
+def stream_parts(rows: DataFrame, time: str, start) -> None:
+    """Land one time range after the other; each run of the query takes up the files that are new."""
+    landed = scratch_path(rows.sparkSession, "landed")
+    for part in in_parts(rows, time):
+        part.write.mode("append").parquet(landed)
+        start(rows.sparkSession.readStream.schema(rows.schema).parquet(landed)).awaitTermination()
 
 
 def process(spark, sf_dir, window_seconds: int = 60) -> str:
-    out = scratch_path(spark, "stream-logs")
+    out, checkpoint, landed = (scratch_path(spark, n) for n in ("stream-logs", "checkpoint", "landed"))
     job = jobs.ProcessLogs(spark, out, window_seconds)
-    raw = topics.read_json_lines(spark, land_json(spark, sf_dir), per_trigger=1)
-    job.start(raw, scratch_path(spark, "checkpoint")).awaitTermination()
+    logs = inputs.logs(spark, sf_dir)
+    fields = ["log_id", "service", "level", "message", "host", "response_time_ms", "error_code", "timestamp"]
+    value = topics.json_value(logs, fields)
+    for part in in_parts(logs, "timestamp"):
+        part.select(value.alias("value")).write.mode("append").text(landed)
+        job.start(topics.read_json_lines(spark, landed), checkpoint).awaitTermination()
     return out
 
 
@@ -67,12 +64,9 @@ def stream_rolling_count(spark, sf_dir):
 
 
 def handle(spark, sf_dir, ttl_seconds: int) -> str:
-    out = scratch_path(spark, "stream-alerts")
-    rows = inputs.alerts(spark, sf_dir)
-    landed = land(rows, "alerts", "detected_at")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    out, checkpoint = scratch_path(spark, "stream-alerts"), scratch_path(spark, "checkpoint")
     job = jobs.HandleAlerts(spark, out, ttl_seconds, require_uuid=False)
-    job.start(stream, scratch_path(spark, "checkpoint")).awaitTermination()
+    stream_parts(inputs.alerts(spark, sf_dir), "detected_at", lambda s: job.start(s, checkpoint))
     return out
 
 
@@ -104,10 +98,8 @@ def stream_alerts(spark, sf_dir):
 def stream_logs_per_minute(spark, sf_dir):
     """Minutes that are closed: the watermark has passed them."""
     rows = inputs.processed(spark, sf_dir).select("service", "event_time")
-    landed = land(rows, "logs", "event_time")
-    out = scratch_path(spark, "minutes")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    jobs.logs_per_minute(stream, out, scratch_path(spark, "checkpoint")).awaitTermination()
+    out, checkpoint = scratch_path(spark, "minutes"), scratch_path(spark, "checkpoint")
+    stream_parts(rows, "event_time", lambda s: jobs.logs_per_minute(s, out, checkpoint))
     return stamped(spark.read.parquet(out), "bucket")
 
 
@@ -125,10 +117,9 @@ def stream_detect(spark, sf_dir):
     rows, _, root = _stored_model(spark, sf_dir)
     stored = rows.select("log_id", "service", "level", "message", "host", "event_time", "response_time_ms",
                          "error_code", "features")
-    landed = land(stored, "processed", "event_time")
-    out = scratch_path(spark, "stream-detect")
-    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    jobs.DetectAnomalies(spark, root, out).start(stream, scratch_path(spark, "checkpoint")).awaitTermination()
+    out, checkpoint = scratch_path(spark, "stream-detect"), scratch_path(spark, "checkpoint")
+    job = jobs.DetectAnomalies(spark, root, out)
+    stream_parts(stored, "event_time", lambda s: job.start(s, checkpoint))
     return spark.read.parquet(f"{out}/alerts").select("alert_id", "log_id", "anomaly_score", "model_version")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -29,16 +29,19 @@ def local_session(cpus: int = 8, app: str = "logtide") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a local session without that setting falls back to a temporary folder, one per process.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    folder = os.environ.get("LOGTIDE_LOCAL_DIR") or tempfile.mkdtemp(prefix="logtide-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return _local_dir()
+
+
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="logtide-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
