@@ -295,7 +295,7 @@ def iforest_offset(spark, sf_dir):
     return iforest.forest_offset(rows, 0.05, "anomaly_score").select(F.round("offset", 6).alias("offset_value"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"WITH {PROC} SELECT log_id, true AS same FROM proc")
 def model_roundtrip(spark, sf_dir):
     """Scores of a model after it was saved and loaded next to those before."""
     rows = _stored_features(spark, sf_dir)
@@ -308,7 +308,11 @@ def model_roundtrip(spark, sf_dir):
     return before.join(after, "log_id").select("log_id", (F.col("before") == F.col("after")).alias("same"))
 
 
-@query("model_status")
+@query(
+    "model_status",
+    """SELECT 'loaded' AS status, 'IsolationForest' AS model_type, 20 AS n_estimators, 0.05::DOUBLE AS contamination,
+  6 AS n_features, 0.0::DOUBLE AS anomaly_threshold""",
+)
 def model_status(spark, sf_dir):
     return iforest.model_status(_model(_stored_features(spark, sf_dir), trees=20)).drop("trained_at")
 
