@@ -175,6 +175,8 @@ def dedup_alerts(
     (key, cleared_at) ends suppression: the next alert of the key notifies again. ``carried`` (key, free) holds
     the suppression still open from alerts before these, as a stream keeps it. ``chunk_seconds`` (default: four
     TTLs) bounds the alerts of one key that a task holds.
+
+    The plan reads ``alerts`` four times, three of them only for key, time and id: give it as a stored table.
     """
     if clears is not None and carried is not None:
         raise ValueError("clears need the whole history of a key")

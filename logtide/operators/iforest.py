@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from logtide.operators.quantiles import percentiles
 from logtide.operators.scaler import fit_scaler, scale_columns
 from logtide.schemas import FEATURE_COLUMNS
+from logtide.session import materialise
 
 EULER = 0.5772156649
 MAX_NODES = 4_000_000
@@ -166,7 +167,8 @@ def fit_iforest(
         "offset": 0.0,
     }
     model = ForestModel(nodes, scaler, meta)
-    raw = rows.select(raw_score(model, [F.col(c) for c in columns]).alias("raw"))
+    # the percentile reads the scores twice, so they are stored rather than computed again
+    raw = materialise(rows.select(raw_score(model, [F.col(c) for c in columns]).alias("raw")), "scores")
     meta["offset"] = forest_offset(raw, contamination).first()["offset"]
     return model
 

@@ -85,7 +85,7 @@ _register_dedup("dedup_alerts_6h", 21_600)
 )
 def dedup_by_service(spark, sf_dir):
     """One key per service: long unbroken chains over many chunks."""
-    rows = dedup.dedup_alerts(inputs.alerts(spark, sf_dir), 3_600, key="service")
+    rows = dedup.dedup_alerts(inputs.stored_alerts(spark, sf_dir), 3_600, key="service")
     return rows.select("alert_id", "deduplicated")
 
 
@@ -110,7 +110,7 @@ def dedup_ttl_remaining(spark, sf_dir):
   {flagged(86_400, "dedup_key, epoch", "epochs")} SELECT alert_id, deduplicated FROM flagged""",
 )
 def dedup_with_clears(spark, sf_dir):
-    rows = dedup.with_dedup_key(inputs.alerts(spark, sf_dir))
+    rows = inputs.stored_alerts(spark, sf_dir)
     clears = rows.filter("user_id % 9 = 0").select(
         "dedup_key", (F.col("detected_at") + F.expr("INTERVAL 1 SECOND")).alias("cleared_at")
     )

@@ -13,6 +13,7 @@ from logtide.operators import alerts as alerting
 from logtide.operators import dedup
 from logtide.operators.normalise import normalise_logs
 from logtide.schemas import RAW_LOG
+from logtide.session import materialise
 
 AS_OF = "2024-01-29 12:00:00"
 END = "2024-01-31 00:00:00"
@@ -155,8 +156,13 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as the stored table that deduplication reads several times."""
+    return materialise(dedup.with_dedup_key(alerts(spark, sf_dir)), "alerts")
+
+
 def flagged_alerts(spark: SparkSession, sf_dir: str, ttl_seconds: int = 86_400) -> DataFrame:
-    return dedup.dedup_alerts(alerts(spark, sf_dir), ttl_seconds)
+    return dedup.dedup_alerts(stored_alerts(spark, sf_dir), ttl_seconds)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

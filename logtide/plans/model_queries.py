@@ -325,7 +325,8 @@ def detect_and_dedup(spark, sf_dir):
     found = alerting.build_alerts(
         scored, F.col("event_time") + F.expr("INTERVAL 5 SECONDS"), alerting.repeatable_alert_id("log_id", "event_time")
     )
-    flagged = dedup.dedup_alerts(found, 3_600)
+    # stored, as the alert topic is: deduplication reads it several times and must not score the logs again
+    flagged = dedup.dedup_alerts(materialise(dedup.with_dedup_key(found), "alerts"), 3_600)
     return flagged.select(
         "alert_id",
         "log_id",

@@ -181,7 +181,10 @@ class HandleAlerts:
 
     def each(self, batch: DataFrame, batch_id: int) -> None:
         carried = self.open.before(batch_id)
-        put(dedup.dedup_alerts(batch, self.ttl_seconds, time=self.time, carried=carried), f"{self.out}/flagged", batch_id)
+        # written once per batch: deduplication reads the alerts several times, the source only once
+        put(dedup.with_dedup_key(batch), f"{self.out}/alerts", batch_id)
+        alerts = self.spark.read.parquet(f"{self.out}/alerts/batch_id={batch_id}")
+        put(dedup.dedup_alerts(alerts, self.ttl_seconds, time=self.time, carried=carried), f"{self.out}/flagged", batch_id)
         flagged = self.spark.read.parquet(f"{self.out}/flagged/batch_id={batch_id}")
         self.open.after(
             batch_id,
