@@ -51,7 +51,8 @@ def batch_ingest_summary(requests: DataFrame, logs: str = "logs", max_batch: int
 def assign_log_ids(df: DataFrame, repeatable_from: list[str] | None = None) -> DataFrame:
     """Keep a given ``log_id``; fill a blank one.
 
-    With ``repeatable_from`` the new id is a digest of those columns, so a retried task gives the same id.
+    With ``repeatable_from`` the new id is a digest of those columns: a retried task gives the same id, and since the
+    column is then deterministic, later filters still reach the scan. Without it the id is random.
     """
     fresh: Column = F.uuid()
     if repeatable_from:

@@ -130,7 +130,7 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean logs in normalised form. Every event has a time, so ``event_time`` is that column itself, as in a
     stored table, and time filters reach the scan."""
     rows = logs(spark, sf_dir).withColumn("_time", F.col("timestamp"))
-    done = normalise_logs(rows, processed_at=F.lit(END).cast("timestamp"))
+    done = normalise_logs(rows, processed_at=F.lit(END).cast("timestamp"), repeatable_ids=["event_id"])
     return done.withColumn("event_time", F.col("_time")).drop("_time")
 
 
