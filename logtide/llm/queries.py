@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logtide.llm import decontam, exact, mixing, secrets
+from logtide.llm import decontam, exact, mixing, secrets, substring, suffix
 from logtide.llm.common import table
 from logtide.session import scratch_path
 
@@ -116,3 +116,17 @@ def decontamination(spark, sf_dir):
 )
 def mixing_query(spark, sf_dir):
     return mixing.report_mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring.drop_repeated_windows(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix.drop_repeated_strings(docs)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
