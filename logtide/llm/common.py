@@ -37,6 +37,12 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
-def null_last(column: str) -> list[Column]:
-    """Sort members that put null behind every value."""
-    return [F.col(column).isNull().alias("none"), F.col(column).alias("id")]
+def keep_rows(marked: DataFrame, winners: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The rows of ``marked`` whose keys are among ``winners`` (keys, twins), with the given columns.
+
+    Where ``twins`` is true several rows are equal in every column; one of them stays. Keys have no null.
+    """
+    twins = fresh(marked, "twins")
+    kept = marked.join(winners.withColumnRenamed("twins", twins), keys)
+    single = kept.where(~F.col(twins)).unionByName(kept.where(twins).dropDuplicates(keys))
+    return single.select(*[F.col(f"`{c}`") for c in columns])

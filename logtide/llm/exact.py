@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm.common import SPACE, fresh, null_last, row_hash, whole_text
+from logtide.llm.common import SPACE, fresh, keep_rows, row_hash, whole_text
 from logtide.session import materialise, scratch_path
 
 
@@ -49,12 +49,9 @@ class DigestIndex:
 
         Running a batch again appends nothing, so a job that was lost half-way can simply be repeated.
         """
-        first = F.min(F.struct(*null_last("doc_id"), F.col("row")))
-        new = batch.groupBy("digest").agg(first.alias("first"))
-        unseen = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        unseen.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row")).write.insertInto(
-            self.name
-        )
+        first_row = F.coalesce(F.min_by("row", "doc_id"), F.min("row"))
+        new = batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), first_row.alias("keep_row"))
+        new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti").write.insertInto(self.name)
 
 
 def report_copies(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
@@ -95,18 +92,21 @@ def keep_first(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     digest, row = fresh(docs, "digest"), fresh(docs, "row")
-    marked = docs.withColumns({digest: text_digest(), row: row_hash(docs)})
+    marked = docs.withColumns({digest: text_digest(), row: row_hash(docs).bitwiseAND(F.lit(-2))})
     keys = materialise(marked.select(F.col(digest).alias("digest"), "doc_id", F.col(row).alias("row")), "digests")
     index = DigestIndex(spark, path or scratch_path(spark, "digest-index"))
     known = materialise(index.rows().select("digest"), "known-digests") if path else None
     index.add(keys)
+    # the lowest bit of the winner's row number tells whether other rows equal it in every column
     same = keys.groupBy("digest", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
-    first = same.groupBy("digest").agg(F.min(F.struct(*null_last("doc_id"), F.col("row"), F.col("n"))).alias("first"))
+    mark = F.col("row").bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col("n") > 1, 1).otherwise(0))
+    same = same.select("digest", "doc_id", mark.alias("mark"))
+    first = same.groupBy("digest").agg(F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("mark"))
     if known is not None:
         first = first.join(known, "digest", "left_anti")
-    winners = materialise(first.select("digest", "first.row", "first.n"), "winners")
-    n = fresh(docs, "n")
-    winners = winners.select(F.col("digest").alias(digest), F.col("row").alias(row), F.col("n").alias(n))
-    kept = marked.join(winners, [digest, row])
-    twins = kept.where(F.col(n) > 1).dropDuplicates([digest])
-    return kept.where(F.col(n) == 1).unionByName(twins).select(*[F.col(f"`{c}`") for c in docs.columns])
+    winners = first.select(
+        F.col("digest").alias(digest),
+        F.col("mark").bitwiseAND(F.lit(-2)).alias(row),
+        (F.col("mark").bitwiseAND(F.lit(1)) == 1).alias("twins"),
+    )
+    return keep_rows(marked, materialise(winners, "winners"), [digest, row], docs.columns)

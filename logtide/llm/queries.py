@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logtide.llm import decontam, exact, mixing, secrets, substring, suffix
+from logtide.llm import decontam, exact, jaccard, mixing, secrets, substring, suffix
 from logtide.llm.common import table
 from logtide.session import scratch_path
 
@@ -130,3 +130,8 @@ def suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = suffix.drop_repeated_strings(docs)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+@query("op8_jaccard_join")
+def jaccard_join(spark, sf_dir):
+    return jaccard.report_components(table(spark, sf_dir, "documents").select("doc_id", "text"))

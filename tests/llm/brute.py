@@ -42,3 +42,37 @@ def byte_rows(docs, n=100):
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         rows.append((i, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return rows
+
+
+def shingle_set(text, n):
+    words = [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in split_words(text)]
+    if 0 < len(words) < n:
+        return {tuple(words)}
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def component_rows(docs, n=4, percent=85):
+    """(id, set size, smallest id reachable), comparing all pairs that share a shingle."""
+    sets = [(i, shingle_set(t, n)) for i, t in docs]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    lists = {}
+    for k, (_, s) in enumerate(sets):
+        shared = {}
+        for g in s:
+            for other in lists.setdefault(g, []):
+                shared[other] = shared.get(other, 0) + 1
+            lists[g].append(k)
+        for other, both in shared.items():
+            if 100 * both >= percent * (len(s) + len(sets[other][1]) - both):
+                parent[find(k)] = find(other)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i, len(s), least[find(k)]) for k, (i, s) in enumerate(sets))
