@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logtide.llm import decontam, exact, jaccard, mixing, secrets, substring, suffix
+from logtide.llm import decontam, exact, jaccard, lm, mixing, secrets, substring, suffix
 from logtide.llm.common import table
 from logtide.session import scratch_path
 
@@ -135,3 +135,12 @@ def suffix_dedup(spark, sf_dir):
 @query("op8_jaccard_join")
 def jaccard_join(spark, sf_dir):
     return jaccard.report_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_language_model")
+def language_model(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.id_remainder(7) == 2)
+    model = lm.fit(docs.where(~F.col("held_out")).select("text"))
+    scored = lm.score(docs, model)
+    train = F.lit(model.tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", train, "base_score", "score")

@@ -76,3 +76,48 @@ def component_rows(docs, n=4, percent=85):
     for k, (i, _) in enumerate(sets):
         least[find(k)] = min(least.get(find(k), i), i)
     return sorted((i, len(s), least[find(k)]) for k, (i, s) in enumerate(sets))
+
+
+def kneser_ney(train, texts):
+    """(tokens, known, base score, score) of texts by dictionaries."""
+    import math
+    from collections import Counter, defaultdict
+
+    def tokens(text):
+        return [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in split_words(text)] + [None]
+
+    words, pairs, total = Counter(), Counter(), Counter()
+    for text in train:
+        seq = tokens(text)
+        words.update(seq)
+        for a, b in zip(["", *seq], seq, strict=False):
+            pairs[a, b] += 1
+            total[a] += 1
+    follows = Counter(b for _, b in pairs)
+    classes = defaultdict(lambda: [0, 0, 0])
+    for (a, _), c in pairs.items():
+        classes[a][min(c, 3) - 1] += 1
+
+    def discounts(counter):
+        n = [sum(c == k for c in counter.values()) for k in (1, 2, 3, 4)]
+        if not all(n):
+            return [0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0), k + 1) for k in range(3)]
+
+    dp, dw = discounts(pairs), discounts(follows)
+    of = lambda d, c: 0 if c == 0 else d[min(c, 3) - 1]
+    rest = sum(of(dw, c) for c in follows.values()) / len(pairs) if pairs else 1.0
+    n = sum(words.values())
+    for text in texts:
+        seq = tokens(text)
+        base = score = 0.0
+        for a, b in zip(["", *seq], seq, strict=False):
+            base += math.log10((words[b] + 1) / (n + len(words) + 1))
+            low = (max(follows[b] - of(dw, follows[b]), 0) / len(pairs) if pairs else 0) + rest / (len(words) + 1)
+            if total[a]:
+                c = pairs[a, b]
+                left = sum(d * k for d, k in zip(dp, classes[a], strict=True)) / total[a]
+                low = max(c - of(dp, c), 0) / total[a] + left * low
+            score += math.log10(low)
+        yield len(seq), sum(w in words for w in seq), base, score
