@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# all of ASCII but letters and digits; bytes beyond ASCII belong to letters
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 BLOCK_BYTES = 2_000_000  # texts are handled in blocks of about this size; a longer text is a block of its own
@@ -91,12 +93,12 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
 
 
 class Words:
-    """Words of a block: byte range, hash and text number of each. Words are runs of bytes that are no white space."""
+    """Words of a block: byte range, hash and text number of each. Words are runs of bytes that are no separators."""
 
-    def __init__(self, texts: Texts) -> None:
+    def __init__(self, texts: Texts, separators: np.ndarray = _SPACE) -> None:
         data, at = texts.data, texts.at
         n = len(data)
-        space = _SPACE[data]
+        space = separators[data]
         begins, ends = ~space, ~space
         cut = at[1:-1]
         cut = cut[(cut > 0) & (cut < n)]  # empty texts lie on a border of others

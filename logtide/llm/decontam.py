@@ -40,8 +40,9 @@ def _seed(hashes: Column, at: Column, mask: str, number: int) -> Column:
 def _seeds(rows: DataFrame, masks: list[str], *keep: str) -> DataFrame:
     """(keep, at, seed) of every window of ``hashes`` under every mask that fits."""
     shortest = min(len(m) for m in masks)
-    places = F.sequence(F.lit(0), F.size("hashes") - F.lit(shortest))
-    placed = rows.where(F.size("hashes") >= shortest).select("*", F.explode(places).alias("at"))
+    room = F.size("hashes") - F.lit(shortest)
+    # a condition, not a filter: that would be moved below and split the text once more
+    placed = rows.select("*", F.explode(F.when(room >= 0, F.sequence(F.lit(0), room))).alias("at"))
     seeds = F.array(*[_seed(F.col("hashes"), F.col("at"), m, i) for i, m in enumerate(masks)])
     return placed.select(*keep, "at", F.posexplode(seeds).alias("mask", "seed"))
 
@@ -53,7 +54,7 @@ def find_overlaps(
     share: float = SHARE,
     most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
-    """(doc_id, text_key, item_id, hits, similarity, at): documents that overlap a benchmark item.
+    """(doc_id, text_key, item_id, similarity, at): documents that overlap a benchmark item.
 
     ``similarity`` is the share of equal tokens in the best stretch, ``at`` the token of the document where it begins.
     """
@@ -71,31 +72,35 @@ def find_overlaps(
     seeds = seeds.withColumn("length", lengths).where(F.col("at") + F.col("length") <= F.size("item"))
     seeds = seeds.where((F.col("length") == SPAN) | (F.col("length") == F.size("item")))
     seeds = materialise(seeds.select("item_id", "item", F.col("at").alias("item_at"), "seed", "length"), "benchmark-seeds")
-    side = F.broadcast(seeds) if seeds.count() <= most_broadcast else seeds
-
     texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), tokens(whole_text()).alias("words"))
-    texts = texts.withColumn("hashes", hashed(F.col("words")))
-    windows = _seeds(texts, masks, "doc_id", "text_key", "words")
-    hits = windows.join(side, "seed")
+    hashed_texts = texts.withColumn("hashes", hashed(F.col("words")))
+    if seeds.count() <= most_broadcast:
+        hits = _seeds(hashed_texts, masks, "doc_id", "text_key", "words").join(F.broadcast(seeds), "seed")
+    else:
+        hits = _seeds(hashed_texts, masks, "doc_id", "text_key").join(seeds, "seed")
+        again = texts.select(F.col("doc_id").alias("of"), F.col("text_key").alias("same"), "words")
+        hits = hits.join(again, (F.col("text_key") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("of")))
     # the stretch of the document that lies along the item; what hangs over at either end is cut on both sides
     shift = F.col("at") - F.col("item_at")
     first = F.greatest(-shift, F.lit(0))
     last = F.least(F.size("item"), F.size("words") - shift)
-    along = F.zip_with(
-        F.slice("item", first + 1, last - first),
-        F.slice("words", shift + first + 1, last - first),
-        lambda a, b: F.when(a == b, 1).otherwise(0),
+    # hits are few; stored, they are checked apart from the join, which then stays one compiled loop over the windows
+    hits = materialise(
+        hits.select(
+            "doc_id",
+            "text_key",
+            "item_id",
+            (shift + first).alias("begin"),
+            F.slice("item", first + 1, last - first).alias("item_part"),
+            F.slice("words", shift + first + 1, last - first).alias("part"),
+            (F.col("item_at") - first).alias("hit"),
+            "length",
+            F.least(F.lit(stretch), F.size("item")).alias("need"),
+        ),
+        "seed-hits",
     )
-    hits = hits.select(
-        "doc_id",
-        "text_key",
-        "item_id",
-        (shift + first).alias("begin"),
-        along.alias("along"),
-        (F.col("item_at") - first).alias("hit"),
-        "length",
-        F.least(F.lit(stretch), F.size("item")).alias("need"),
-    ).where(F.size("along") >= F.col("need"))
+    along = F.zip_with("item_part", "part", lambda a, b: F.when(a == b, 1).otherwise(0))
+    hits = hits.withColumn("along", along).where(F.size("along") >= F.col("need"))
     starts = F.sequence(
         F.greatest(F.col("hit") + F.col("length") - F.col("need"), F.lit(0)),
         F.least(F.col("hit"), F.size("along") - F.col("need")),
@@ -112,7 +117,6 @@ def find_overlaps(
         "doc_id", "text_key", "item_id", similarity.alias("similarity"), (F.col("begin") - F.col("best.back")).alias("at")
     )
     return found.groupBy("doc_id", "text_key", "item_id").agg(
-        F.count(F.lit(1)).alias("hits"),
         F.max("similarity").alias("similarity"),
         F.min("at").cast("long").alias("at"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logtide.llm import decontam, exact, jaccard, lm, mixing, secrets, substring, suffix
+from logtide.llm import decontam, exact, jaccard, lm, mixing, secrets, substring, suffix, toxicity
 from logtide.llm.common import table
 from logtide.session import scratch_path
 
@@ -144,3 +144,13 @@ def language_model(spark, sf_dir):
     scored = lm.score(docs, model)
     train = F.lit(model.tokens).cast("long").alias("train_tokens")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", train, "base_score", "score")
+
+
+@query("op1_toxicity")
+def toxicity_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lm.id_remainder(5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    network = toxicity.fit_on(docs, labels)
+    scored = toxicity.score(docs.withColumn("held_out", held_out), network)
+    return scored.select("doc_id", "held_out", "score", "predicted")
