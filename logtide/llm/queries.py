@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logtide.llm import decontam, exact, jaccard, lm, mixing, secrets, substring, suffix, toxicity
+from logtide.llm import decontam, exact, jaccard, lm, mixing, secrets, substring, suffix, toxicity, warc
 from logtide.llm.common import table
 from logtide.session import scratch_path
 
@@ -121,14 +121,14 @@ def mixing_query(spark, sf_dir):
 @query("op6_substring_dedup")
 def substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = substring.drop_repeated_windows(docs)
+    cut = substring.drop_repeated_windows(docs, carry=["doc_id"])
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 @query("op9_suffix_dedup")
 def suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = suffix.drop_repeated_strings(docs)
+    cut = suffix.drop_repeated_strings(docs, carry=["doc_id"])
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
@@ -154,3 +154,50 @@ def toxicity_query(spark, sf_dir):
     network = toxicity.fit_on(docs, labels)
     scored = toxicity.score(docs.withColumn("held_out", held_out), network)
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query(
+    "op4_revisits",
+    r"""
+    WITH b AS (
+      SELECT page_id AS page, url, 1700000000 + page_id * 420 AS seconds, sha256(coalesce(html, '')) AS digest,
+             '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag
+      FROM pages),
+    r AS (
+      SELECT page * 4 AS record_id, 'response' AS kind, url, seconds AS moment, tag, digest, seconds FROM b
+      UNION ALL
+      SELECT page * 4 + 1, 'revisit', url || '#again', seconds + (page % 40 + 1) * 86400,
+             CASE WHEN page % 10 = 4 THEN '"changed"' WHEN page % 10 = 6 THEN NULL ELSE 'W/' || tag END, NULL, seconds
+      FROM b WHERE page % 2 = 0
+      UNION ALL
+      SELECT page * 4 + 2, 'revisit', url || '#again', seconds - 3600, tag, NULL, seconds FROM b WHERE page % 7 = 0),
+    u AS (
+      SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url,
+                '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+             regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> ''
+                AND NOT regexp_matches(p, '^(utm_[a-z]*|ref|fbclid|gclid)(=.*)?$'))) AS params
+      FROM r),
+    k AS (
+      SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN len(params) > 0
+                THEN '?' || array_to_string(params, '&') ELSE '' END END AS key
+      FROM u),
+    j AS (
+      SELECT v.record_id, v.key, v.moment, v.tag, arg_max(s.record_id, (s.moment, s.record_id)) AS base_id
+      FROM k v LEFT JOIN k s ON s.kind = 'response' AND s.key = v.key AND s.moment < v.moment
+      WHERE v.kind = 'revisit' GROUP BY ALL),
+    m AS (
+      SELECT j.*, s.digest AS stored, s.seconds, s.tag AS stored_tag,
+             CASE WHEN base_id IS NULL THEN 'no_earlier_response' WHEN j.tag IS NULL THEN 'no_validator'
+               WHEN regexp_replace(j.tag, '^W/', '') = s.tag THEN 'resolved' ELSE 'validator_mismatch' END AS status
+      FROM j LEFT JOIN k s ON s.record_id = j.base_id)
+    SELECT record_id, key AS url, status, base_id, CASE WHEN status = 'resolved' THEN stored END AS digest,
+           'cache-control: max-age=60' || chr(10) || 'content-type: '
+             || CASE WHEN status = 'resolved' THEN 'text/html' ELSE 'text/plain' END
+             || chr(10) || 'date: ' || moment || coalesce(chr(10) || 'etag: ' || tag, '')
+             || CASE WHEN status = 'resolved' THEN chr(10) || 'last-modified: ' || (seconds - 1000) ELSE '' END AS headers
+    FROM m""",
+)
+def revisits(spark, sf_dir):
+    records = warc.records_of_pages(table(spark, sf_dir, "pages"))
+    return warc.resolve_revisits(records).withColumn("headers", warc.header_text(F.col("headers")))
