@@ -1,6 +1,6 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-A word goes in as the embedding of its own hash and the sum of the embeddings of its character n-grams (3 to 7 bytes, the
+A word goes in as the embedding of its own hash and the mean of the embeddings of its character n-grams (3 to 7 bytes, the
 beginning of the word marked), so misspelt or joined words are known by their parts. The network reads windows of ``SPAN``
 words forwards and backwards, attention pools its states, and a logistic unit gives the window's score. A document's score
 is the highest of its windows; windows overlap and cover the whole text.
@@ -42,6 +42,7 @@ CHECKED = 4  # one in so many sampled documents sets the bias and is not trained
 LEAST = 5  # sampled documents that a word or n-gram must occur in to have an embedding
 EPOCHS = 6
 BATCH = 128
+STEPS = 200  # batches at least, so that a small sample is read more often
 RATE = 0.01
 DROP = 0.5  # share of a batch's different words whose own embedding is left out, so that their parts are learned too
 
@@ -71,11 +72,11 @@ class Vocabulary:
         self.grams = ids[turn]
         self.at = np.searchsorted(owner[turn], np.arange(len(first) + 1))
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sum of a row of values over the n-grams of each word."""
+    def means(self, values: np.ndarray) -> np.ndarray:
+        """Mean of a row of values over the n-grams of each word; 0 without any."""
         running = np.zeros((len(self.grams) + 1, values.shape[1]), values.dtype)
         np.cumsum(values[self.grams], axis=0, out=running[1:])
-        return running[self.at[1:]] - running[self.at[:-1]]
+        return (running[self.at[1:]] - running[self.at[:-1]]) / np.maximum(np.diff(self.at), 1)[:, None].astype(values.dtype)
 
 
 def windows_of(words: Words, texts: int, span: int = SPAN, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ class Network:
 
     def inputs(self, vocabulary: Vocabulary, held: np.ndarray | None = None) -> np.ndarray:
         own = self.p["words"][vocabulary.bucket]
-        return np.hstack([own if held is None else own * held[:, None], vocabulary.sums(self.p["grams"])])
+        return np.hstack([own if held is None else own * held[:, None], vocabulary.means(self.p["grams"])])
 
     def _read(self, gates: np.ndarray, index: np.ndarray, live: np.ndarray, way: str, keep: list | None) -> np.ndarray:
         """States after each word, reading forwards (f) or backwards (b). Padding leaves the state as it is."""
@@ -198,7 +199,8 @@ class Network:
         g["words"] = np.zeros_like(self.p["words"])
         np.add.at(g["words"], vocabulary.bucket, d_x[:, :WIDTH] if held is None else d_x[:, :WIDTH] * held[:, None])
         g["grams"] = np.zeros_like(self.p["grams"])
-        np.add.at(g["grams"], vocabulary.grams, np.repeat(d_x[:, WIDTH:], np.diff(vocabulary.at), axis=0))
+        number = np.diff(vocabulary.at)
+        np.add.at(g["grams"], vocabulary.grams, np.repeat(d_x[:, WIDTH:] / np.maximum(number, 1)[:, None], number, axis=0))
         return loss, g
 
     def train(self, texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> list[float]:
@@ -207,7 +209,7 @@ class Network:
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         step, history = 0, []
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS * BATCH // max(len(texts), 1)))):
             losses = []
             order = rng.permutation(len(texts))
             for lo in range(0, len(order), BATCH):
