@@ -67,7 +67,8 @@ class Texts:
 
 def texts_of(column: pa.Array) -> Texts:
     """A string column as bytes; null counts as empty."""
-    column = pc.fill_null(column, "") if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column
+    if column.null_count:
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     kind = np.int64 if wide else np.int32

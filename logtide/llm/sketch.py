@@ -48,16 +48,18 @@ def counter(hashes: np.ndarray, row: int, log_width: int) -> np.ndarray:
 def _sent(hashes: np.ndarray, rows: int, log_width: int, most: int | None) -> Iterator[pa.RecordBatch]:
     """The raised counters of a chunk by stripe; a counter that is raised more than ``most`` times is sent so often."""
     stripe = min(STRIPE, log_width)
+    starts = np.arange(1 << (log_width - stripe)) << stripe
     for row in range(rows):
-        numbers = np.sort(counter(hashes, row, log_width))
+        numbers = np.empty(len(hashes), np.uint32 if log_width <= 32 else np.int64)
+        for lo in range(0, len(hashes), 1 << 18):
+            numbers[lo : lo + (1 << 18)] = counter(hashes[lo : lo + (1 << 18)], row, log_width)
+        numbers.sort()
         if most is not None and len(numbers) > most:
             numbers = numbers[np.append(np.ones(most, bool), numbers[most:] != numbers[:-most])]
-        part = numbers >> stripe
-        edges = np.flatnonzero(np.diff(part, prepend=-1))
-        ids, data = [], []
-        for lo, hi in zip(edges, np.append(edges[1:], len(part)), strict=True):
-            ids.append((row << (log_width - stripe)) + int(part[lo]))
-            data.append(encode(numbers[lo:hi] & ((1 << stripe) - 1)))
+        edges = np.append(np.searchsorted(numbers, starts.astype(numbers.dtype)), len(numbers))
+        full = np.flatnonzero(np.diff(edges))
+        data = [encode(numbers[edges[i] : edges[i + 1]].astype(np.int64) - starts[i]) for i in full]
+        ids = (row << (log_width - stripe)) + full
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(data, pa.binary())], ["stripe", "raised"])
 
 
@@ -125,15 +127,17 @@ def build(
     most = 2 if bits else None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = np.empty(CHUNK, U), 0
         for part in hashes(batches):
-            held.append(part)
-            size += len(part)
-            if size >= CHUNK:
-                yield from _sent(np.concatenate(held), rows, log_width, most)
-                held, size = [], 0
+            while len(part):
+                fits = part[: CHUNK - size]
+                held[size : size + len(fits)] = fits
+                size, part = size + len(fits), part[len(fits) :]
+                if size == CHUNK:
+                    yield from _sent(held, rows, log_width, most)
+                    size = 0
         if size:
-            yield from _sent(np.concatenate(held), rows, log_width, most)
+            yield from _sent(held[:size], rows, log_width, most)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by stripe; one stripe is held at a time."""

@@ -27,19 +27,19 @@ from pyspark.sql import types as T
 
 from logtide.llm import sketch
 from logtide.llm.arrays import U, Words, blocks, run_hashes, whole_runs
-from logtide.llm.common import fresh, whole_text
-from logtide.session import materialise
+from logtide.llm.common import fresh, small_batches, whole_text
 
 WINDOW = 20
 ROOM = 4  # counters per window in each row of the sketch
 BYTES_PER_WORD = 6  # to size the sketch from the bytes of the texts
 LAST_ID = 2**63 - 1
-BLOCK = 4_000_000
+BLOCK = 2_000_000  # bytes of text whose windows are grouped before they are sent
 RUNS = "id bigint, text_key bigint, runs binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(id, text_key, text): the order of the documents; a null id stands behind all others."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"),
         F.xxhash64(whole_text()).alias("text_key"),
@@ -146,13 +146,18 @@ def repeated_windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
                 [none[0], done.column(0), done.column(1), none[1], done.column(2)], ["window", "id", "text_key", "place", "runs"]
             )
 
-    found = materialise(rows.mapInArrow(candidates, "window bigint, id bigint, text_key bigint, place int, runs binary"), "window-rows")
-    firsts = found.where(F.col("window").isNotNull()).drop("runs")
-    by_window = firsts.repartition("window").sortWithinPartitions("window", "id", "text_key", "place")
+    found = rows.mapInArrow(candidates, "window bigint, id bigint, text_key bigint, place int, runs binary")
+    # settled runs go where their document's number falls, so that they do not gather in one task
+    dealt = found.repartition(F.coalesce("window", F.xxhash64("id", "text_key")))
+    dealt = dealt.sortWithinPartitions("window", "id", "text_key", "place")
 
     def not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None  # window, id, text_key, place of the first row of the last window
         for batch in batches:
+            lost = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            if lost.any():
+                yield batch.filter(pa.array(lost)).select(["id", "text_key", "runs"])
+                batch = batch.filter(pa.array(~lost))
             if not batch.num_rows:
                 continue
             window, ids, keys, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -171,9 +176,7 @@ def repeated_windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
             order = order[np.lexsort((places[order], keys[order], ids[order]))]
             yield joined_runs(ids[order], keys[order], places[order])
 
-    rest = by_window.mapInArrow(not_first, RUNS)
-    settled = found.where(F.col("window").isNull()).select("id", "text_key", "runs")
-    return settled.unionByName(rest).groupBy("id", "text_key").agg(F.collect_list("runs").alias("parts"))
+    return dealt.mapInArrow(not_first, RUNS).groupBy("id", "text_key").agg(F.collect_list("runs").alias("parts"))
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -186,15 +189,19 @@ def with_runs(docs: DataFrame, runs: DataFrame) -> tuple[DataFrame, dict[str, st
     return marked.join(runs, [names["id"], names["text_key"]], "left"), names
 
 
-def apply_runs(docs: DataFrame, runs: DataFrame, added: T.StructType, cut) -> DataFrame:
-    """Run ``cut(text bytes, runs) -> values of the added columns`` on every document; keeps the documents' columns."""
+def apply_runs(docs: DataFrame, runs: DataFrame, added: T.StructType, cut, carry: list[str] | None = None) -> DataFrame:
+    """Run ``cut(text bytes, runs) -> values of the added columns`` on every document.
+
+    The result has the documents' columns, or those that ``carry`` names, and the added ones.
+    """
     joined, names = with_runs(docs, runs)
-    columns = docs.columns
+    columns = docs.columns if carry is None else carry
     into = [fresh(docs, f.name) for f in added.fields]
-    schema = T.StructType(list(docs.schema.fields) + [T.StructField(n, f.dataType) for n, f in zip(into, added.fields, strict=True)])
+    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(n, f.dataType) for n, f in zip(into, added.fields, strict=True)])
     arrow = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() if isinstance(f.dataType, T.StringType) else pa.binary() for f in added.fields]
     text = fresh(joined, "whole_text")
-    joined = joined.withColumn(text, F.to_binary(whole_text(), F.lit("utf-8"))).drop(names["id"], names["text_key"])
+    joined = joined.withColumn(text, F.to_binary(whole_text(), F.lit("utf-8")))
+    joined = joined.select(*[F.col(f"`{c}`") for c in columns], names["parts"], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -208,8 +215,11 @@ def apply_runs(docs: DataFrame, runs: DataFrame, added: T.StructType, cut) -> Da
     return joined.mapInArrow(run, schema)
 
 
-def drop_repeated_windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
+def drop_repeated_windows(docs: DataFrame, n: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """The documents with n_words, n_removed and kept_text (the words that stay, joined by one space).
+
+    ``carry`` names the columns to go on with; all by default.
+    """
 
     def cut(text: bytes, runs: np.ndarray | None) -> tuple[int, int, str]:
         words = text.split()
@@ -220,4 +230,4 @@ def drop_repeated_windows(docs: DataFrame, n: int = WINDOW) -> DataFrame:
         return len(words), int(gone.sum()), kept.decode("utf-8", "replace")
 
     added = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return apply_runs(docs, repeated_windows(docs, n), added, cut)
+    return apply_runs(docs, repeated_windows(docs, n), added, cut, carry)
