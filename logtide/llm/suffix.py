@@ -37,6 +37,7 @@ LENGTH = 100
 ROOM = 16  # counters per anchor in each row of the sketch
 COMMON = 2_000  # an anchor that is estimated to occur so often, above 8 times the mean load of a counter, is common
 SHALLOW = 2  # words of 8 bytes that quicksort compares before the tries take over
+BLOCK = 500_000  # bytes of text that are hashed at once
 SMALL = 24  # segments up to this size are sorted directly
 _INVERSE = U(pow(int(_BASE), -1, 2**64))
 _inverses = np.ones(1, U)
@@ -105,7 +106,7 @@ class Anchors:
 
 
 def anchor_hashes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[np.ndarray]:
-    for _, texts in blocks(batches):
+    for _, texts in blocks(batches, most=BLOCK):
         yield Anchors(texts, n).hash
 
 
@@ -150,6 +151,7 @@ def blind_trie(rows: list[int], strings: list[bytes]) -> list[int]:
 def deep_shallow(table: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
     """Order of the rows of a byte table whose width is a multiple of 8."""
     words = table.view(">u8").astype(U)
+    shallow = min(shallow, words.shape[1])
     strings = [r.tobytes() for r in table]
     heads = [s[: 8 * shallow] for s in strings]
     out: list[int] = []
@@ -191,8 +193,12 @@ def common_prefixes(table: np.ndarray, order: np.ndarray) -> np.ndarray:
 def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, step: int = 1) -> np.ndarray:
     """Rows of ``width`` bytes from ``start`` on, in steps of 1 or -1; zero beyond ``length``."""
     place = np.arange(width)
-    at = np.clip(start[:, None] + step * place, 0, max(len(data) - 1, 0))
-    return np.where(place < length[:, None], data[at], 0).astype(np.uint8)
+    out = np.zeros((len(start), width), np.uint8)
+    for lo in range(0, len(start), 10_000):
+        some = slice(lo, lo + 10_000)
+        at = np.clip(start[some, None] + step * place, 0, max(len(data) - 1, 0))
+        out[some] = np.where(place < length[some, None], data[at], 0)
+    return out
 
 
 def settle_classes(texts: Texts, back: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +245,7 @@ def repeated_strings(docs: DataFrame, n: int = LENGTH) -> DataFrame:
     common = COMMON + 8 * (expected >> coarse)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, most=BLOCK):
             order = ordered(batch)
             rank = np.full(len(texts), -1)
             rank[order] = np.arange(len(order))
@@ -379,8 +385,11 @@ def _packed(texts: Texts, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return texts.data[np.repeat(texts.at[rows] - at[:-1], size) + np.arange(at[-1])], at
 
 
-def drop_repeated_strings(docs: DataFrame, n: int = LENGTH) -> DataFrame:
-    """The documents with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes."""
+def drop_repeated_strings(docs: DataFrame, n: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
+    """The documents with n_bytes, n_removed, n_spans (maximal removed runs) and kept_bytes.
+
+    ``carry`` names the columns to go on with; all by default.
+    """
 
     def cut(text: bytes, runs: np.ndarray | None) -> tuple[int, int, int, bytes]:
         if runs is None:
@@ -390,4 +399,5 @@ def drop_repeated_strings(docs: DataFrame, n: int = LENGTH) -> DataFrame:
         return len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
     longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    return apply_runs(docs, repeated_strings(docs, n), T.StructType([*longs, T.StructField("kept_bytes", T.BinaryType())]), cut)
+    added = T.StructType([*longs, T.StructField("kept_bytes", T.BinaryType())])
+    return apply_runs(docs, repeated_strings(docs, n), added, cut, carry)
