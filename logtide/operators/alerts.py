@@ -75,12 +75,22 @@ def notification_outbox(
 
 
 def _score_text() -> Column:
-    return F.bround("anomaly_score", 4).cast("string")
+    """Four digits, zeros behind the last one cut, never in scientific form; no score counts as 0."""
+    digits = F.format_string("%.4f", F.bround(F.coalesce("anomaly_score", F.lit(0.0)), 4) + F.lit(0.0))
+    return F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
+
+
+def _service() -> Column:
+    return F.coalesce("service", F.lit("unknown"))
+
+
+def _level() -> Column:
+    return F.coalesce("level", F.lit("UNKNOWN"))
 
 
 def chat_text() -> Column:
     emoji = A.lookup(F.col("severity"), A.SEVERITY_EMOJI)
-    return F.concat(emoji, F.lit(" *Anomaly Detected* — `"), "service", F.lit("` ["), "severity", F.lit("]"))
+    return F.concat(emoji, F.lit(" *Anomaly Detected* — `"), _service(), F.lit("` ["), "severity", F.lit("]"))
 
 
 def chat_payload(brand: str, chat_channel: str) -> Column:
@@ -96,8 +106,8 @@ def chat_payload(brand: str, chat_channel: str) -> Column:
     emoji = A.lookup(F.col("severity"), A.SEVERITY_EMOJI)
     fields = F.array_compact(
         F.array(
-            field("Service", F.concat(F.lit("`"), "service", F.lit("`"))),
-            field("Level", F.col("level")),
+            field("Service", F.concat(F.lit("`"), _service(), F.lit("`"))),
+            field("Level", _level()),
             field("Anomaly Score", _score_text()),
             field("Severity", F.col("severity")),
             field("Response Time", F.concat(F.col("response_time_ms").cast("string"), F.lit("ms"))),
@@ -106,7 +116,7 @@ def chat_payload(brand: str, chat_channel: str) -> Column:
     )
     attachment = F.struct(
         A.lookup(F.col("severity"), A.SEVERITY_COLOR).alias("color"),
-        F.concat(F.lit("["), "severity", F.lit("] Anomaly in "), "service", F.lit(": "), message).alias("fallback"),
+        F.concat(F.lit("["), "severity", F.lit("] Anomaly in "), _service(), F.lit(": "), message).alias("fallback"),
         F.concat(emoji, F.lit(f" {brand} Anomaly Alert ["), "severity", F.lit("]")).alias("title"),
         F.concat(F.lit("*Message:* "), message).alias("text"),
         fields.alias("fields"),
@@ -123,7 +133,7 @@ def chat_payload(brand: str, chat_channel: str) -> Column:
 
 
 def mail_subject(brand: str) -> Column:
-    return F.concat(F.lit(f"[{brand}] ["), "severity", F.lit("] Anomaly Detected in "), "service")
+    return F.concat(F.lit(f"[{brand}] ["), "severity", F.lit("] Anomaly Detected in "), _service())
 
 
 def mail_body(brand: str) -> Column:
@@ -137,8 +147,8 @@ def mail_body(brand: str) -> Column:
         "\n",
         F.lit(f"{brand} Anomaly Alert"),
         line("Severity", F.col("severity")),
-        line("Service", F.col("service")),
-        line("Level", F.col("level")),
+        line("Service", _service()),
+        line("Level", _level()),
         line("Anomaly Score", _score_text()),
         line("Response Time", F.concat(F.col("response_time_ms").cast("string"), F.lit(" ms"))),
         line("Error Code", F.col("error_code")),

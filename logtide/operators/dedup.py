@@ -211,14 +211,20 @@ def open_suppressions(
     late_seconds: int = 600,
     key: str = "dedup_key",
     time: str = "detected_at",
+    now: Column | None = None,
 ) -> DataFrame:
-    """(key, free) to carry into the next batch: one row per key whose suppression may still matter."""
+    """(key, free) to carry into the next batch: one row per key whose suppression may still matter.
+
+    What is over is told by the latest alert that is not dated after ``now`` (the batch's own time), so an alert with a
+    wrong date ends no suppression.
+    """
     us = F.unix_micros(F.col(time).cast("timestamp"))
     notified = flagged.filter(~F.col("deduplicated") & F.col(key).isNotNull())
     ends = notified.groupBy(key).agg((F.max(us) + ttl_seconds * MICROS).alias("free"))
     if carried is not None:
         ends = ends.unionByName(carried.select(key, "free")).groupBy(key).agg(F.max("free").alias("free"))
-    horizon = flagged.agg(F.max(us) - late_seconds * MICROS).scalar()
+    believed = F.lit(True) if now is None else F.col(time).cast("timestamp") <= now
+    horizon = flagged.agg(F.max(F.when(believed, us)) - late_seconds * MICROS).scalar()
     return ends.filter(F.coalesce(F.col("free") > horizon, F.lit(True)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions import features as E
 from logtide.schemas import FEATURES
+from logtide.session import materialise
 
 MICROS = 1_000_000
 
@@ -84,9 +85,17 @@ def service_labels(df: DataFrame, known: DataFrame | None = None, time: str = "e
     return known.select("service", "service_id").unionByName(fresh)
 
 
-def encode_services(df: DataFrame, labels: DataFrame, out: str = "service_id_encoded") -> DataFrame:
-    """Add the label; a service without one gets its hash id. The optimizer picks the join by size."""
+def encode_services(
+    df: DataFrame, labels: DataFrame, out: str = "service_id_encoded", most_broadcast: int = 100_000
+) -> DataFrame:
+    """Add the label; a service without one gets its hash id.
+
+    A label table of up to ``most_broadcast`` rows is broadcast, so that the rows are not shuffled by a column of few
+    values. It is counted first: pass a stored table.
+    """
     named = labels.select("service", F.col("service_id").alias("_id"))
+    if named.limit(most_broadcast + 1).count() <= most_broadcast:
+        named = F.broadcast(named)
     return df.join(named, "service", "left").withColumn(
         out, F.coalesce("_id", E.hash_service(F.col("service"))).cast("int")
     ).drop("_id")
@@ -100,7 +109,7 @@ def extract_features(
     carried: DataFrame | None = None,
 ) -> DataFrame:
     """Add the ``features`` struct to normalised rows. Without ``labels`` the services of ``df`` define them."""
-    labels = service_labels(df, time=time) if labels is None else labels
+    labels = materialise(service_labels(df, time=time), "labels") if labels is None else labels
     counted = rolling_count(df, window_seconds, time=time, out="_count", carried=carried)
     return encode_services(counted, labels, out="_service").withColumn(
         "features", feature_struct(time)

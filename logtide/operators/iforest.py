@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,6 @@ from logtide.session import materialise
 
 EULER = 0.5772156649
 MAX_NODES = 4_000_000
-# Rows kept for sampling, as a multiple of the sample size of a tree.
-POOL = 64
 
 NODES = T.StructType(
     [
@@ -78,6 +77,14 @@ class ForestModel:
     nodes: DataFrame
     scaler: DataFrame | None
     meta: dict = field(default_factory=dict)
+    arrays: Broadcast | None = None
+    training_scores: DataFrame | None = None  # (id, raw) of the training rows, while the model is at hand
+
+    def release(self) -> None:
+        """Drop the node arrays from the executors, as when a newer version takes over."""
+        if self.arrays is not None:
+            self.arrays.unpersist()
+            self.arrays = None
 
     @property
     def columns(self) -> list[str]:
@@ -92,18 +99,15 @@ def hash_bound(share: float) -> int:
 def tree_samples(rows: DataFrame, columns: list[str], id_col: str, trees: int, psi: int, n: int, seed: int):
     """(tree, pos, features): for each tree ``psi`` rows without repeats, chosen by seeded hash.
 
-    One hash per row first keeps a pool of about ``POOL * psi`` rows, so the work per row does not grow with the
-    number of trees. In the pool a row is a candidate of a tree if its hash for that tree is under a bound that
-    leaves about 2*psi+64 candidates per tree; the ``psi`` smallest are taken. Only candidates are shuffled.
+    A row is a candidate of a tree if its hash for that tree is under a bound that leaves about 2*psi+64 candidates
+    per tree; the ``psi`` smallest are taken. Every tree draws from all rows, and only candidates are shuffled.
     """
-    in_pool = min(1.0, POOL * psi / max(n, 1))
-    pool = rows.filter(F.xxhash64(F.lit(seed), F.col(id_col)) <= F.lit(hash_bound(in_pool)))
-    share = min(1.0, (2 * psi + 64) / max(in_pool * n, 1.0))
+    share = min(1.0, (2 * psi + 64) / max(n, 1))
     picks = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed + 1), t, F.col(id_col)).alias("h")),
     )
-    candidates = pool.select(
+    candidates = rows.select(
         *columns, F.col(id_col), F.explode(F.filter(picks, lambda p: p["h"] <= hash_bound(share))).alias("p")
     ).select("p.tree", "p.h", *columns, F.col(id_col).cast("string").alias("_id"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", "_id"))
@@ -168,7 +172,8 @@ def fit_iforest(
     }
     model = ForestModel(nodes, scaler, meta)
     # the percentile reads the scores twice, so they are stored rather than computed again
-    raw = materialise(rows.select(raw_score(model, [F.col(c) for c in columns]).alias("raw")), "scores")
+    raw = rows.select(F.col(id_col), raw_score(model, [F.col(c) for c in columns]).alias("raw"))
+    raw = model.training_scores = materialise(raw, "scores")
     meta["offset"] = forest_offset(raw, contamination).first()["offset"]
     return model
 
@@ -199,29 +204,40 @@ def _arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
     }
 
 
-def mean_path(x: np.ndarray, forest: dict[str, np.ndarray]) -> np.ndarray:
-    """Average path length of each row, all rows of a batch walking one tree at a time."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for t in range(len(forest["feature"])):
-        feature, split, left, right = (forest[k][t] for k in ("feature", "split", "left", "right"))
-        at = np.zeros(len(x), dtype=np.int32)
+def mean_path(x: np.ndarray, forest: dict[str, np.ndarray], block: int = 2_048) -> np.ndarray:
+    """Average path length of each row. The rows of a block go down all trees together, one level at a step."""
+    trees, width = forest["feature"].shape
+    flat = {k: v.ravel() for k, v in forest.items()}
+    base = np.arange(trees) * width
+    out = np.empty(len(x))
+    for lo in range(0, len(x), block):
+        some = x[lo : lo + block]
+        values = some.ravel()
+        row = (np.arange(len(some)) * some.shape[1])[:, None]
+        at = np.repeat(base[None, :], len(some), axis=0)
         while True:
-            step = np.where(x[rows, feature[at]] <= split[at], left[at], right[at])
+            goes_left = values[row + flat["feature"][at]] <= flat["split"][at]
+            step = base + np.where(goes_left, flat["left"][at], flat["right"][at])
             if np.array_equal(step, at):
                 break
             at = step
-        total += forest["path"][t][at]
-    return total / len(forest["feature"])
+        out[lo : lo + block] = flat["path"][at].mean(axis=1)
+    return out
+
 
+def raw_score(model: ForestModel, inputs: list[Column], max_nodes: int = MAX_NODES) -> Column:
+    """``-s`` of a row, in (-1, 0).
 
-def raw_score(model: ForestModel, inputs: list[Column]) -> Column:
-    """``-s`` of a row, in (-1, 0). The node arrays are broadcast once; their size is checked."""
-    pdf = model.nodes.limit(MAX_NODES + 1).toPandas()
-    if len(pdf) > MAX_NODES:
-        raise ValueError(f"a forest has at most {MAX_NODES} nodes")
-    spark: SparkSession = model.nodes.sparkSession
-    forest = spark.sparkContext.broadcast(_arrays(pdf))
+    The node arrays are broadcast once per model. A forest has at most trees * (2 * samples - 1) nodes, whatever the
+    data; one of more than ``max_nodes`` (about 30 bytes each) is refused.
+    """
+    if model.arrays is None:
+        pdf = model.nodes.limit(max_nodes + 1).toPandas()
+        if len(pdf) > max_nodes:
+            raise ValueError(f"the forest has more than max_nodes={max_nodes} nodes")
+        spark: SparkSession = model.nodes.sparkSession
+        model.arrays = spark.sparkContext.broadcast(_arrays(pdf))
+    forest = model.arrays
     norm = float(average_path(model.meta["max_samples"])) or 1.0
 
     @F.pandas_udf(T.DoubleType())
@@ -239,10 +255,20 @@ def score(df: DataFrame, model: ForestModel, threshold: float = 0.0, struct: str
         inputs = [exprs[c] for c in model.columns]
     else:
         inputs = [F.col(f"{struct}.{c}" if struct else c).cast("double") for c in model.columns]
+    return _decide(df.withColumn("_raw", raw_score(model, inputs)), model, threshold)
+
+
+def score_training_rows(df: DataFrame, model: ForestModel, id_col: str, threshold: float = 0.0) -> DataFrame:
+    """``score`` of the rows that the model has just been fitted on, from the scores stored then; ids are unique."""
+    if model.training_scores is None:
+        raise ValueError("the model was loaded, not fitted here")
+    return _decide(df.join(model.training_scores.withColumnRenamed("raw", "_raw"), id_col), model, threshold)
+
+
+def _decide(df: DataFrame, model: ForestModel, threshold: float) -> DataFrame:
     decision = F.col("_raw") - F.lit(float(model.meta["offset"]))
     return (
-        df.withColumn("_raw", raw_score(model, inputs))
-        .withColumn("_d", decision)
+        df.withColumn("_d", decision)
         .withColumns(
             {
                 "anomaly_score": F.bround("_d", 6),

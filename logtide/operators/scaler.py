@@ -68,6 +68,9 @@ def seeded_hash(id_col: str, seed: int) -> Column:
     return F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint")
 
 
+MAX_LABELS = 1_000
+
+
 def stratified_split(
     df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2, seed: int = 42
 ) -> DataFrame:
@@ -79,4 +82,9 @@ def stratified_split(
     ranked = value_ranks(rows, "_h", band_width=2.0 ** (HASH_BITS - 12), by=[label])
     cut = ranked.filter(F.col("n_before") < F.ceil(F.col("n_all") * test_fraction))
     cuts = cut.groupBy(label).agg(F.max("_h").alias("_cut"))
-    return rows.join(cuts, label, "left").withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+    # one cut per label: a literal map instead of a shuffle of all rows by a column of few values
+    found = cuts.limit(MAX_LABELS + 1).collect()
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    cut_of = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(r["_cut"])) for r in found], F.lit(None))
+    return rows.withColumn("is_test", F.col("_h") <= cut_of.cast("bigint")).drop("_h")

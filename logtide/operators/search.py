@@ -77,19 +77,44 @@ def page_of(
     descending: bool = True,
     with_total: bool = False,
 ) -> DataFrame:
-    """One page in sort order, ties broken by id. Spark keeps only the top page*size rows per task.
+    """One page in sort order, missing values last, ties broken by id. Spark keeps only the top page*size rows per task;
+    for pages far behind use ``page_after``.
 
     ``with_total`` adds the number of rows over all pages, counted by a scalar subquery.
     """
     if page < 1 or not 1 <= size <= MAX_PAGE_SIZE:
         raise ValueError("page starts at 1, size is 1..100")
-    first = F.desc(sort) if descending else F.asc(sort)
+    first = F.desc_nulls_last(sort) if descending else F.asc_nulls_last(sort)
     rows = df.orderBy(first, F.asc(tie_break)).offset((page - 1) * size).limit(size)
     if with_total:
         rows = rows.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
     return rows
 
 
+def page_after(
+    df: DataFrame,
+    last: tuple | None,
+    size: int = 20,
+    sort: str = "event_time",
+    tie_break: str = "log_id",
+    descending: bool = True,
+) -> DataFrame:
+    """The page behind the row with ``last`` = (sort value, id), the first page without it.
+
+    The condition reaches the scan, so every page costs the same however far behind it is.
+    """
+    if last is not None:
+        value, row = last
+        at, end = F.col(sort), F.lit(value)
+        behind = F.col(tie_break) > F.lit(row)
+        if value is None:
+            df = df.filter(at.isNull() & behind)
+        else:
+            further = at < end if descending else at > end
+            df = df.filter(further | at.isNull() | ((at == end) & behind))
+    return page_of(df, 1, size, sort, tie_break, descending)
+
+
 def latest(df: DataFrame, k: int, time: str = "event_time", tie_break: str = "log_id") -> DataFrame:
     return df.orderBy(F.desc(time), F.asc(tie_break)).limit(k)
 

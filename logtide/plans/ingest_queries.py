@@ -353,7 +353,16 @@ def _container_lines(spark, sf_dir):
     log = F.when(F.col("event_id") % 2 == 0, nested).otherwise(F.concat(F.lit("plain "), "event_type"))
     level = F.when(F.col("event_id") % 3 == 0, "warn")
     line = F.to_json(F.struct(log.alias("log"), F.lit("stdout").alias("stream"), level.alias("severity")))
-    value = F.when(F.col("event_id") % 101 == 0, "not json").otherwise(line)
+    # other programs write records of their own, without a log member
+    own = F.to_json(
+        F.struct(
+            F.col("event_type").alias("message"),
+            F.lit("error").alias("level"),
+            F.concat(F.lit("t-"), "event_id").alias("trace_id"),
+            F.struct(F.col("user_id").alias("user")).alias("metadata"),
+        )
+    )
+    value = F.when(F.col("event_id") % 101 == 0, "not json").when(F.col("event_id") % 7 == 3, own).otherwise(line)
     return rows.select("event_id", value.alias("value"), name.alias("container_name"))
 
 
@@ -361,13 +370,28 @@ def _container_lines(spark, sf_dir):
     "collect_container_logs",
     f"""WITH c AS ({CONTAINER})
   SELECT 'docker' AS source, container_name, 'svc-' || (user_id % 10) AS service,
-    CASE WHEN event_id % 2 = 0 THEN 'ERROR' WHEN event_id % 3 = 0 THEN 'warn' ELSE 'INFO' END AS level,
-    CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'plain ' || event_type END AS message
+    CASE WHEN event_id % 7 = 3 THEN 'error' WHEN event_id % 2 = 0 THEN 'ERROR'
+      WHEN event_id % 3 = 0 THEN 'warn' ELSE 'INFO' END AS level,
+    CASE WHEN event_id % 7 = 3 OR event_id % 2 = 0 THEN event_type ELSE 'plain ' || event_type END AS message,
+    CASE WHEN event_id % 7 = 3 THEN 't-' || event_id END AS trace_id,
+    CASE WHEN event_id % 7 = 3 THEN '{{"user":' || user_id || '}}' END AS metadata
   FROM c WHERE event_id % 101 <> 0""",
 )
 def collect_container_logs(spark, sf_dir):
     rows = collect.collect_container_logs(_container_lines(spark, sf_dir), the_end())
-    return rows.select("source", "container_name", "service", "level", "message")
+    more = [F.try_element_at("members", F.lit(m)).alias(m) for m in ("trace_id", "metadata")]
+    return rows.select("source", "container_name", "service", "level", "message", *more)
+
+
+@query(
+    "collect_quarantine",
+    """SELECT event_id, 'not json' AS value, 'no JSON object' AS reason FROM events WHERE event_id % 101 = 0
+  UNION ALL SELECT event_id, 'no syslog', 'no syslog line' FROM events WHERE event_id % 103 = 0""",
+)
+def collect_quarantine(spark, sf_dir):
+    """Lines that no collector can read."""
+    container = collect.split_container_lines(_container_lines(spark, sf_dir))[1].drop("container_name")
+    return container.unionByName(collect.split_syslog_lines(_syslog_lines(spark, sf_dir))[1])
 
 
 @query(
@@ -375,7 +399,7 @@ def collect_container_logs(spark, sf_dir):
     f"""WITH c AS ({CONTAINER})
   SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ERROR' END AS level,
     CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'plain ' || event_type END AS message
-  FROM c WHERE event_id % 101 <> 0""",
+  FROM c WHERE event_id % 101 <> 0 AND event_id % 7 <> 3""",
 )
 def parse_nested_json(spark, sf_dir):
     lines = _container_lines(spark, sf_dir).withColumn("log", F.get_json_object("value", "$.log"))

@@ -281,7 +281,7 @@ def iforest_fit(spark, sf_dir):
 @query("iforest_score")
 def iforest_score(spark, sf_dir):
     rows = _stored_features(spark, sf_dir)
-    return iforest.score(rows, _model(rows)).select(
+    return iforest.score_training_rows(rows, _model(rows), "log_id").select(
         "log_id", "anomaly_score", "prediction", "is_anomaly", "threshold_used"
     )
 
@@ -321,7 +321,7 @@ def model_status(spark, sf_dir):
 def detect_and_dedup(spark, sf_dir):
     """The whole way: features, model score, alerts with severity, duplicates flagged."""
     rows = validate.score_inputs(_stored_features(spark, sf_dir))
-    scored = iforest.score(rows, _model(rows))
+    scored = iforest.score_training_rows(rows, _model(rows), "log_id")
     found = alerting.build_alerts(
         scored, F.col("event_time") + F.expr("INTERVAL 5 SECONDS"), alerting.repeatable_alert_id("log_id", "event_time")
     )

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # Severity names by their syslog number (fixed values).
 SYSLOG_SEVERITY = ["emerg", "alert", "crit", "err", "warn", "notice", "info", "debug"]
 
-CONTAINER_FIELDS = "log string, stream string, time string, level string, severity string"
-NESTED_FIELDS = "message string, level string, service string, response_time_ms string, error_code string"
+MEMBERS = "map<string,string>"
+# Members of a nested record that have a column of their own (fixed values); all others stay in ``members``.
+NESTED_COLUMNS = ("level", "service", "response_time_ms", "error_code")
 SYSLOG_LINE = r"^<(\d{1,3})>([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([^:\[\s]+)(?:\[(\d+)\])?: ?(.*)$"
 
 
@@ -28,41 +29,75 @@ def service_from_container(name: Column) -> Column:
     return F.substring_index(name, "-", 2)
 
 
+def json_members(text: Column) -> Column:
+    """All members of a JSON object as text by name; null if the text is no object."""
+    is_object = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    return F.when(is_object, F.from_json(text, MEMBERS))
+
+
+def split_container_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines that hold a JSON object, the others with the reason)."""
+    readable = json_members(F.col("value")).isNotNull()
+    return lines.filter(readable), lines.filter(~readable | F.col("value").isNull()).withColumn("reason", F.lit("no JSON object"))
+
+
 def collect_container_logs(lines: DataFrame, collected_at: Column, hostname: str | None = None) -> DataFrame:
-    """Container lines (value, container_name) to records; lines that are no JSON object are dropped."""
-    parsed = lines.withColumn("r", F.from_json("value", CONTAINER_FIELDS, {"mode": "PERMISSIVE"}))
-    level = F.coalesce("r.level", "r.severity", F.lit("INFO"))
-    rows = parsed.filter(F.col("r.log").isNotNull() | F.col("r.time").isNotNull()).select(
+    """Container lines (value, container_name) to records; every line that is a JSON object is one.
+
+    ``members`` holds all members of the line and of the record nested in its ``log``, which wins. Lines that are no
+    object come out of ``split_container_lines``.
+    """
+    parsed = split_container_lines(lines)[0].withColumn("members", json_members(F.col("value")))
+    member = lambda name: F.try_element_at("members", F.lit(name))
+    rows = parsed.select(
         F.lit("docker").alias("source"),
         "container_name",
-        "r.log",
-        F.col("r.time").alias("timestamp"),
-        level.alias("level"),
-        F.lit(hostname).cast("string").alias("host"),
+        member("log").alias("log"),
+        member("message").alias("message"),
+        member("time").alias("timestamp"),
+        F.coalesce(member("level"), member("severity"), F.lit("INFO")).alias("level"),
+        *[member(c).alias(c) for c in NESTED_COLUMNS if c not in ("level", "service")],
+        F.coalesce(F.lit(hostname).cast("string"), member("host")).alias("host"),
+        "members",
         collected_at.alias("collected_at"),
     )
     return parse_nested_json(rows).withColumn("service", service_from_container(F.col("container_name")))
 
 
 def parse_nested_json(rows: DataFrame, field: str = "log") -> DataFrame:
-    """Merge the members of a JSON text field into the row; the field stays, other texts are left as they are."""
-    nested = F.from_json(F.col(field), NESTED_FIELDS, {"mode": "PERMISSIVE"})
-    merged = rows.withColumn("_n", nested)
+    """Merge all members of a JSON text field into the row; the field stays, other texts are left as they are.
+
+    ``message``, level, service, latency and error code go to their columns; every member goes to the map ``members``.
+    """
+    merged = rows.withColumn("_n", json_members(F.col(field)))
     have = set(rows.columns)
-    cols = {"message": F.coalesce("_n.message", field)}
-    for name in ("level", "service", "response_time_ms", "error_code"):
-        own = [F.col(name)] if name in have else []
-        cols[name] = F.coalesce(F.col(f"_n.{name}"), *own)
+    nested = lambda name: F.try_element_at("_n", F.lit(name))
+    own = lambda name: [F.col(name)] if name in have else []
+    none = F.create_map().cast(MEMBERS)
+    before = F.coalesce("members", none) if "members" in have else none
+    inner = F.coalesce("_n", none)
+    cols = {name: F.coalesce(nested(name), *own(name)) for name in NESTED_COLUMNS}
+    cols["message"] = F.coalesce(nested("message"), *own("message"), field)
+    cols["members"] = F.map_concat(F.map_filter(before, lambda k, v: ~F.map_contains_key(inner, k)), inner)
     return merged.withColumns(cols).drop("_n")
 
 
+def split_syslog_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of the syslog form, the others with the reason)."""
+    readable = F.coalesce(F.col("value").rlike(SYSLOG_LINE), F.lit(False))
+    return lines.filter(readable), lines.filter(~readable).withColumn("reason", F.lit("no syslog line"))
+
+
 def collect_syslog(lines: DataFrame, year: Column, collected_at: Column) -> DataFrame:
-    """Syslog lines (value) to records; the line carries no year. Lines of another form are dropped."""
+    """Syslog lines (value) to records; the line carries no year.
+
+    Lines of another form come out of ``split_syslog_lines``.
+    """
     part = [F.regexp_extract("value", SYSLOG_LINE, i) for i in range(7)]
     pri = part[1].try_cast("int")
     severity = F.get(F.array(*[F.lit(s) for s in SYSLOG_SEVERITY]), pri.bitwiseAND(F.lit(7)))
     stamp = F.concat_ws(" ", year.cast("string"), F.regexp_replace(part[2], " +", " "))
-    return lines.filter(F.col("value").rlike(SYSLOG_LINE)).select(
+    return split_syslog_lines(lines)[0].select(
         F.lit("syslog").alias("source"),
         F.shiftright(pri, 3).alias("facility"),
         severity.alias("severity"),

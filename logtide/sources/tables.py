@@ -109,12 +109,17 @@ def load_model(spark: SparkSession, path: str) -> ForestModel:
     return ForestModel(nodes, scaler, meta)
 
 
-def newest_model(spark: SparkSession, root: str) -> ForestModel:
-    """The version with the highest name among those whose metadata is complete."""
+def newest_version(spark: SparkSession, root: str) -> str:
+    """The version with the highest number in its name among those whose metadata is complete; names break ties."""
     metas = spark.read.text(f"{root.rstrip('/')}/*/meta")
     versions = metas.select(F.get_json_object("value", "$.version").alias("v"))
-    top = versions.agg(F.max("v")).first()[0]
+    number = F.regexp_extract("v", r"(\d+)(?!.*\d)", 1).try_cast("decimal(38,0)")
+    top = versions.where("v IS NOT NULL").agg(F.max(F.struct(F.coalesce(number, F.lit(-1)).alias("n"), "v"))).first()[0]
     if top is None:
         raise FileNotFoundError(f"no model below {root}")
-    return load_model(spark, f"{root.rstrip('/')}/{top}")
+    return top["v"]
+
+
+def newest_model(spark: SparkSession, root: str) -> ForestModel:
+    return load_model(spark, f"{root.rstrip('/')}/{newest_version(spark, root)}")
 

@@ -13,7 +13,8 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -59,6 +60,19 @@ def put_json(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.select("value").write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
 
 
+def batch_time(spark: SparkSession, path: str, batch_id: int) -> Column:
+    """The time of a micro-batch: taken when it first runs and stored, so that a second run uses the same."""
+    own = f"{path}/batch_id={batch_id}"
+    try:
+        taken = spark.read.schema("at timestamp").parquet(own).first()
+    except AnalysisException:  # not there yet
+        taken = None
+    if taken is None:
+        spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").parquet(own)
+        taken = spark.read.schema("at timestamp").parquet(own).first()
+    return F.lit(taken["at"])
+
+
 def send_batch(rows: DataFrame, write: Callable[[DataFrame], None]) -> tuple[int, int]:
     """(sent, failed) of one batch: all rows or none, as a Spark write either commits or fails."""
     seen = Observation()
@@ -87,10 +101,12 @@ class ProcessLogs:
     store: Callable[[DataFrame, int], None] | None = None
     publish: Callable[[DataFrame, int], None] | None = None
     store_errors: list[int] = field(default_factory=list)
+    unstored: str = field(init=False)
 
     def __post_init__(self) -> None:
         self.counts = StateTable(self.spark, f"{self.out}/state/counts", "service string, _us bigint, _n bigint")
         self.labels = StateTable(self.spark, f"{self.out}/state/labels", "service string, service_id int")
+        self.unstored = f"{self.out}/unstored"
         self.store = self.store or (lambda rows, b: put(rows, f"{self.out}/logs", b, ["log_date"]))
         self.publish = self.publish or (
             lambda rows, b: put_json(topics.to_topic_records(rows), f"{self.out}/topic", b)
@@ -106,9 +122,12 @@ class ProcessLogs:
         put(bad, f"{self.out}/quarantine", batch_id)
         # written once per batch, then read by every later step
         path = f"{self.out}/normalised"
-        rows = normalise_logs(usable, repeatable_ids=["value"]).withColumn(
+        now = batch_time(self.spark, f"{self.out}/times", batch_id)
+        # equal lines are records of their own: the place in the batch goes into their id
+        placed = usable.withColumns({"_batch": F.lit(batch_id), "_place": F.monotonically_increasing_id()})
+        rows = normalise_logs(placed, now, now, repeatable_ids=["value", "_batch", "_place"]).withColumn(
             "ingested_at", F.col("ingested_at").try_cast("timestamp")
-        )
+        ).drop("_batch", "_place")
         put(rows.drop("value"), path, batch_id)
         rows = self.spark.read.schema(rows.drop("value").schema).parquet(f"{path}/batch_id={batch_id}")
 
@@ -117,20 +136,47 @@ class ProcessLogs:
         self.labels.after(batch_id, features.service_labels(rows, known))
         labels = self.labels.before(batch_id + 1)
         processed = conform(features.extract_features(rows, labels, self.window_seconds, carried=carried), PROCESSED_LOG)
-        self._keep_counts(rows, carried, batch_id)
+        self._keep_counts(rows, carried, batch_id, now)
+        dated = processed.withColumn("log_date", F.to_date("event_time"))
         try:
-            self.store(processed.withColumn("log_date", F.to_date("event_time")), batch_id)
+            self.store(dated, batch_id)
         except Exception:  # noqa: BLE001
             log.exception("logs of batch %s not stored, publishing goes on", batch_id)
             self.store_errors.append(batch_id)
+            put(dated, self.unstored, batch_id)
         self.publish(processed, batch_id)
 
-    def _keep_counts(self, rows: DataFrame, carried: DataFrame, batch_id: int) -> None:
+    def store_again(self) -> list[int]:
+        """Store the batches whose store failed, from the rows kept for that; returns those done.
+
+        A batch that was stored is marked by a file of its own; the rows are kept until the folder expires.
+        """
+        try:
+            kept = self.spark.read.parquet(self.unstored)
+        except AnalysisException:  # no store has failed
+            return []
+        waiting = sorted(r["batch_id"] for r in kept.select("batch_id").distinct().collect())  # a row per failed batch
+        done = []
+        for batch_id in waiting:
+            mark = f"{self.out}/stored_again/batch_id={batch_id}"
+            try:
+                self.spark.read.schema("batch_id bigint").parquet(mark).first()
+                continue
+            except AnalysisException:
+                pass
+            self.store(self.spark.read.parquet(f"{self.unstored}/batch_id={batch_id}"), batch_id)
+            self.spark.range(1).write.mode("overwrite").parquet(mark)
+            done.append(batch_id)
+        return done
+
+    def _keep_counts(self, rows: DataFrame, carried: DataFrame, batch_id: int, now: Column) -> None:
+        """Counts that later rows may need. Rows dated after the batch's own time don't tell how far time has come."""
         seen = features.counts_per_micro(rows).unionByName(carried).groupBy("service", "_us").agg(
             F.sum("_n").alias("_n")
         )
         keep = (2 * self.window_seconds + self.late_seconds) * MICROS
-        horizon = rows.agg(F.max(F.unix_micros("event_time")) - keep).scalar()
+        believed = F.when(F.col("event_time") <= now, F.unix_micros("event_time"))
+        horizon = rows.agg(F.max(believed) - keep).scalar()
         self.counts.after(batch_id, seen.filter(F.coalesce(F.col("_us") > horizon, F.lit(True))))
 
     def start(self, raw: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -145,16 +191,26 @@ class DetectAnomalies:
     models: str
     out: str
     threshold: float = 0.0
+    model: iforest.ForestModel | None = None
+
+    def current_model(self) -> iforest.ForestModel:
+        """The newest version; its nodes stay on the executors until another takes over."""
+        version = tables.newest_version(self.spark, self.models)
+        if self.model is None or self.model.meta["version"] != version:
+            if self.model is not None:
+                self.model.release()
+            self.model = tables.load_model(self.spark, f"{self.models.rstrip('/')}/{version}")
+        return self.model
 
     def each(self, batch: DataFrame, batch_id: int) -> None:
-        model = tables.newest_model(self.spark, self.models)
+        model = self.current_model()
         rows = validate.score_inputs(batch)
         checked = validate.validate_features(rows)
         put(checked.filter("reason IS NOT NULL"), f"{self.out}/rejected", batch_id)
         scored = iforest.score(checked.filter("reason IS NULL"), model, self.threshold)
         alerts = alerting.build_alerts(
             scored.filter("is_anomaly"),
-            F.current_timestamp(),
+            batch_time(self.spark, f"{self.out}/times", batch_id),
             alerting.repeatable_alert_id("log_id", "event_time"),
             threshold=None,
         )
@@ -186,13 +242,14 @@ class HandleAlerts:
         alerts = self.spark.read.parquet(f"{self.out}/alerts/batch_id={batch_id}")
         put(dedup.dedup_alerts(alerts, self.ttl_seconds, time=self.time, carried=carried), f"{self.out}/flagged", batch_id)
         flagged = self.spark.read.parquet(f"{self.out}/flagged/batch_id={batch_id}")
+        now = batch_time(self.spark, f"{self.out}/times", batch_id)
         self.open.after(
             batch_id,
-            dedup.open_suppressions(flagged, self.ttl_seconds, carried, self.late_seconds, time=self.time),
+            dedup.open_suppressions(flagged, self.ttl_seconds, carried, self.late_seconds, time=self.time, now=now),
         )
         put(alerting.notification_outbox(flagged, list(self.channels)), f"{self.out}/outbox", batch_id)
         marked = alerting.mark_notified(flagged, list(self.channels)).withColumn("seq", F.lit(batch_id))
-        changes = alerting.history_rows(marked, F.current_timestamp(), require_uuid=self.require_uuid)
+        changes = alerting.history_rows(marked, now, require_uuid=self.require_uuid)
         put(changes, f"{self.out}/changes", batch_id)
 
     def start(self, alerts: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -200,8 +257,10 @@ class HandleAlerts:
 
 
 def logs_per_minute(logs: DataFrame, out: str, checkpoint: str, late: str = "10 minutes", once: bool = True):
-    """Tumbling counts per service, written when a minute can no longer change. Later rows are dropped and counted
-    by the query's state metrics."""
+    """Tumbling counts per service. A minute is written whenever its count has changed, also while it is open;
+    ``minutes_so_far`` reads the newest count of each. Rows behind the watermark are dropped and counted by the
+    query's state metrics.
+    """
     counts = (
         logs.withWatermark("event_time", late)
         .groupBy(F.window("event_time", "1 minute"), "service")
@@ -209,15 +268,20 @@ def logs_per_minute(logs: DataFrame, out: str, checkpoint: str, late: str = "10
         .select(F.col("window.start").alias("bucket"), "service", "n")
     )
     writer = (
-        counts.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
+        counts.writeStream.foreachBatch(lambda rows, batch_id: put(rows, out, batch_id))
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .queryName("logs_per_minute")
     )
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
+def minutes_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """(bucket, service, n): the newest count of every minute. Counts only grow, so the newest is the largest."""
+    rows = spark.read.parquet(out)
+    return rows.groupBy("bucket", "service").agg(F.max("n").alias("n"))
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows a query dropped because they came after the watermark."""
     ops = [op for p in query.recentProgress for op in p["stateOperators"]]

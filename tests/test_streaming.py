@@ -109,8 +109,9 @@ def test_late_rows_are_counted(spark):
     put(5, 2005)
     query = go()
     assert jobs.late_rows(query) == 1
-    found = {r["bucket"]: r["n"] for r in spark.read.parquet(out).collect()}
-    assert found == {T0: 2, T0 + dt.timedelta(seconds=60): 1}
+    found = {r["bucket"]: r["n"] for r in jobs.minutes_so_far(spark, out).collect()}
+    # the last minute is still open and is there with its rows so far
+    assert found == {T0: 2, T0 + dt.timedelta(seconds=60): 1, T0 + dt.timedelta(seconds=1980): 2}
 
 
 def test_send_batch(spark):
