@@ -6,9 +6,9 @@ ones of each (the long lists) they share about c of those before (the short list
 
 1. A sketch of the short-list shingles of all documents shows which of them occur twice. A document with fewer than c such
    shingles has no partner and drops out; the sets of the others are stored.
-2. The short lists are inverted: rows (shingle, set) are sorted by shingle across the cluster, and each list of sets is a
-   block. Equal lists are one block, and a list is cut where sizes are too far apart to match. A long list becomes pairs
-   of parts of bounded size, which cover all its pairs.
+2. The short lists are inverted: rows (shingle, set) are sorted by shingle across the cluster. A list is cut where sizes
+   are too far apart to match; lists with the same first set are one block, so that a group of copies, whose lists differ
+   by a few members each, goes into few blocks. A long list becomes pairs of parts, which cover all its pairs.
 3. In each block the T-occurrence search runs as DivideSkip: the short inverted lists of a set are merged with a heap that
    skips what cannot reach the threshold, the long ones are probed by binary search, and sets that reach the overlap are
    linked. Sets that a block has connected already are not searched again, so a group of copies costs a chain of links,
@@ -30,20 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.llm import sketch
 from logtide.llm.arrays import U, Words, blocks, join_hash, mix64, run_hashes, whole_runs
-from logtide.llm.common import fresh, keep_rows, row_hash, whole_text
+from logtide.llm.common import fresh, keep_rows, row_hash, small_batches, whole_text
 from logtide.llm.components import components
 from logtide.llm.substring import BYTES_PER_WORD, text_bytes
 from logtide.session import materialise
 
 ROOM = 16  # counters per short-list shingle in each row of the sketch
 FREQUENT = 32  # estimated count, above the mean load of a counter, from which a shingle counts as frequent
-EXTRA = 25  # one more short list for so many shingles; c of the module text
-MEMBERS = 2_000  # sets in a part of a long list
+EXTRA = 10  # one more short list for so many shingles; c of the module text
+MOST = 1_000_000  # shingles of all sets of a list, from which it is cut into parts
 MU = 0.0085  # weight of a probe against a merge step in DivideSkip's choice of long lists
 
 
@@ -226,43 +226,60 @@ def _inverted(sets: DataFrame, shingles: Shingles, seen: sketch.Sketch) -> DataF
     return sets.mapInArrow(run, "shingle bigint, size bigint, digest bigint")
 
 
-def _lists(rows: DataFrame, percent: int, members: int) -> DataFrame:
-    """(block, digest): the sets of each inverted list; equal lists are one block."""
-
-    def blocks_of(digests: np.ndarray, sizes: np.ndarray, sent: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-        far = np.flatnonzero(100 * sizes[:-1] < percent * sizes[1:]) + 1
-        for some, own in zip(np.split(digests, far), np.split(sizes, far), strict=True):
-            cuts = range(0, len(some), members)
-            for i in cuts:
-                for j in cuts[: i // members + 1]:
-                    if 100 * own[min(j + members, len(some)) - 1] < percent * own[i]:
-                        continue
-                    both = some[i : i + members] if i == j else np.concatenate([some[j : j + members], some[i : i + members]])
-                    if len(both) < 2:
-                        continue
-                    block = int((mix64(both.view(U)).sum(dtype=U) + U(len(both))).view(np.int64))
-                    if block not in sent:
-                        sent.add(block)
-                        yield block, both
+def spare(size: int) -> int:
+    """Shared short-list shingles that a set may miss and still meet any partner: two sets miss fewer than they share."""
+    return (least_common(size) - 1) // 2
+
+
+def _lists(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """(block, digest): inverted lists with the same first set are one block.
+
+    A copy lacks some shingles of its group, so a group has many lists that differ a little, but few first sets. A list
+    of more than ``most`` shingles in all is cut into parts by set, and each pair of parts is a block. A set leaves the
+    blocks that hold fewest of its lists, as long as these lists are within what it may miss: chance matches end there.
+    """
+
+    def parts(digests: np.ndarray, total: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(block, places in the list)."""
+        number = 1 << (2 * total // most).bit_length()
+        part = (mix64(digests.view(U)) % U(number)).astype(np.int64)
+        own = [np.flatnonzero(part == i) for i in range(number)]
+        for i in range(number):
+            for j in range(i + 1):
+                name = np.array([digests.min(), number, i, j], np.int64).view(U)
+                both = own[i] if i == j else np.concatenate([own[j], own[i]])
+                yield int(join_hash(join_hash(name[:1], name[1:2]), join_hash(name[2:3], name[3:4])).view(np.int64)[0]), both
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
         left = [np.zeros(0, np.int64)] * 3
 
         def closed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             shingle, size, digest = columns
+            if not len(shingle):
+                return
             new = np.append(True, (np.diff(shingle) != 0) | (np.diff(digest) != 0))  # a set that several tasks have stored
-            shingle, size, digest = shingle[new[: len(shingle)]], size[new[: len(size)]], digest[new[: len(digest)]]
-            edges = np.flatnonzero(np.append(True, np.diff(shingle) != 0)) if len(shingle) else np.zeros(0, np.int64)
-            ends = np.append(edges[1:], len(shingle))
-            several = ends - edges > 1
-            names, held = [], []
-            for lo, hi in zip(edges[several].tolist(), ends[several].tolist(), strict=True):
-                for block, both in blocks_of(digest[lo:hi], size[lo:hi], sent):
-                    names.append(np.full(len(both), block))
-                    held.append(both)
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(held))], ["block", "digest"])
+            shingle, size, digest = shingle[new], size[new], digest[new]
+            far = (np.diff(shingle) != 0) | (100 * size[:-1] < percent * size[1:])  # no match across a gap in size
+            begin = np.flatnonzero(np.append(True, far))
+            number = np.diff(np.append(begin, len(shingle)))
+            total = np.add.reduceat(size, begin)
+            first = np.minimum.reduceat(digest, begin)
+            whole = np.repeat((number > 1) & (total <= most), number)
+            blocks_, places = [np.repeat(first, number)[whole]], [np.flatnonzero(whole)]
+            for k in np.flatnonzero((number > 1) & (total > most)):
+                for block, both in parts(digest[begin[k] : begin[k] + number[k]], int(total[k])):
+                    blocks_.append(np.full(len(both), block))
+                    places.append(begin[k] + both)
+            block, place = np.concatenate(blocks_), np.concatenate(places)
+            turn = np.lexsort((digest[place], block))
+            block, place = block[turn], place[turn]
+            edges = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(digest[place]) != 0))[: len(block)])
+            lists = np.diff(np.append(edges, len(block)))
+            head = place[edges]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[edges]), pa.array(digest[head]), pa.array(size[head]), pa.array(lists)],
+                ["block", "digest", "size", "lists"],
+            )
 
         for batch in batches:
             columns = [np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(left)]
@@ -274,7 +291,14 @@ def _lists(rows: DataFrame, percent: int, members: int) -> DataFrame:
         yield from closed(left)
 
     by_shingle = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "digest")
-    return by_shingle.mapInArrow(run, "block bigint, digest bigint").distinct()
+    found = by_shingle.mapInArrow(run, "block bigint, digest bigint, size bigint, lists bigint")
+    found = found.groupBy("block", "digest").agg(F.first("size").alias("size"), F.sum("lists").alias("lists"))
+    weakest = Window.partitionBy("digest").orderBy("lists", "block")
+    missed = F.sum("lists").over(weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    may_miss = F.expr(f"(greatest(1, size div {EXTRA}) - 1) div 2")  # spare()
+    found = materialise(found.withColumn("missed", missed).where(F.col("missed") > may_miss), "inverted-lists")
+    several = found.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(several, "block").select("block", "digest")
 
 
 def _search(blocks_rows: DataFrame, percent: int) -> DataFrame:
@@ -305,11 +329,12 @@ def _search(blocks_rows: DataFrame, percent: int) -> DataFrame:
     return blocks_rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def document_components(docs: DataFrame, words: int = 4, percent: int = 85, members: int = MEMBERS) -> DataFrame:
+def document_components(docs: DataFrame, words: int = 4, percent: int = 85, most: int = MOST) -> DataFrame:
     """(doc_id, row, size, component): ``component`` is a digest that linked documents share, null without words.
 
     ``row`` is the hash of all columns of the document.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_hash(docs).alias("row"), whole_text().alias("text"))
     expected = text_bytes(rows) // BYTES_PER_WORD
     coarse = sketch.log_width_for(expected // 64, 1, 24)
@@ -327,11 +352,11 @@ def document_components(docs: DataFrame, words: int = 4, percent: int = 85, memb
             different = {set_digest(s): s for s in sets}
             yield np.concatenate([*[shingles.short(s) for s in different.values()], np.zeros(0, U)])
 
-    width = sketch.log_width_for(expected * (100 - percent + 4) // 100, ROOM)
+    width = sketch.log_width_for(expected * (100 - percent + 100 // EXTRA) // 100, ROOM)
     seen = sketch.build(rows.select("text"), short_keys, "short-lists", width)
     found = materialise(_document_sets(rows, shingles, seen), "document-sets")
     some = found.where(F.col("shingles").isNotNull()).select("digest", "size", "shingles")
-    lists = materialise(_lists(_inverted(some, shingles, seen), percent, members), "inverted-lists")
+    lists = _lists(_inverted(some, shingles, seen), percent, most)
     unique = some.dropDuplicates(["digest"])
     searched = lists.join(unique, "digest").select("block", "size", "digest", "shingles")
     searched = searched.repartition("block").sortWithinPartitions("block", "size", "digest")
