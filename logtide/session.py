@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,27 @@ def local_session(cpus: int = 8, app: str = "logtide") -> SparkSession:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, where it is not installed on the cluster.
+
+    Functions that run in Python workers are pickled by reference, so workers must be able to import it. A package that
+    was loaded from an archive or a wheel is with the cluster already.
+    """
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="logtide-ship-")), "logtide.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 

@@ -171,3 +171,28 @@ def test_no_shuffle_by_label_or_service(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert split.groupBy("y").agg(F.sum(F.col("is_test").cast("int"))).collect() is not None
+
+
+def test_iso_forms(spark):
+    from datetime import datetime, timezone
+
+    from logtide.functions import normalise
+
+    texts = [
+        "20240115", "20240115T032214Z", "20240115T0322", "2024-W03-1", "2024W031", "2024-W03", "2024W03", "2020-W53-7",
+        "2024-01-15x03", "2024-01-15T0322", "20240115 03:22:14.5+0530", "2024-01-15T03:22:14,123456789-05", "20240115T24",
+        "2024-W54-1", "2021-W53-1", "2024-W03-8", "20241315", "2024-1-5", "2024-01-15T", "20240115T032", "2024-01-15T03:22:14.512Z",
+        "2024-01-15", "0001-W01-1", "2024-02-30", "x", "", "2024-01-15T03:22:14+01:30",
+    ]
+
+    def want(text):
+        try:
+            at = datetime.fromisoformat(text.replace("Z", "+00:00"))
+        except ValueError:
+            return None
+        return at.replace(tzinfo=at.tzinfo or timezone.utc).timestamp()
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select("t", F.unix_micros(normalise.parse_iso(F.col("t"))).alias("us")).collect()
+    got = {r["t"]: None if r["us"] is None else r["us"] / 1e6 for r in found}
+    assert got == {t: want(t) for t in texts}
