@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from logtide.functions import alerting as A
@@ -10,7 +12,7 @@ from logtide.operators import dedup, evaluate, features, iforest, scaler, stats,
 from logtide.operators.quantiles import percentiles
 from logtide.plans import inputs
 from logtide.plans.registry import query
-from logtide.plans.sqltext import LABELLED, PROC, SCORED
+from logtide.plans.sqltext import ALERTS, KEYED, LABELLED, PROC, SCORED, flagged
 from logtide.schemas import FEATURE_COLUMNS
 from logtide.session import materialise, scratch_path
 from logtide.sources import tables
@@ -239,13 +241,17 @@ def small_forest(spark) -> iforest.ForestModel:
     return iforest.ForestModel(nodes, None, meta)
 
 
-@query(
-    "iforest_score_fixed",
-    f"""WITH {PROC}, x AS (SELECT log_id, response_time_ms AS a, {BUCKET} AS b FROM proc),
+FIXED = f"""{PROC}, x AS (SELECT log_id, response_time_ms AS a, {BUCKET} AS b FROM proc),
   p AS (SELECT log_id, (CASE WHEN a > 900 THEN 2.0 WHEN b <= 3.5 THEN 4.0 ELSE 3.0 END
     + CASE WHEN b <= 1.5 THEN 3.5 WHEN a <= 2000 THEN 3.0 ELSE 2.0 END
     + CASE WHEN a <= 300 THEN 2.5 ELSE 3.0 END) / 3 AS h FROM x),
-  s AS (SELECT log_id, -pow(2, -h / (2 * (ln(7) + 0.5772156649) - 2 * 7.0 / 8)) + 0.45 AS d FROM p)
+  s AS (SELECT log_id, -pow(2, -h / (2 * (ln(7) + 0.5772156649) - 2 * 7.0 / 8)) + 0.45 AS d FROM p),
+  fixed AS (SELECT proc.*, d, round_even(d, 6) AS anomaly_score FROM proc JOIN s USING (log_id))"""
+
+
+@query(
+    "iforest_score_fixed",
+    f"""WITH {FIXED}
   SELECT log_id, round_even(d, 6) AS anomaly_score, CASE WHEN d < 0 THEN -1 ELSE 1 END AS prediction,
     d < 0.01 AS is_anomaly, 0.01 AS threshold_used FROM s""",
 )
@@ -266,6 +272,44 @@ def _model(rows, **kw):
     return iforest.fit_iforest(rows.select("log_id", "features"), "log_id", **kw)
 
 
+@query(
+    "iforest_invariants",
+    f"""WITH {PROC} SELECT CAST(t AS INTEGER) AS tree, least(256, (SELECT count(*) FROM proc))::BIGINT AS rows,
+    true AS binary_tree, true AS leaves_hold_all, true AS depth_bounded FROM range(100) r(t)""",
+)
+def iforest_invariants(spark, sf_dir):
+    """What holds for every trained tree, whatever the random splits: sample size, shape, rows in its leaves, depth."""
+    model = _model(_stored_features(spark, sf_dir))
+    leaf = F.col("feature") < 0
+    rows, psi = F.max("samples"), model.meta["max_samples"]
+    # a leaf's path is its depth plus the expected rest for its rows
+    bound = math.ceil(math.log2(max(psi, 2))) + float(iforest.average_path(psi))
+    return model.nodes.groupBy("tree").agg(
+        rows.cast("bigint").alias("rows"),
+        (2 * F.count_if(leaf) - 1 == F.count(F.lit(1))).alias("binary_tree"),
+        (F.sum(F.when(leaf, F.col("samples"))) == rows).alias("leaves_hold_all"),
+        (F.max("path") <= bound).alias("depth_bounded"),
+    )
+
+
+@query(
+    "iforest_share",
+    f"WITH {PROC} SELECT count(*) AS n, true AS in_bounds, true AS share_as_asked FROM proc",
+)
+def iforest_share(spark, sf_dir):
+    """Scores of the training rows: their bounds, and the contamination as the share below zero (ties stay above)."""
+    rows = _stored_features(spark, sf_dir)
+    model = _model(rows)
+    scored = iforest.score_training_rows(rows, model, "log_id")
+    below = F.count_if(F.col("prediction") == -1) / F.count(F.lit(1))
+    inside = F.min("anomaly_score") > -1 - model.meta["offset"]
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        (inside & (F.max("anomaly_score") < -model.meta["offset"])).alias("in_bounds"),
+        below.between(0.03, 0.05 + 1e-9).alias("share_as_asked"),
+    )
+
+
 @query("iforest_fit")
 def iforest_fit(spark, sf_dir):
     """Size and depth of every tree."""
@@ -317,6 +361,41 @@ def model_status(spark, sf_dir):
     return iforest.model_status(_model(_stored_features(spark, sf_dir), trees=20)).drop("trained_at")
 
 
+def flagged_alerts(spark, rows, scored):
+    """Scored logs to alerts with severity and duplicate flag."""
+    found = alerting.build_alerts(
+        scored, F.col("event_time") + F.expr("INTERVAL 5 SECONDS"), alerting.repeatable_alert_id("log_id", "event_time")
+    )
+    # stored, as the alert topic is: deduplication reads it several times and must not score the logs again
+    marked = dedup.dedup_alerts(materialise(dedup.with_dedup_key(found), "alerts"), 3_600, id_col="log_id")
+    return marked.select(
+        "alert_id",
+        "log_id",
+        "service",
+        "level",
+        "anomaly_score",
+        A.severity(F.col("anomaly_score"), F.col("level")).alias("severity"),
+        "deduplicated",
+    )
+
+
+FIXED_ALERTS = f"""{FIXED}, alerts AS (SELECT *, log_id AS alert_id, event_time + INTERVAL 5 SECOND AS detected_at
+  FROM fixed WHERE anomaly_score < 0)"""
+
+
+@query(
+    "detect_and_dedup_fixed",
+    f"""WITH RECURSIVE {FIXED_ALERTS}{KEYED.removeprefix(ALERTS)}, {flagged(3_600)}
+  SELECT log_id, service, level, anomaly_score, CASE WHEN anomaly_score < -0.3 AND level IN ('CRITICAL', 'ERROR')
+    THEN 'CRITICAL' WHEN anomaly_score < -0.2 OR level = 'ERROR' THEN 'HIGH' WHEN anomaly_score < -0.1 THEN 'MEDIUM'
+    ELSE 'LOW' END AS severity, deduplicated FROM flagged""",
+)
+def detect_and_dedup_fixed(spark, sf_dir):
+    """The whole way with three given trees, so that SQL can follow it from the log to the flag."""
+    rows = validate.score_inputs(_stored_features(spark, sf_dir))
+    return flagged_alerts(spark, rows, iforest.score(rows, small_forest(spark))).drop("alert_id")
+
+
 @query("detect_and_dedup")
 def detect_and_dedup(spark, sf_dir):
     """The whole way: features, model score, alerts with severity, duplicates flagged."""

@@ -111,6 +111,46 @@ def _stored_model(spark, sf_dir, trees: int = 20):
     return rows, model, root
 
 
+def _processed(spark, sf_dir):
+    return model_queries._stored_features(spark, sf_dir).select(
+        "log_id", "service", "level", "message", "host", "event_time", "response_time_ms", "error_code", "features"
+    )
+
+
+@query(
+    "stream_detect_fixed",
+    f"""WITH {model_queries.FIXED} SELECT log_id, service, anomaly_score, 'v0001' AS model_version FROM fixed
+  WHERE d < 0""",
+)
+def stream_detect_fixed(spark, sf_dir):
+    """Alerts of the streaming detector with three given trees."""
+    root, out, checkpoint = (scratch_path(spark, n) for n in ("models", "stream-detect", "checkpoint"))
+    tables.save_model(model_queries.small_forest(spark), root, "v0001")
+    job = jobs.DetectAnomalies(spark, root, out)
+    stream_parts(_processed(spark, sf_dir), "event_time", lambda s: job.start(s, checkpoint))
+    return spark.read.parquet(f"{out}/alerts").select("log_id", "service", "anomaly_score", "model_version")
+
+
+@query(
+    "stream_model_swap_fixed",
+    f"""WITH {model_queries.FIXED} SELECT log_id, CASE WHEN event_time < TIMESTAMP '{CUTS[0]}' THEN 'v9' ELSE 'v10' END
+    AS model_version FROM fixed WHERE CASE WHEN event_time < TIMESTAMP '{CUTS[0]}' THEN d < 0 ELSE d + 0.02 < 0 END""",
+)
+def stream_model_swap_fixed(spark, sf_dir):
+    """Alerts with the model version that found them, when a newer version appears between two runs of the query."""
+    root, out, checkpoint, landed = (scratch_path(spark, n) for n in ("models", "stream-swap", "checkpoint", "landed"))
+    stored = _processed(spark, sf_dir)
+    model = model_queries.small_forest(spark)
+    job = jobs.DetectAnomalies(spark, root, out)
+    early = F.coalesce(F.col("event_time") < F.lit(CUTS[0]).cast("timestamp"), F.lit(False))
+    for version, part in (("v9", stored.filter(early)), ("v10", stored.filter(~early))):
+        tables.save_model(model, root, version)
+        part.write.mode("append").parquet(landed)
+        job.start(spark.readStream.schema(stored.schema).parquet(landed), checkpoint).awaitTermination()
+        model.meta["offset"] -= 0.02
+    return spark.read.parquet(f"{out}/alerts").select("log_id", "model_version")
+
+
 @query("stream_detect")
 def stream_detect(spark, sf_dir):
     """Alerts of the streaming detector."""
