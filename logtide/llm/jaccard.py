@@ -372,6 +372,7 @@ def report_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Dat
     found = materialise(document_components(docs, words, percent), "components")
     least = found.where(F.col("component").isNotNull()).groupBy("component")
     least = least.agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = materialise(least, "component-ids")  # so that both sides of the join are plain and a large component is split
     return found.join(least, "component", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
