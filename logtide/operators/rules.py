@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,28 +26,55 @@ class Rule:
     hold_seconds: int
     severity: str
     summary: str = ""
+    description: str = ""
 
     def broken(self, value: Column) -> Column:
         return F.coalesce(OPERATORS[self.op](value, F.lit(self.limit)), F.lit(False))
 
 
-# Limits and hold times of the monitoring rules (fixed values).
-SERVICE_DOWN = Rule("ServiceDown", "==", 0, 60, "critical", "Service {job} is down")
-ANOMALY_RATE = Rule("HighAnomalyRate", ">", 0.5, 120, "warning", "High anomaly rate detected")
-ERROR_RATE = Rule("HighIngestionErrorRate", ">", 0.05, 120, "warning", "High error rate on {job}")
-CONSUMER_LAG = Rule("ConsumerLag", ">", 10_000, 300, "warning", "High consumer lag of {job}")
-SLOW_RESPONSE = Rule("SlowResponse", ">", 2, 300, "warning", "Slow response times")
-CPU_BUSY = Rule("HighCPUUsage", ">", 85, 300, "warning", "High CPU usage on {job}")
-LOW_DISK = Rule("LowDiskSpace", "<", 15, 300, "critical", "Low disk space on {job}")
-CLUSTER_RED = Rule("SearchClusterUnhealthy", "==", 1, 120, "critical", "Search cluster is RED")
+# Names, limits, hold times and texts of the monitoring rules (fixed values). In texts {job} is the label of the series
+# and {value} its value with four digits.
+SERVICE_DOWN = Rule(
+    "ServiceDown", "==", 0, 60, "critical", "Service {job} is down", "{job} has been down for more than 1 minute."
+)
+ANOMALY_RATE = Rule(
+    "HighAnomalyRate", ">", 0.5, 120, "warning", "High anomaly rate detected",
+    "Anomaly rate is {value} per second (threshold: 0.5/s)",
+)
+ERROR_RATE = Rule(
+    "HighIngestionErrorRate", ">", 0.05, 120, "warning", "High error rate on {job}", "Error rate is {value} (threshold: 0.05)"
+)
+CONSUMER_LAG = Rule(
+    "KafkaConsumerLag", ">", 10_000, 300, "warning", "High consumer lag of {job}", "Consumer group {job} has lag {value}"
+)
+SLOW_RESPONSE = Rule(
+    "SlowAPIResponse", ">", 2, 300, "warning", "Slow API response times", "95th percentile response time is {value} s"
+)
+CPU_BUSY = Rule("HighCPUUsage", ">", 85, 300, "warning", "High CPU usage on {job}", "CPU usage is {value}%")
+LOW_DISK = Rule("LowDiskSpace", "<", 15, 300, "critical", "Low disk space on {job}", "Available disk space is {value}%")
+CLUSTER_RED = Rule(
+    "ElasticsearchClusterUnhealthy", "==", 1, 120, "critical", "Elasticsearch cluster is RED",
+    "Elasticsearch cluster health is RED, data may be unavailable",
+)
+RULES = (SERVICE_DOWN, ANOMALY_RATE, ERROR_RATE, CONSUMER_LAG, SLOW_RESPONSE, CPU_BUSY, LOW_DISK, CLUSTER_RED)
+
+
+def rendered(text: str) -> Column:
+    """A rule's text with {value} and the labels in braces filled in from the columns of the vector."""
+    parts = []
+    for i, part in enumerate(re.split(r"\{(\w+)\}", text)):
+        if i % 2 == 0:
+            parts.append(F.lit(part))
+        elif part == "value":
+            number = F.format_string("%.4f", F.col("value").cast("double"))
+            parts.append(F.when(F.col("value").isNotNull(), number).otherwise("NaN"))
+        else:
+            parts.append(F.coalesce(F.col(part).cast("string"), F.lit("")))
+    return F.concat(*parts)
 
 
 def apply_rule(vector: DataFrame, rule: Rule) -> DataFrame:
-    """(alertname, severity, job, ts, value, active, summary) for every sample of the vector."""
-    before, _, after = rule.summary.partition("{job}")
-    summary = F.concat(F.lit(before), F.coalesce("job", F.lit("")), F.lit(after)) if "{job}" in rule.summary else (
-        F.lit(rule.summary)
-    )
+    """(alertname, severity, job, ts, value, active, summary, description) for every sample of the vector."""
     return vector.select(
         F.lit(rule.name).alias("alertname"),
         F.lit(rule.severity).alias("severity"),
@@ -55,7 +83,8 @@ def apply_rule(vector: DataFrame, rule: Rule) -> DataFrame:
         "ts",
         "value",
         rule.broken(F.col("value")).alias("active"),
-        summary.alias("summary"),
+        rendered(rule.summary).alias("summary"),
+        rendered(rule.description).alias("description"),
     )
 
 

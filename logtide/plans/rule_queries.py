@@ -158,7 +158,7 @@ EVALUATED = f"""{RATIO}, upv AS (SELECT ts, service AS job, min(CASE WHEN event_
   evaluated AS (
     SELECT 'ServiceDown' AS alertname, 'critical' AS severity, 60 AS hold, job, ts, value, value = 0 AS active,
       'Service ' || job || ' is down' AS summary FROM upv
-    UNION ALL SELECT 'ConsumerLag', 'warning', 300, job, ts, value, value > 10000, 'High consumer lag of ' || job FROM lagv
+    UNION ALL SELECT 'KafkaConsumerLag', 'warning', 300, job, ts, value, value > 10000, 'High consumer lag of ' || job FROM lagv
     UNION ALL SELECT 'LowDiskSpace', 'critical', 300, job, ts, value, value < 15, 'Low disk space on ' || job FROM diskv
     UNION ALL SELECT 'HighIngestionErrorRate', 'warning', 120, job, ts, value, coalesce(value > 0.05, false),
       'High error rate on ' || job FROM ratio)"""
@@ -210,12 +210,77 @@ def alert_intervals(spark, sf_dir):
 def _severe_lag(spark, sf_dir):
     """Lag rule at two limits under one name, so a critical alert can mute its warning."""
     lag = inputs.samples(spark, sf_dir, "consumer_lag").select("ts", metrics.label("job").alias("job"), "value")
-    warn = rules.Rule("ConsumerLag", ">", 8_000, 0, "warning")
-    worse = rules.Rule("ConsumerLag", ">", 15_000, 0, "critical")
+    warn = rules.Rule("KafkaConsumerLag", ">", 8_000, 0, "warning")
+    worse = rules.Rule("KafkaConsumerLag", ">", 15_000, 0, "critical")
     both = rules.apply_rule(lag, warn).unionByName(rules.apply_rule(lag, worse))
     return both.filter("active")
 
 
+def _told(rows):
+    """What a rule says about each sample, with the time and value that the SQL twins give."""
+    rows = rows.select("alertname", "job", "ts", F.round("value", 6).alias("value"), "active", "summary", "description")
+    return stamped(rows, "ts")
+
+
+def _told_sql(name: str, active: str, summary: str, description: str, source: str) -> str:
+    return f"""SELECT '{name}' AS alertname, job, {TS}, round(value, 6) AS value, coalesce({active}, false) AS active,
+    {summary} AS summary, {description} AS description FROM {source}"""
+
+
+@query(
+    "rule_cpu_busy",
+    f"""WITH {CPU}, v AS (SELECT ts, instance AS job, 100 - rate * 100 AS value FROM rates)
+  {_told_sql("HighCPUUsage", "value > 85", "'High CPU usage on ' || job",
+             "'CPU usage is ' || printf('%.4f', value) || '%'", "v")}""",
+)
+def rule_cpu_busy(spark, sf_dir):
+    busy = metrics.cpu_busy(inputs.samples(spark, sf_dir, "node_cpu_seconds_total"))
+    return _told(rules.apply_rule(busy.withColumnRenamed("instance", "job"), rules.CPU_BUSY))
+
+
+@query(
+    "rule_anomaly_rate",
+    f"""WITH {SAMPLES}, {rates("service", 3600)}, v AS (SELECT ts, service AS job, rate * 100 AS value FROM rates)
+  {_told_sql("HighAnomalyRate", "value > 0.5", "'High anomaly rate detected'",
+             "'Anomaly rate is ' || printf('%.4f', value) || ' per second (threshold: 0.5/s)'", "v")}""",
+)
+def rule_anomaly_rate(spark, sf_dir):
+    """The rule over a counter's rate, a hundred times that of the log lines here."""
+    rate = metrics.counter_rate(inputs.samples(spark, sf_dir, "logs_total"), 3600)
+    vector = rate.select("ts", metrics.label("service").alias("job"), (F.col("rate") * 100).alias("value"))
+    return _told(rules.apply_rule(vector, rules.ANOMALY_RATE))
+
+
+@query(
+    "rule_cluster_red",
+    f"""WITH {UP}, v AS (SELECT ts, 'search' AS job, 1 - min(value) AS value FROM up GROUP BY 1)
+  {_told_sql("ElasticsearchClusterUnhealthy", "value = 1", "'Elasticsearch cluster is RED'",
+             "'Elasticsearch cluster health is RED, data may be unavailable'", "v")}""",
+)
+def rule_cluster_red(spark, sf_dir):
+    """The rule over a health gauge, which is red here when any service is down."""
+    up = inputs.samples(spark, sf_dir, "up").groupBy("ts").agg((1 - F.min("value")).alias("value"))
+    return _told(rules.apply_rule(up.withColumn("job", F.lit("search")), rules.CLUSTER_RED))
+
+
+@query(
+    "rule_slow_response",
+    f"""WITH {SAMPLE_BASE}, per_minute AS ({_bucket_sql()}),
+  samples AS (SELECT *, CAST(sum(n) OVER (PARTITION BY le ORDER BY ts) AS DOUBLE) AS value FROM per_minute),
+  {rates("le", 21600)},
+  cum AS (SELECT ts, le, rate AS n, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(rate) OVER w, 0) AS below,
+    max(rate) OVER (PARTITION BY ts) AS total FROM rates WINDOW w AS (PARTITION BY ts ORDER BY le)),
+  t AS (SELECT DISTINCT ts FROM cum), v AS (SELECT ts, 'api' AS job, {_quantile_sql(0.95)} / 1000 AS value FROM t)
+  {_told_sql("SlowAPIResponse", "value > 2", "'Slow API response times'",
+             "'95th percentile response time is ' || coalesce(printf('%.4f', value), 'NaN') || ' s'", "v")}""",
+)
+def rule_slow_response(spark, sf_dir):
+    """The rule over a histogram quantile, brought from milliseconds to seconds."""
+    buckets = metrics.counter_rate(inputs.samples(spark, sf_dir, "http_request_duration_bucket"), 21_600)
+    p95 = metrics.histogram_quantiles(buckets, {"value": 0.95}).withColumn("value", F.col("value") / 1000)
+    return _told(rules.apply_rule(p95.withColumn("job", F.lit("api")), rules.SLOW_RESPONSE))
+
+
 @query(
     "inhibit_alerts",
     f"""WITH {LAG} SELECT job, {TS}, 'critical' AS severity FROM lag_samples WHERE value > 15000
