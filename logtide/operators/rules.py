@@ -33,7 +33,7 @@ class Rule:
 
 
 # Names, limits, hold times and texts of the monitoring rules (fixed values). In texts {job} is the label of the series
-# and {value} its value with four digits.
+# and {value} its value cut to two digits.
 SERVICE_DOWN = Rule(
     "ServiceDown", "==", 0, 60, "critical", "Service {job} is down", "{job} has been down for more than 1 minute."
 )
@@ -66,7 +66,7 @@ def rendered(text: str) -> Column:
         if i % 2 == 0:
             parts.append(F.lit(part))
         elif part == "value":
-            number = F.format_string("%.4f", F.col("value").cast("double"))
+            number = F.format_string("%.2f", F.floor(F.col("value").cast("double") * 100) / 100)
             parts.append(F.when(F.col("value").isNotNull(), number).otherwise("NaN"))
         else:
             parts.append(F.coalesce(F.col(part).cast("string"), F.lit("")))

@@ -231,7 +231,7 @@ def _told_sql(name: str, active: str, summary: str, description: str, source: st
     "rule_cpu_busy",
     f"""WITH {CPU}, v AS (SELECT ts, instance AS job, 100 - rate * 100 AS value FROM rates)
   {_told_sql("HighCPUUsage", "value > 85", "'High CPU usage on ' || job",
-             "'CPU usage is ' || printf('%.4f', value) || '%'", "v")}""",
+             "'CPU usage is ' || printf('%.2f', floor(value * 100) / 100) || '%'", "v")}""",
 )
 def rule_cpu_busy(spark, sf_dir):
     busy = metrics.cpu_busy(inputs.samples(spark, sf_dir, "node_cpu_seconds_total"))
@@ -242,7 +242,7 @@ def rule_cpu_busy(spark, sf_dir):
     "rule_anomaly_rate",
     f"""WITH {SAMPLES}, {rates("service", 3600)}, v AS (SELECT ts, service AS job, rate * 100 AS value FROM rates)
   {_told_sql("HighAnomalyRate", "value > 0.5", "'High anomaly rate detected'",
-             "'Anomaly rate is ' || printf('%.4f', value) || ' per second (threshold: 0.5/s)'", "v")}""",
+             "'Anomaly rate is ' || printf('%.2f', floor(value * 100) / 100) || ' per second (threshold: 0.5/s)'", "v")}""",
 )
 def rule_anomaly_rate(spark, sf_dir):
     """The rule over a counter's rate, a hundred times that of the log lines here."""
@@ -272,7 +272,7 @@ def rule_cluster_red(spark, sf_dir):
     max(rate) OVER (PARTITION BY ts) AS total FROM rates WINDOW w AS (PARTITION BY ts ORDER BY le)),
   t AS (SELECT DISTINCT ts FROM cum), v AS (SELECT ts, 'api' AS job, {_quantile_sql(0.95)} / 1000 AS value FROM t)
   {_told_sql("SlowAPIResponse", "value > 2", "'Slow API response times'",
-             "'95th percentile response time is ' || coalesce(printf('%.4f', value), 'NaN') || ' s'", "v")}""",
+             "'95th percentile response time is ' || coalesce(printf('%.2f', floor(value * 100) / 100), 'NaN') || ' s'", "v")}""",
 )
 def rule_slow_response(spark, sf_dir):
     """The rule over a histogram quantile, brought from milliseconds to seconds."""
