@@ -3,17 +3,18 @@
 Only a notifying alert (an *anchor*) opens a suppression interval of one TTL; suppressed alerts do not extend
 it. Anchors of one key therefore form a chain: each is the first alert at or after the end of the interval of
 the one before. The chain is sequential in time, yet a busy key must not sit in one task, so it is computed as
-a parallel scan over time chunks:
+a parallel scan over chunks of at most ``CHUNK_ROWS`` alert times of a key:
 
 1. per (key, chunk): a chain that is free to notify from time b on when it enters the chunk, from when is it free
-   again when it leaves? The answer is a step function of b, kept as breakpoints. Chains merge as they go, so the
-   longer the chunk, the fewer the steps.
-2. per (key, group of chunks): the step functions of the chunks put after one another.
-3. per key: run through the groups in order to learn from when each group is free; then, per group, the same for
-   its chunks.
+   again when it leaves? The answer is a step function of b, kept as breakpoints, never more than there are times.
+2. level by level, the step functions of ``FAN`` neighbours put after one another give that of their group. A chain
+   enters within one TTL of the group's first alert, so it has at most a step for each alert time of that TTL.
+3. from the top level down: with the time from which a group is free, run through its members to learn theirs.
 4. per (key, chunk): replay the chain from that time.
 
-A task holds the alert times of one key in one chunk (a few TTLs), or the steps of one group, never a whole key.
+A key of one chunk, as nearly all are, needs the last step only. No array is longer than ``CHUNK_ROWS`` or the number of
+distinct alert times that one key has within one TTL, and no row holds more than ``FAN`` of them, however many alerts a
+key has in all and however they are spaced.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import types as T
 
 from logtide.functions.alerting import dedup_key
 from logtide.operators.quantiles import value_ranks
+from logtide.session import materialise
 
 MICROS = 1_000_000
 DEFAULT_TTL = 3600
-CHUNK_TTLS = 4
-GROUP_CHUNKS = 16
+CHUNK_ROWS = 10_000
+FAN = 16
 NEVER = -(2**62)
 
 EXITS = T.StructType(
@@ -75,32 +77,50 @@ def chunk_exits(ttl: int):
     return exits
 
 
-def group_exits(ttl: int, group_us: int):
-    """UDF over the step functions of the chunks of a group, in order: the step function of the group."""
+def group_exits(ttl: int):
+    """UDF over the step functions of the members of a group, in order: the step function of the group."""
 
     @F.pandas_udf(EXITS)
-    def exits(group: pd.Series, uptos: pd.Series, leaves: pd.Series) -> pd.DataFrame:
+    def exits(uptos: pd.Series, leaves: pd.Series) -> pd.DataFrame:
         found = []
-        for number, us, ls in zip(group, uptos, leaves):
+        for us, ls in zip(uptos, leaves):
             upto, leave = (np.asarray(x[0], dtype=np.int64) for x in (us, ls))
+            last = upto[0] + ttl  # a chain cannot enter later than one TTL after the first alert
             for u, v in zip(us[1:], ls[1:]):
                 u, v = np.asarray(u, dtype=np.int64), np.asarray(v, dtype=np.int64)
                 at = np.searchsorted(u, leave)
                 moved = np.where(at < len(u), v[np.minimum(at, len(u) - 1)], leave)
                 beyond = u > upto[-1]
                 upto, leave = _steps(np.append(upto, u[beyond]), np.append(moved, v[beyond]))
-            entries = np.searchsorted(upto, number * group_us + ttl, side="right") + 1
-            found.append((upto[:entries], leave[:entries]))
+                entries = np.searchsorted(upto, last, side="right") + 1
+                upto, leave = upto[:entries], leave[:entries]
+            found.append((upto, leave))
         return pd.DataFrame(found, columns=["upto", "leave"])
 
     return exits
 
 
+def replay_chain(ttl: int):
+    """UDF over the sorted alert times of a chunk and the time from which the chain is free: the anchors."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def anchors(times: pd.Series, free: pd.Series) -> pd.Series:
+        found = []
+        for t, start in zip(times, free):
+            t = np.asarray(t, dtype=np.int64)
+            at, own = int(np.searchsorted(t, start)), []
+            while at < len(t):
+                own.append(int(t[at]))
+                at = int(np.searchsorted(t, t[at] + ttl))
+            found.append(own)
+        return pd.Series(found)
+
+    return anchors
+
+
 def _entries(steps: DataFrame, keys: list[str], start: DataFrame | None) -> DataFrame:
-    """(keys, chunk, free): from when the chain is free at each chunk, given where it starts per ``keys``."""
-    per_key = steps.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "upto", "leave"))).alias("steps")
-    )
+    """(keys, node, free): from when the chain is free at each node, given where it starts per ``keys``."""
+    per_key = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("node", "upto", "leave"))).alias("steps"))
     free = F.lit(NEVER).cast("bigint")
     if start is not None:
         per_key = per_key.join(start, keys, "left")
@@ -109,54 +129,55 @@ def _entries(steps: DataFrame, keys: list[str], start: DataFrame | None) -> Data
     def advance(acc: Column, step: Column) -> Column:
         pos = F.size(F.filter(step["upto"], lambda u: u < acc["free"]))
         leave = F.coalesce(F.get(step["leave"], pos), acc["free"])
-        entry = F.struct(step["chunk"].alias("chunk"), acc["free"].alias("free"))
+        entry = F.struct(step["node"].alias("node"), acc["free"].alias("free"))
         return F.struct(leave.alias("free"), F.concat(acc["entries"], F.array(entry)).alias("entries"))
 
-    none = F.array().cast("array<struct<chunk:bigint,free:bigint>>")
+    none = F.array().cast("array<struct<node:bigint,free:bigint>>")
     walked = F.aggregate("steps", F.struct(free.alias("free"), none.alias("entries")), advance)
     return per_key.select(*keys, F.explode(walked["entries"]).alias("e")).select(*keys, "e.*")
 
 
+def _parent() -> Column:
+    return F.expr(f"node div {FAN}").alias("_parent")
+
+
 def anchor_times(
     times: DataFrame,
     keys: list[str],
     ttl_us: int,
-    chunk_us: int | None = None,
     carried: DataFrame | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(keys, us) of the anchors, from distinct (keys, us) rows. The result has one row per anchor.
 
     ``carried`` (keys, free) says until when earlier alerts suppress a key.
     """
-    chunk_us = chunk_us or CHUNK_TTLS * ttl_us
-    group_us = GROUP_CHUNKS * chunk_us
-    us, chunk = F.col("us"), F.col("chunk")
-    chunks = times.groupBy(*keys, ((us - F.pmod(us, F.lit(chunk_us))) / chunk_us).cast("bigint").alias("chunk")).agg(
-        F.array_sort(F.collect_list("us")).alias("times")
-    )
-    group = ((chunk - F.pmod(chunk, F.lit(GROUP_CHUNKS))) / GROUP_CHUNKS).cast("bigint")
-    steps = chunks.select(*keys, "chunk", chunk_exits(ttl_us)("times").alias("x")).select(
-        *keys, "chunk", group.alias("_group"), "x.*"
-    )
-    # breakpoints lie inside their chunk, so sorting by them puts the chunks in order
-    groups = steps.groupBy(*keys, F.col("_group").alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("upto", "leave"))).alias("s")
-    )
-    parts = [F.transform("s", lambda p: p["upto"]), F.transform("s", lambda p: p["leave"])]
-    group_steps = groups.select(*keys, "chunk", group_exits(ttl_us, group_us)("chunk", *parts).alias("x")).select(
-        *keys, "chunk", "x.*"
-    )
-    group_entries = _entries(group_steps, keys, carried).withColumnRenamed("chunk", "_group")
-    entries = _entries(steps, [*keys, "_group"], group_entries).drop("_group")
-
-    def replay(acc: Column, t: Column) -> Column:
-        notify = F.struct((t + ttl_us).alias("free"), F.concat(acc["anchors"], F.array(t)).alias("anchors"))
-        return F.when(t >= acc["free"], notify).otherwise(acc)
-
-    begin = F.struct(F.col("free"), F.array().cast("array<bigint>").alias("anchors"))
-    return chunks.join(entries, [*keys, "chunk"]).select(
-        *keys, F.explode(F.aggregate("times", begin, replay)["anchors"]).alias("us")
-    )
+    ranked = value_ranks(times, "us", band_width=float(ttl_us), by=keys)
+    node = F.expr(f"n_before div {chunk_rows}").alias("node")
+    chunks = ranked.groupBy(*keys, node).agg(F.array_sort(F.collect_list("us")).alias("times"))
+    chunks = materialise(chunks, "alert-chunks")
+    last = chunks.agg(F.max("node")).first()[0] or 0
+    if not last:
+        free = chunks if carried is None else chunks.join(carried.select(*keys, "free"), keys, "left")
+        begin = F.lit(NEVER).cast("bigint") if carried is None else F.coalesce("free", F.lit(NEVER).cast("bigint"))
+        return free.select(*keys, F.explode(replay_chain(ttl_us)("times", begin)).alias("us"))
+    steps = [chunks.select(*keys, "node", chunk_exits(ttl_us)("times").alias("x")).select(*keys, "node", "x.*")]
+    steps[0] = materialise(steps[0], "chunk-steps")
+    while last >= FAN:
+        # breakpoints lie inside their node, so sorting by them puts the nodes in order
+        members = steps[-1].groupBy(*keys, _parent().alias("node")).agg(
+            F.array_sort(F.collect_list(F.struct("upto", "leave"))).alias("s")
+        )
+        parts = [F.transform("s", lambda p: p["upto"]), F.transform("s", lambda p: p["leave"])]
+        joined = members.select(*keys, "node", group_exits(ttl_us)(*parts).alias("x")).select(*keys, "node", "x.*")
+        steps.append(materialise(joined, "group-steps"))
+        last //= FAN
+    entries = _entries(steps.pop(), keys, carried)
+    while steps:
+        above = entries.withColumnRenamed("node", "_parent")
+        entries = _entries(steps.pop().withColumn("_parent", _parent()), [*keys, "_parent"], above).drop("_parent")
+    placed = chunks.join(entries, [*keys, "node"])
+    return placed.select(*keys, F.explode(replay_chain(ttl_us)("times", "free")).alias("us"))
 
 
 def dedup_alerts(
@@ -167,14 +188,14 @@ def dedup_alerts(
     id_col: str = "alert_id",
     clears: DataFrame | None = None,
     carried: DataFrame | None = None,
-    chunk_seconds: int | None = None,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``deduplicated``: true if the alert repeats one that notified less than the TTL before.
 
     At equal time and key the smallest id notifies. An alert without key is never a duplicate. ``clears``
     (key, cleared_at) ends suppression: the next alert of the key notifies again. ``carried`` (key, free) holds
-    the suppression still open from alerts before these, as a stream keeps it. ``chunk_seconds`` (default: four
-    TTLs) bounds the alerts of one key that a task holds.
+    the suppression still open from alerts before these, as a stream keeps it. ``chunk_rows`` bounds the alert times
+    of one key that a row holds.
 
     The plan reads ``alerts`` four times, three of them only for key, time and id: give it as a stored table.
     """
@@ -192,8 +213,7 @@ def dedup_alerts(
         .groupBy(*keys, F.col("_us").alias("us"))
         .agg(F.min(id_col).alias("_first"))
     )
-    chunk_us = chunk_seconds * MICROS if chunk_seconds else None
-    anchors = anchor_times(firsts.select(*keys, "us"), keys, ttl_seconds * MICROS, chunk_us, carried)
+    anchors = anchor_times(firsts.select(*keys, "us"), keys, ttl_seconds * MICROS, carried, chunk_rows)
     notified = firsts.join(anchors, [*keys, "us"], "left_semi").withColumnsRenamed(
         {"us": "_us", "_first": id_col}
     ).withColumn("_notified", F.lit(True))

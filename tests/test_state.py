@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtide.operators import dedup, features
+from logtide.session import materialise
 
 BASE = dt.datetime(2024, 1, 1)
 S = 1_000_000
@@ -93,17 +94,38 @@ def test_dedup_busy_key(spark, seed, span, ttl):
     assert flags(alerts(spark, rows).repartition(7), ttl) == brute_dedup(rows, ttl)
 
 
-@pytest.mark.parametrize("chunk", [30, 60, 90, 1000])
+@pytest.mark.parametrize("chunk", [3, 30, 90, 1000])
 def test_anchor_chunks(spark, chunk):
     """The chain does not depend on where chunks are cut, not even inside one TTL."""
     rng = random.Random(chunk)
     times = sorted({rng.randrange(0, 5000 * 10) * (S // 10) for _ in range(2000)})
     df = spark.createDataFrame([("k", t) for t in times], "key string, us bigint")
-    got = sorted(r["us"] for r in dedup.anchor_times(df, ["key"], 60 * S, chunk * S).collect())
+    got = sorted(r["us"] for r in dedup.anchor_times(df, ["key"], 60 * S, chunk_rows=chunk).collect())
     want = [t for t, d in zip(times, [brute_dedup([(str(t), "k", t) for t in times], 60)[str(t)] for t in times]) if not d]
     assert got == want
 
 
+@pytest.mark.parametrize(("step", "ttl"), [(1, 3600), (1, 7), (5, 12)])
+def test_even_alerts_of_one_key_stay_bounded(spark, monkeypatch, step, ttl):
+    """Chains of evenly spaced alerts never merge; still no array is longer than a chunk or the alerts of one TTL."""
+    longest = []
+
+    def stored(df, name):
+        found = materialise(df, name)
+        for c, kind in found.dtypes:
+            if kind.startswith("array"):
+                longest.append(found.agg(F.max(F.size(c))).first()[0])
+        return found
+
+    monkeypatch.setattr(dedup, "materialise", stored)
+    times = [i * step * S for i in range(6000)]
+    df = spark.createDataFrame([("k", t) for t in times], "key string, us bigint")
+    got = sorted(r["us"] for r in dedup.anchor_times(df, ["key"], ttl * S, chunk_rows=20).collect())
+    flagged = brute_dedup([(f"{t:020d}", "k", t) for t in times], ttl)
+    assert got == [t for t in times if not flagged[f"{t:020d}"]]
+    assert len(longest) >= 5 and max(longest) <= max(20, ttl // step + 2)
+
+
 def test_dedup_carried(spark):
     offset = 1704067200 * S
     rows = [("a", "k", 0), ("b", "k", 50 * S), ("c", "k", 90 * S), ("d", "j", 0)]
