@@ -32,9 +32,16 @@ def clean_text(col: Column, max_len: int | None = None) -> Column:
     return F.left(text, F.lit(max_len)) if max_len else text
 
 
+# The Unicode word-break rule as a search index applies it: words of letters, marks, digits and underscores; an apostrophe,
+# dot or colon joins letters, a dot, comma, semicolon or apostrophe joins digits.
+TOKEN = (
+    r"[\p{L}\p{M}\p{N}_]+(?:(?:(?<=[\p{L}\p{M}])['\u2019.:\u00b7](?=\p{L})|(?<=\p{N})[.,;'](?=\p{N}))[\p{L}\p{M}\p{N}_]+)*"
+)
+
+
 def tokens(col: Column) -> Column:
-    """Lower-cased words of a text: runs of letters and digits."""
-    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased words of a text by the word-break rule: ``user_id``, ``3.14``, ``10.0.0.5`` and ``can't`` are one each."""
+    return F.regexp_extract_all(F.lower(col), F.lit(TOKEN), F.lit(0))
 
 
 def shaped_uuid(hex_text: Column) -> Column:

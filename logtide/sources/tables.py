@@ -36,8 +36,8 @@ def _hashable(df: DataFrame, names: list[str]) -> list[str]:
 def write_daily(logs: DataFrame, path: str, existing: DataFrame | None = None) -> None:
     """Write rows into their day. Days in the batch are rewritten together with the rows they already hold.
 
-    With ``existing`` (the table as read) a second run of the same batch leaves the same table. Files are spread
-    by day and id, so a day with a third of the rows is written by many tasks.
+    With ``existing`` (the table as read) a second run of the same batch leaves the same table. Rows are dealt out by
+    day and balanced: small days share a task, and a day with a third of the rows is split over many.
     """
     rows = logs if "log_date" in logs.columns else logs.withColumn("log_date", F.to_date("event_time"))
     if existing is not None:
@@ -45,6 +45,7 @@ def write_daily(logs: DataFrame, path: str, existing: DataFrame | None = None) -
         rows = rows.unionByName(existing.join(days, "log_date", "left_semi"), allowMissingColumns=True)
     (
         index_logs_daily(rows)
+        .hint("rebalance", "log_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("log_date")

@@ -30,14 +30,29 @@ def read_topic(
     return reader.load()
 
 
+def topic_options(servers: str, topic: str) -> dict[str, str]:
+    """Options of a topic sink: every copy acknowledges, and a retried send is not written twice."""
+    return {
+        "kafka.bootstrap.servers": servers,
+        "topic": topic,
+        "kafka.acks": "all",
+        "kafka.enable.idempotence": "true",
+    }
+
+
 def write_topic(records: DataFrame, servers: str, topic: str, checkpoint: str):
-    return (
-        records.writeStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("topic", topic)
-        .option("checkpointLocation", checkpoint)
-        .start()
-    )
+    writer = records.writeStream.format("kafka").options(**topic_options(servers, topic))
+    return writer.option("checkpointLocation", checkpoint).start()
+
+
+def topic_publisher(servers: str, topic: str, key: str = "service", headers: dict[str, str] | None = None):
+    """A ``publish`` step for the streaming jobs: the rows of a micro-batch as topic records. Needs the Kafka connector."""
+
+    def publish(rows: DataFrame, batch_id: int) -> None:
+        records = to_topic_records(rows, key=key, headers=headers)
+        records.write.format("kafka").options(**topic_options(servers, topic)).save()
+
+    return publish
 
 
 def read_json_lines(spark: SparkSession, path: str, per_trigger: int | None = None, stream: bool = True) -> DataFrame:

@@ -196,3 +196,36 @@ def test_iso_forms(spark):
     found = rows.select("t", F.unix_micros(normalise.parse_iso(F.col("t"))).alias("us")).collect()
     got = {r["t"]: None if r["us"] is None else r["us"] / 1e6 for r in found}
     assert got == {t: want(t) for t in texts}
+
+
+def test_words_as_an_index_breaks_them(spark):
+    from logtide.functions.text import tokens
+
+    rows = spark.createDataFrame(
+        [("Can't reach user_id 3.14 at 10.0.0.5, e.g. port 1,000; a.b:c (x-y) — it’s \u00e9t\u00e9. 5.", 1), (None, 2), (" .. ", 3)],
+        "t string, i int",
+    )
+    found = [r[0] for r in rows.orderBy("i").select(tokens(F.col("t"))).collect()]
+    assert found[0] == [
+        "can't", "reach", "user_id", "3.14", "at", "10.0.0.5", "e.g", "port", "1,000", "a.b:c", "x", "y", "it’s", "été", "5",
+    ]
+    assert found[1:] == [None, []]
+
+
+def test_days_are_balanced(spark, tmp_path):
+    rows = spark.range(3_000).select(
+        F.concat(F.lit("l"), "id").alias("log_id"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("id") % 5) * 86_400).alias("event_time"),
+        F.lit("m").alias("message"),
+        F.current_timestamp().alias("processed_at"),
+    )
+    path = str(tmp_path / "logs")
+    tables.write_daily(rows.repartition(16), path)
+    assert spark.read.parquet(path).count() == 3_000
+    files = list((tmp_path / "logs").glob("log_date=*/*.parquet"))
+    assert len(files) <= 10
+
+
+def test_topic_publisher_options():
+    options = topics.topic_options("h:1", "t")
+    assert options["topic"] == "t" and options["kafka.acks"] == "all"
