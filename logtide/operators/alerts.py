@@ -56,6 +56,7 @@ def notification_outbox(
     channels: list[str],
     brand: str = "LogTide",
     chat_channel: str = "#alerts",
+    chat_icon: str = ":rotating_light:",
 ) -> DataFrame:
     """One row per (notifying alert, channel) with the rendered texts. Delivery is up to the reader."""
     rows = alerts.filter(~F.col("deduplicated")) if "deduplicated" in alerts.columns else alerts
@@ -70,7 +71,7 @@ def notification_outbox(
         "service",
         "severity",
         F.when(chat, chat_text()).otherwise(mail_subject(brand)).alias("title"),
-        F.when(chat, chat_payload(brand, chat_channel)).otherwise(mail_body(brand)).alias("body"),
+        F.when(chat, chat_payload(brand, chat_channel, chat_icon)).otherwise(mail_body(brand)).alias("body"),
     )
 
 
@@ -93,8 +94,8 @@ def chat_text() -> Column:
     return F.concat(emoji, F.lit(" *Anomaly Detected* — `"), _service(), F.lit("` ["), "severity", F.lit("]"))
 
 
-def chat_payload(brand: str, chat_channel: str) -> Column:
-    """JSON for a chat webhook: colour, text and the fields that have a value."""
+def chat_payload(brand: str, chat_channel: str, chat_icon: str = ":rotating_light:") -> Column:
+    """JSON for a chat webhook: sender, colour, text and the fields that have a value."""
 
     def field(title: str, value: Column) -> Column:
         return F.when(
@@ -125,6 +126,8 @@ def chat_payload(brand: str, chat_channel: str) -> Column:
     )
     return F.to_json(
         F.struct(
+            F.lit(brand).alias("username"),
+            F.lit(chat_icon).alias("icon_emoji"),
             F.lit(chat_channel).alias("channel"),
             chat_text().alias("text"),
             F.array(attachment).alias("attachments"),

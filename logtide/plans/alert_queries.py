@@ -209,18 +209,52 @@ def notification_outbox(spark, sf_dir):
     return rows.select("alert_id", "channel", "severity", "title", text.alias("text"))
 
 
+SCORE_TEXT = r"regexp_replace(printf('%.4f', round_even(anomaly_score, 4) + 0.0), '(\.\d+?)0+$', '\1')"
+
+
 @query(
     "mail_bodies",
-    f"""WITH RECURSIVE {KEYED}, {flagged(86_400)} SELECT alert_id, 'LogTide Anomaly Alert' || chr(10) || 'Severity: ' ||
-  {SEVERITY_SQL} || chr(10) || 'Service: ' || service || chr(10) || 'Level: ' || level || chr(10) || 'Detected At: ' ||
-  strftime(detected_at, '%Y-%m-%d %H:%M:%S') || ' UTC' || chr(10) || 'Alert ID: ' || alert_id AS head
+    f"""WITH RECURSIVE {KEYED}, {flagged(86_400)} SELECT alert_id, concat_ws(chr(10), 'LogTide Anomaly Alert',
+    'Severity: ' || {SEVERITY_SQL}, 'Service: ' || service, 'Level: ' || level, 'Anomaly Score: ' || {SCORE_TEXT},
+    'Response Time: ' || coalesce(CAST(response_time_ms AS VARCHAR) || ' ms', 'N/A'),
+    'Error Code: ' || coalesce(CAST(error_code AS VARCHAR), 'N/A'), 'Host: ' || coalesce(host, 'N/A'),
+    'Detected At: ' || strftime(detected_at, '%Y-%m-%d %H:%M:%S') || ' UTC', 'Alert ID: ' || alert_id,
+    'Log Message: ' || left(message, 500)) AS body
   FROM flagged WHERE NOT deduplicated""",
 )
 def mail_bodies(spark, sf_dir):
-    rows = alerting.notification_outbox(inputs.flagged_alerts(spark, sf_dir), ["email"])
-    lines = F.split("body", "\n")
-    picked = F.concat(F.slice(lines, 1, 4), F.slice(lines, 9, 2))
-    return rows.select("alert_id", F.array_join(picked, "\n").alias("head"))
+    return alerting.notification_outbox(inputs.flagged_alerts(spark, sf_dir), ["email"]).select("alert_id", "body")
+
+
+@query(
+    "chat_payloads",
+    f"""WITH RECURSIVE {KEYED}, {flagged(86_400)}, n AS (SELECT *, {SEVERITY_SQL} AS severity, {EMOJI_SQL} AS emoji
+    FROM flagged WHERE NOT deduplicated)
+  SELECT alert_id, 'LogTide' AS username, ':rotating_light:' AS icon_emoji, '#alerts' AS channel,
+    emoji || ' *Anomaly Detected* — `' || service || '` [' || severity || ']' AS text,
+    CASE severity WHEN 'CRITICAL' THEN '#FF0000' WHEN 'HIGH' THEN '#FF6600' WHEN 'MEDIUM' THEN '#FFCC00'
+      ELSE '#36A64F' END AS color,
+    '[' || severity || '] Anomaly in ' || service || ': ' || left(message, 200) AS fallback,
+    emoji || ' LogTide Anomaly Alert [' || severity || ']' AS title,
+    'LogTide | Alert ID: ' || left(alert_id, 8) || '...' AS footer, epoch_us(detected_at) // 1000000 AS ts,
+    'Service=`' || service || '`;Level=' || level || ';Anomaly Score=' || {SCORE_TEXT} || ';Severity=' || severity
+      || coalesce(';Response Time=' || CAST(response_time_ms AS VARCHAR) || 'ms', '')
+      || coalesce(';Error Code=' || CAST(error_code AS VARCHAR), '') AS fields
+  FROM n""",
+)
+def chat_payloads(spark, sf_dir):
+    """Every member of the chat payload."""
+    rows = alerting.notification_outbox(inputs.flagged_alerts(spark, sf_dir), ["slack"])
+    inner = "color: string, fallback: string, title: string, footer: string, ts: bigint, fields: array<struct<title: string, value: string>>"
+    schema = f"username string, icon_emoji string, channel string, text string, attachments array<struct<{inner}>>"
+    parsed = rows.select("alert_id", F.from_json("body", schema).alias("p")).withColumn("a", F.col("p.attachments")[0])
+    fields = F.array_join(F.transform("a.fields", lambda f: F.concat_ws("=", f["title"], f["value"])), ";")
+    return parsed.select(
+        "alert_id",
+        *[F.col(f"p.{c}").alias(c) for c in ("username", "icon_emoji", "channel", "text")],
+        *[F.col(f"a.{c}").alias(c) for c in ("color", "fallback", "title", "footer", "ts")],
+        fields.alias("fields"),
+    )
 
 
 @query("alert_topic_records", f"""WITH {ALERTS} SELECT service AS key, alert_id,
