@@ -121,3 +121,37 @@ def kneser_ney(train, texts):
                 low = max(c - of(dp, c), 0) / total[a] + left * low
             score += math.log10(low)
         yield len(seq), sum(w in words for w in seq), base, score
+
+
+def overlaps(docs, items, masks, stretch=20, share=0.8):
+    """(doc index, item id, similarity, place): every window of every text against every window of every item."""
+    import math
+
+    split = lambda t: re.split(r"[\W_]+", (t or "").lower())
+    span = len(masks[0])
+    found = {}
+    for item_id, text in items:
+        item = [w for w in split(text) if w]
+        if not item:
+            continue
+        own = masks if len(item) >= span else ["1" * len(item)]
+        need = min(stretch, len(item))
+        seeds = {}
+        for m in own:
+            for q in range(len(item) - len(m) + 1):
+                seeds.setdefault((m, tuple(item[q + i] for i, c in enumerate(m) if c == "1")), []).append(q)
+        for d, doc in enumerate(docs):
+            words = split(doc)
+            hits = set()
+            for m in own:
+                for p in range(len(words) - len(m) + 1):
+                    for q in seeds.get((m, tuple(words[p + i] for i, c in enumerate(m) if c == "1")), ()):
+                        hits.add((p - q, q, len(m)))
+            for shift, q, n in hits:
+                for s in range(max(q + n - need, -shift, 0), min(q, len(item) - need, len(words) - shift - need) + 1):
+                    equal = sum(item[i] == words[shift + i] for i in range(s, s + need))
+                    if equal >= math.ceil(need * share - 1e-9):
+                        best = found.setdefault((d, item_id), [0.0, len(words)])
+                        best[0] = max(best[0], equal / need)
+                        best[1] = min(best[1], shift + s)
+    return found

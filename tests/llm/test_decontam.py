@@ -1,5 +1,6 @@
 import random
 
+import brute
 import cases
 
 from logtide.llm import decontam
@@ -68,3 +69,26 @@ def test_empty(spark):
     assert decontam.drop_contaminated(cases.no_docs(spark), items).collect() == []
     assert decontam.drop_contaminated(docs, items.limit(0)).count() == docs.count()
     assert decontam.find_overlaps(cases.odd_docs(spark), items).count() == 0
+
+
+def same_as_brute_force(docs, items):
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rows = [(r["item_id"], r["text"]) for r in items.collect()]
+    want = brute.overlaps([t for _, t in texts], rows, list(decontam.MASKS))
+    found = decontam.find_overlaps(docs, items).collect()
+    got = sorted((str(r["doc_id"]), r["item_id"], round(r["similarity"], 9)) for r in found)
+    assert got == sorted((str(texts[d][0]), i, round(s, 9)) for (d, i), (s, _) in want.items())
+    return len(got)
+
+
+def test_same_as_brute_force(spark, small_dir):
+    assert same_as_brute_force(*setting(spark)) == len(WANT)
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    assert same_as_brute_force(docs, spark.read.parquet(f"{small_dir}/benchmark.parquet")) > 0
+
+
+def test_same_as_brute_force_with_few_words(spark):
+    rng = random.Random(11)
+    texts = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60))), "s") for i in range(25)]
+    items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 24)))) for i in range(12)]
+    assert same_as_brute_force(cases.odd_docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")) > 0
