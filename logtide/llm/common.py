@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtide.session import ship
+
 # The white space of the word and text contracts, in the syntax of Java's and RE2's patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,11 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in Arrow batches of 1,000 rows, unless the session asks for a size of its own.
+def ready_for_texts(spark: SparkSession) -> None:
+    """Give the workers this package, and texts in Arrow batches of 1,000 rows unless the session asks for another size.
 
     Spark's 10,000 rows are meant for numbers; as many texts take tens of megabytes on both sides of each task.
     """
+    ship(spark)
     if spark.conf.get(BATCH_CONF) == "10000":
         spark.conf.set(BATCH_CONF, "1000")
 

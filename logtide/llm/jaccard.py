@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from logtide.llm import sketch
 from logtide.llm.arrays import U, Words, blocks, join_hash, mix64, run_hashes, whole_runs
-from logtide.llm.common import fresh, keep_rows, row_hash, small_batches, whole_text
+from logtide.llm.common import fresh, keep_rows, row_hash, ready_for_texts, whole_text
 from logtide.llm.components import components
 from logtide.llm.substring import BYTES_PER_WORD, text_bytes
 from logtide.session import materialise
@@ -334,7 +334,7 @@ def document_components(docs: DataFrame, words: int = 4, percent: int = 85, most
 
     ``row`` is the hash of all columns of the document.
     """
-    small_batches(docs.sparkSession)
+    ready_for_texts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_hash(docs).alias("row"), whole_text().alias("text"))
     expected = text_bytes(rows) // BYTES_PER_WORD
     coarse = sketch.log_width_for(expected // 64, 1, 24)

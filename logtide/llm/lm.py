@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from logtide.llm import store
 from logtide.llm.arrays import U, Words, blocks, mix64
-from logtide.llm.common import fresh, small_batches, whole_text
+from logtide.llm.common import fresh, ready_for_texts, whole_text
 from logtide.llm.substring import text_bytes
 from logtide.session import materialise, scratch_path
 
@@ -268,7 +268,7 @@ def _joined(held: list) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: DataFrame, path: str | None = None) -> Model:
     """Count a model over column ``text`` of the rows. Tables are written below ``path``."""
-    small_batches(texts.sparkSession)
+    ready_for_texts(texts.sparkSession)
     path = path or scratch_path(texts.sparkSession, "language-model")
     rows = texts.select(whole_text().alias("text"))
     model = Model(path, stripes=max(8, text_bytes(rows) // BYTES_PER_TOKEN // STRIPE_TOKENS))

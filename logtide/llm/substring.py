@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from logtide.llm import sketch
 from logtide.llm.arrays import U, Words, blocks, run_hashes, whole_runs
-from logtide.llm.common import fresh, small_batches, whole_text
+from logtide.llm.common import fresh, ready_for_texts, whole_text
 
 WINDOW = 20
 ROOM = 4  # counters per window in each row of the sketch
@@ -39,7 +39,7 @@ RUNS = "id bigint, text_key bigint, runs binary"
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(id, text_key, text): the order of the documents; a null id stands behind all others."""
-    small_batches(docs.sparkSession)
+    ready_for_texts(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"),
         F.xxhash64(whole_text()).alias("text_key"),

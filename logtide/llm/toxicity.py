@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.llm.arrays import NO_LETTER, Texts, U, Words, blocks, join_hash, mix64, texts_of
-from logtide.llm.common import fresh, small_batches, whole_text
+from logtide.llm.common import fresh, ready_for_texts, whole_text
 from logtide.session import materialise
 
 SAMPLE = 4_000  # documents of each class that are used for training, at most
@@ -362,6 +362,6 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
 
 def fit_on(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most: int = SAMPLE) -> Network | None:
     """Train on a sample of the labelled documents; ``usable`` says which labels (by ``doc_id``) may be used."""
-    small_batches(docs.sparkSession)
+    ready_for_texts(docs.sparkSession)
     share = labels.agg(F.avg("toxic")).first()[0] or 0.5
     return fit(labelled_sample(docs, labels, usable, most), float(share))
