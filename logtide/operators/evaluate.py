@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.operators.quantiles import percentiles, value_ranks
+from logtide.session import materialise
 
 # Least acceptable quality (fixed values).
 QUALITY_GATE = {"precision": 0.80, "recall": 0.75, "f1_score": 0.77}
@@ -136,7 +137,11 @@ def score_distribution(
 def evaluation_report(
     df: DataFrame, label: str = "true_label", pred: str = "prediction", score: str = "anomaly_score"
 ) -> DataFrame:
-    """One row: sample counts, metrics, confusion matrix, report and score distribution."""
+    """One row: sample counts, metrics, confusion matrix, report and score distribution.
+
+    The three columns are stored once; matrix, curve and percentiles read them from there and not from the input again.
+    """
+    df = materialise(df.select(label, pred, score), "evaluated")
     one = classification_metrics(df, label, pred)
     matrix = ["true_negative", "false_positive", "false_negative", "true_positive"]
     report = classification_report(df, label, pred)
