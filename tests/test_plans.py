@@ -4,14 +4,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from logtide.plans import catalog
 
-QUERIES = entry.queries()
+QUERIES = catalog.queries()  # the corpus queries run jobs while they build their result and have tests of their own
 # Queries that fit a model or run a stream while they build their result.
 EAGER = {n for n in QUERIES if n.startswith(("stream_", "iforest_", "model_"))} | {
-    "detect_and_dedup", "write_read_daily", "export_ndjson", "eval_report", "read_eval_csv", "scale_features",
+    "detect_and_dedup", "detect_and_dedup_fixed", "write_read_daily", "export_ndjson", "eval_report", "read_eval_csv", "scale_features",
 }
-PYTHON = {"dedup", "history", "stats_unique", "unique_alerts", "sent_by_channel", "suppression", "outbox", "mail", "serialise"}
+PYTHON = {"dedup", "history", "stats_unique", "unique_alerts", "sent_by_channel", "suppression", "outbox", "mail", "chat", "serialise"}
 
 
 def plan(spark, sf_dir, name):
