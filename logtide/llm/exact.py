@@ -51,6 +51,8 @@ class DigestIndex:
         """
         first_row = F.coalesce(F.min_by("row", "doc_id"), F.min("row"))
         new = batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), first_row.alias("keep_row"))
+        # stored, or the anti-join would be moved below the aggregation and all copies of a text would meet in one task
+        new = materialise(new, "new-digests")
         new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti").write.insertInto(self.name)
 
 
@@ -102,6 +104,7 @@ def keep_first(docs: DataFrame, path: str | None = None) -> DataFrame:
     mark = F.col("row").bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col("n") > 1, 1).otherwise(0))
     same = same.select("digest", "doc_id", mark.alias("mark"))
     first = same.groupBy("digest").agg(F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("mark"))
+    first = materialise(first, "first-copies")
     if known is not None:
         first = first.join(known, "digest", "left_anti")
     winners = first.select(
@@ -109,4 +112,4 @@ def keep_first(docs: DataFrame, path: str | None = None) -> DataFrame:
         F.col("mark").bitwiseAND(F.lit(-2)).alias(row),
         (F.col("mark").bitwiseAND(F.lit(1)) == 1).alias("twins"),
     )
-    return keep_rows(marked, materialise(winners, "winners"), [digest, row], docs.columns)
+    return keep_rows(marked, winners, [digest, row], docs.columns)
