@@ -226,11 +226,6 @@ def _inverted(sets: DataFrame, shingles: Shingles, seen: sketch.Sketch) -> DataF
     return sets.mapInArrow(run, "shingle bigint, size bigint, digest bigint")
 
 
-def spare(size: int) -> int:
-    """Shared short-list shingles that a set may miss and still meet any partner: two sets miss fewer than they share."""
-    return (least_common(size) - 1) // 2
-
-
 def _lists(rows: DataFrame, percent: int, most: int) -> DataFrame:
     """(block, digest): inverted lists with the same first set are one block.
 
@@ -295,7 +290,8 @@ def _lists(rows: DataFrame, percent: int, most: int) -> DataFrame:
     found = found.groupBy("block", "digest").agg(F.first("size").alias("size"), F.sum("lists").alias("lists"))
     weakest = Window.partitionBy("digest").orderBy("lists", "block")
     missed = F.sum("lists").over(weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    may_miss = F.expr(f"(greatest(1, size div {EXTRA}) - 1) div 2")  # spare()
+    # half of what least_common leaves over: two sets together miss fewer lists than they share
+    may_miss = F.expr(f"(greatest(1, size div {EXTRA}) - 1) div 2")
     found = materialise(found.withColumn("missed", missed).where(F.col("missed") > may_miss), "inverted-lists")
     several = found.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return found.join(several, "block").select("block", "digest")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.llm import sketch
-from logtide.llm.arrays import U, Words, blocks, run_hashes, whole_runs
+from logtide.llm.arrays import Words, blocks, run_hashes, whole_runs
 from logtide.llm.common import fresh, ready_for_texts, whole_text
 
 WINDOW = 20
