@@ -348,8 +348,16 @@ def _runs(ids, keys, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([none[0], done.column(0), done.column(1), *none[1:], done.column(2)], NAMES)
 
 
+def _different(block: pa.Table) -> pa.Table:
+    """Rows without those equal to the one before in anchor, document and place: a repeated row's, sent by another block."""
+    keys = [block.column(i).to_numpy() for i in range(4)]
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
+    return block if new.all() else block.filter(pa.array(new)).combine_chunks()
+
+
 def _settled(block: pa.Table, n: int) -> pa.RecordBatch:
     """The runs that go among rows of whole anchor groups, which come in order."""
+    block = _different(block)
     anchor, ids, keys, spot, back = (block.column(i).to_numpy() for i in range(5))
     column = block.column(5).combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column

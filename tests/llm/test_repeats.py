@@ -78,3 +78,21 @@ def test_odd_documents(spark, drop):
     assert by_id[12][0] == by_id[12][1]  # equal rows are one document
     assert {n for t, n in by_id[None] if t is None} == {0}
     assert drop(cases.no_docs(spark), 4).collect() == []
+
+
+@pytest.mark.parametrize("common", [suffix.COMMON, -1_000_000])
+def test_repeated_rows_in_several_partitions_are_one_document(spark, monkeypatch, common):
+    monkeypatch.setattr(suffix, "COMMON", common)
+    rows = small_docs(4, "abcd", 30, 80)
+    shared = rows[0][1] + "abcdabcdabcdabcd" + rows[1][1]
+    rows += [(100, shared), (101, shared + "dcba"), (None, "b" + shared[2:] + "aabbccddabcabd")]
+    again = rows[:8] + rows[-3:] + rows[-3:]  # with null ids among them
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows + again, len(rows + again)), "doc_id bigint, text string")
+    found = suffix.drop_repeated_strings(docs, 8).collect()
+    got = {(suffix_id(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept_bytes"]).hexdigest()) for r in found}
+    assert len(found) == len(rows + again)
+    assert sorted(got) == brute.byte_rows([(suffix_id(i), t) for i, t in rows], 8)
+
+
+def suffix_id(i):
+    return substring.LAST_ID if i is None else i
