@@ -6,22 +6,35 @@ around each hit the document is aligned with the item: an overlap counts if in s
 whole item if it is shorter) at least ``share`` of the tokens agree. The work is DataFrame expressions only; a document's
 token array is read in place, so texts are never shuffled to find hits.
 
-Tokens are runs of letters and digits in lower case. An item shorter than the seed is matched by a seed of its own
-length that compares all of its tokens. Items without tokens match nothing, as do null and empty texts. Rows that repeat an id and text give one
+The masks lose nothing: for a stretch of L tokens of which k may differ, whichever k do, some mask lies within the stretch
+at a place where all that it compares is equal. Shorter items have masks of their own with fewer compared tokens, and only
+masks that the benchmark's lengths ask for are hashed.
+
+Tokens are runs of letters and digits in lower case. Items without tokens match nothing, as do null and empty texts. Rows that repeat an id and text give one
 result. Documents are told apart by id and text, so of rows with one id only those with the leaked text are marked.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.llm.common import fresh, whole_text
 from logtide.session import materialise
 
-# Fixed masks: 1 compares a token, 0 ignores it.
-MASKS = ("11011010111", "11101100111")
-SPAN = len(MASKS[0])
+# Masks by length of a stretch and how many of its tokens may differ: 1 compares a token, 0 ignores it. Every choice of
+# differing tokens leaves one of the masks whole at some place.
+FAMILIES = {
+    (5, 1): ("111", "11011"),
+    (10, 2): ("111001", "10000111"),
+    (15, 3): ("110111", "1101101"),
+    (20, 4): ("110111", "1101101"),
+}
+MASKS = tuple(dict.fromkeys(m for family in FAMILIES.values() for m in family))
 STRETCH = 20
 SHARE = 0.8
 # The join to the benchmark's hashes is broadcast up to this many (about 60 MB); beyond, it is shuffled.
@@ -32,6 +45,17 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
+def masks_for(need: int, share: float = SHARE) -> tuple[str, ...]:
+    """Masks that lose no stretch of ``need`` tokens of which ``share`` agree.
+
+    Of ``misses`` + 1 runs side by side one is whole; a family is taken where it compares more tokens than such a run.
+    """
+    misses = need - math.ceil(need * share - 1e-9)
+    run = ("1" * max(need // (misses + 1), 1),)
+    fit = [f for (n, k), f in FAMILIES.items() if n <= need and misses <= k]
+    return max([run, *fit], key=lambda f: min(m.count("1") for m in f))
+
+
 def _seed(hashes: Column, at: Column, mask: str, number: int) -> Column:
     picked = [F.get(hashes, at + F.lit(i)) for i, c in enumerate(mask) if c == "1"]
     return F.xxhash64(F.lit(number), *picked)
@@ -64,13 +88,15 @@ def find_overlaps(
         items.select("item_id", of_item.alias("item")).where(F.size("item") > 0).withColumn("hashes", hashed(F.col("item"))),
         "benchmark-tokens",
     )
-    short = bench.where(F.size("hashes") < SPAN).select(F.size("hashes").alias("n")).distinct().collect()
-    masks = [*MASKS, *sorted("1" * r["n"] for r in short)]  # at most one for each length below the span
+    need = F.least(F.lit(stretch), F.size("item"))
+    families = {r["n"]: masks_for(r["n"], share) for r in bench.select(need.alias("n")).distinct().collect()}  # at most ``stretch``
+    masks = sorted({m for f in families.values() for m in f}, key=lambda m: (len(m), m)) or ["1"]
     seeds = _seeds(bench, masks, "item_id", "item", "hashes")
-    # a mask that reaches beyond the end of an item would hash missing tokens; one shorter than the span is for items of just its length
+    # a mask that reaches beyond the end of an item would hash missing tokens; an item has the masks of its length only
     lengths = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
     seeds = seeds.withColumn("length", lengths).where(F.col("at") + F.col("length") <= F.size("item"))
-    seeds = seeds.where((F.col("length") == SPAN) | (F.col("length") == F.size("item")))
+    asked = [(need == n) & F.col("mask").isin(*[masks.index(m) for m in f]) for n, f in families.items()]
+    seeds = seeds.where(reduce(or_, asked, F.lit(False)))
     seeds = materialise(seeds.select("item_id", "item", F.col("at").alias("item_at"), "seed", "length"), "benchmark-seeds")
     texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), tokens(whole_text()).alias("words"))
     hashed_texts = texts.withColumn("hashes", hashed(F.col("words")))

@@ -1,7 +1,10 @@
+import itertools
+import math
 import random
 
 import brute
 import cases
+import pytest
 
 from logtide.llm import decontam
 
@@ -92,3 +95,46 @@ def test_same_as_brute_force_with_few_words(spark):
     texts = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60))), "s") for i in range(25)]
     items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 24)))) for i in range(12)]
     assert same_as_brute_force(cases.odd_docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")) > 0
+
+
+@pytest.mark.parametrize("share", [0.8, 0.7, 0.95])
+def test_masks_lose_no_choice_of_differing_tokens(share):
+    for need in range(1, 21):
+        masks = decontam.masks_for(need, share)
+        whole = [sum(1 << (at + i) for i, c in enumerate(m) if c == "1") for m in masks for at in range(need - len(m) + 1)]
+        for gone in itertools.combinations(range(need), need - math.ceil(need * share - 1e-9)):
+            lost = sum(1 << i for i in gone)
+            assert any(not lost & w for w in whole), (need, masks, gone)
+
+
+def aligned(texts, items, stretch=20, share=0.8):
+    """(doc, item, similarity) by comparing every stretch of every item with every place of every text."""
+    out = {}
+    for (d, text), (i, item) in itertools.product(texts, items):
+        a, b = text.split(), item.split()
+        need = min(stretch, len(b))
+        for p, q in itertools.product(range(len(a) - need + 1), range(len(b) - need + 1)):
+            equal = sum(x == y for x, y in zip(a[p : p + need], b[q : q + need], strict=True))
+            if equal >= math.ceil(need * share - 1e-9):
+                out[d, i] = max(out.get((d, i), 0), equal / need)
+    return sorted((d, i, round(v, 9)) for (d, i), v in out.items())
+
+
+def test_every_overlap_at_the_limit_is_found(spark):
+    rng = random.Random(17)
+    items = [(n, cases.prose(rng, n, 100_000)) for n in (*range(1, 23), 30)]
+    texts = []
+    for n, item in items:
+        for more in (0, 0, 0, 0, 0, 0, 1):
+            words = item.split()
+            begin = rng.randrange(max(n - 20, 0) + 1)
+            size = min(n, 20)
+            for p in rng.sample(range(size), min(size // 5 + more, size)):
+                words[begin + p] = "zz"
+            words = [w if begin <= k < begin + size else "yy" for k, w in enumerate(words)]
+            texts.append((len(texts), f"{cases.prose(rng, 5)} {' '.join(words)} {cases.prose(rng, 3)}"))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = decontam.find_overlaps(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = aligned(texts, items)
+    assert sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in found) == want
+    assert len(want) == 6 * len(items)
