@@ -1,12 +1,16 @@
 """Interpolated modified Kneser-Ney word model, counted in Spark, stored as sorted arrays, mapped into memory by workers.
 
-The model is a bigram model over lower-cased (A-Z) words with one end token per document. All tables grow with the corpus
+The model goes up to ``order`` lower-cased (A-Z) words, 2 by default, with one end token per document. All tables grow with the corpus
 and stay in files of the shared folder; the driver sees totals only:
 
 * vocabulary: sorted 64-bit word hashes with counts, in stripes of the hash; a word's number is its place;
 * pairs: sorted numbers ``context * V + word`` with counts, in stripes of contexts, and for each context its total and how
   many words follow it once, twice, more often;
-* continuations: for each word, how many different contexts it follows.
+* continuations: for each word, how many different contexts it follows;
+* longer runs, for an order above 2: sorted numbers ``place of the run without its last word * V + word`` with counts, in
+  stripes of those places. Runs below the highest order are counted by the different words before them; those that begin a
+  document have none before them and keep their own count. Totals are stored for contexts of more than FEW rows, others
+  are summed from their rows.
 
 Tasks count a chunk of tokens, code the sorted result as byte planes of differences, and send one row per stripe, so a
 frequent word or pair costs one entry per chunk. Stripes are merged one at a time.
@@ -42,6 +46,7 @@ STRIPE_TOKENS = 4_000_000  # tokens of the corpus for each stripe of the pairs
 VOCAB_STRIPES = 64
 BYTES_PER_TOKEN = 6
 BLOCK = 4_000_000
+FEW = 16  # rows of a context that are summed when asked for
 END = mix64(np.array([0x5EED], U))  # the hash that stands for the end of a document
 
 
@@ -86,6 +91,7 @@ def stripe_rows(keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> pa.R
 
 
 STRIPE_SCHEMA = "stripe int, size int, keys binary, counts binary"
+FOLLOWER_SCHEMA = ", classes array<bigint>, pairs bigint, source int"
 
 
 def merge_stripes(rows: DataFrame, merge: Callable, schema: str) -> DataFrame:
@@ -150,6 +156,9 @@ class Model:
     word_discounts: list[float] = field(default_factory=list)
     pairs: int = 0  # different pairs
     word_classes: list[int] = field(default_factory=list)  # words that follow 1, 2, 3 or more contexts
+    order: int = 2
+    places: dict = field(default_factory=dict)  # by length of runs: place of the first of each stripe, and their number
+    run_discounts: dict = field(default_factory=dict)  # by length of runs
     _open: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -216,17 +225,104 @@ class Model:
                 out[lo:hi] = np.where(keys[place] == different[lo:hi], counts[place], 0)
         return out[back]
 
-    def log_probabilities(self, numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before; ``begins`` marks the first token of each document."""
-        before = np.append(self.words, numbers[:-1])
-        before[begins] = self.words
+    def run_edges(self, length: int) -> np.ndarray:
+        """The first context of each stripe but the first of runs of a length."""
+        if length == 2:
+            return self.context_edges()
+        return np.linspace(0, self.places[length - 1][-1], self.stripes + 1).astype(np.int64)[1:-1]
+
+    def run_keys(self, length: int, stripe: int) -> np.ndarray:
+        return self.table(f"pairs-{stripe}" if length == 2 else f"{length}-runs-{stripe}", U)
+
+    def run_counts(self, length: int, stripe: int) -> np.ndarray:
+        """Counts of runs as their order uses them: by the words before them below the highest."""
+        if length < self.order:
+            return self.table(f"{length}-adjusted-{stripe}", np.uint32)
+        return self.table(f"pair-counts-{stripe}" if length == 2 else f"{length}-run-counts-{stripe}", np.uint32)
+
+    def run_places(self, length: int, contexts: np.ndarray, words: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Places of runs (context, word), -1 for those not seen or with a part that is -1, and, if asked for, their counts."""
+        out, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), U)
+        fit = np.flatnonzero((contexts >= 0) & (words >= 0))
+        size = U(max(self.words, 1))
+        different, back = np.unique(contexts[fit].astype(U) * size + words[fit].astype(U), return_inverse=True)
+        found, number = np.full(len(different), -1, np.int64), np.zeros(len(different), U)
+        for i, lo, hi in _cuts(different, self.run_edges(length).astype(U) * size):
+            keys = self.run_keys(length, i)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, different[lo:hi]), len(keys) - 1)
+                there = keys[place] == different[lo:hi]
+                found[lo:hi] = np.where(there, place + self.places[length][i], -1)
+                if counted:
+                    number[lo:hi] = np.where(there, self.run_counts(length, i)[place], 0)
+        out[fit], counts[fit] = found[back], number[back]
+        return out, counts
+
+    def run_facts(self, length: int, contexts: np.ndarray) -> np.ndarray:
+        """(total, N1, N2, N3) of contexts of runs of a length; zero for -1."""
+        different, back = np.unique(contexts, return_inverse=True)
+        out = np.zeros((len(different), 4))
+        size = U(max(self.words, 1))
+        for i, lo, hi in _cuts(different, self.run_edges(length)):
+            some = np.arange(lo, hi)[different[lo:hi] >= 0]
+            keys = self.run_keys(length, i)
+            if not len(keys) or not len(some):
+                continue
+            asked = different[some].astype(U)
+            first = np.searchsorted(keys, asked * size)
+            number = np.searchsorted(keys, (asked + U(1)) * size) - first
+            few = np.flatnonzero((number > 0) & (number <= FEW))
+            if len(few):
+                at = np.cumsum(number[few]) - number[few]
+                rows = np.arange(number[few].sum()) + np.repeat(first[few] - at, number[few])
+                out[some[few]] = _facts(self.run_counts(length, i)[rows], at)
+            many = np.flatnonzero(number > FEW)
+            if len(many):
+                held = self.table(f"{length}-facts-{i}", U).reshape(-1, 5)
+                out[some[many]] = held[np.searchsorted(held[:, 0], asked[many]), 1:]
+        return out[back]
+
+    def run_numbers(self, numbers: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+        """Place of the run of a length that ends at each token; -1 where none was seen."""
+        found = numbers
+        for k in range(2, length + 1):
+            found = self.run_places(k, self.before(found, begins, k), numbers)[0]
+        return found
+
+    def before(self, found: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+        """The context of each token from the runs, shorter by one, that end at the tokens."""
+        out = np.append(-1, found[:-1])
+        out[begins] = self.words if length == 2 else -1
+        return out
+
+    def word_probabilities(self, numbers: np.ndarray) -> np.ndarray:
+        """P of each token without context."""
         known = numbers >= 0
         spread = self.pairs or 1
         lower = np.zeros(len(numbers))
         follows = self.continuations(numbers[known]).astype(float)
         lower[known] = np.maximum(follows - _discount(follows, self.word_discounts), 0) / spread
         rest = sum(d * n for d, n in zip(self.word_discounts, self.word_classes, strict=True)) / spread if self.pairs else 1.0
-        lower += rest / (self.words + 1)
+        return lower + rest / (self.words + 1)
+
+    def run_log_probabilities(self, numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 P of each token after the ``order`` - 1 before it."""
+        p, found = self.word_probabilities(numbers), numbers
+        for k in range(2, self.order + 1):
+            contexts = self.before(found, begins, k)
+            found, counts = self.run_places(k, contexts, numbers, counted=True)
+            facts = self.run_facts(k, contexts)
+            total = np.maximum(facts[:, 0], 1)
+            share = np.maximum(counts - _discount(counts, self.run_discounts[k]), 0) / total
+            p = share + np.where(facts[:, 0] > 0, facts[:, 1:] @ np.array(self.run_discounts[k]) / total, 1.0) * p
+        return np.log10(p)
+
+    def log_probabilities(self, numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 P of each token after the one before; ``begins`` marks the first token of each document."""
+        before = np.append(self.words, numbers[:-1])
+        before[begins] = self.words
+        known = numbers >= 0
+        lower = self.word_probabilities(numbers)
         facts = self.contexts(before).astype(float)
         total = np.maximum(facts[:, 0], 1)
         counted = np.zeros(len(numbers), U)
@@ -237,6 +333,19 @@ class Model:
         return np.log10(share + left * lower)
 
 
+def _facts(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(total, N1, N2, N3) of groups of counts that begin at ``at``."""
+    return np.column_stack([np.add.reduceat(x.astype(U), at) for x in (counts, counts == 1, counts == 2, counts > 2)])
+
+
+def _save_facts(path: str, name: str, contexts: np.ndarray, counts: np.ndarray) -> None:
+    """Totals of the contexts (sorted) with more than FEW rows."""
+    at = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if len(contexts) else np.zeros(0, np.int64)
+    many = np.diff(np.append(at, len(contexts))) > FEW
+    if many.any():
+        store.save(path, name, np.column_stack([contexts[at], _facts(counts, at)])[many].astype(U))
+
+
 def _hash_edges() -> np.ndarray:
     return np.arange(1, VOCAB_STRIPES, dtype=U) << U(64 - VOCAB_STRIPES.bit_length() + 1)
 
@@ -266,12 +375,14 @@ def _joined(held: list) -> tuple[np.ndarray, np.ndarray]:
     return sum_up(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]).astype(U))
 
 
-def fit(texts: DataFrame, path: str | None = None) -> Model:
-    """Count a model over column ``text`` of the rows. Tables are written below ``path``."""
+def fit(texts: DataFrame, path: str | None = None, order: int = 2) -> Model:
+    """Count a model of runs of up to ``order`` words over column ``text`` of the rows. Tables are written below ``path``."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     ready_for_texts(texts.sparkSession)
     path = path or scratch_path(texts.sparkSession, "language-model")
     rows = texts.select(whole_text().alias("text"))
-    model = Model(path, stripes=max(8, text_bytes(rows) // BYTES_PER_TOKEN // STRIPE_TOKENS))
+    model = Model(path, stripes=max(8, text_bytes(rows) // BYTES_PER_TOKEN // STRIPE_TOKENS), order=order)
 
     def save_words(stripe: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         store.save(path, f"vocab-{stripe}", keys)
@@ -312,12 +423,12 @@ def fit(texts: DataFrame, path: str | None = None) -> Model:
         mine = [classes if i == 0 else None for i in range(out.num_rows)]
         return out.append_column("classes", pa.array(mine, pa.list_(pa.int64()))).append_column(
             "pairs", pa.array([len(keys) if m else None for m in mine], pa.int64())
-        )
+        ).append_column("source", pa.array([stripe] * out.num_rows, pa.int32()))
 
     pairs = rows.mapInArrow(
         lambda b: _chunks(b, pair_keys, context_edges.astype(U) * size), STRIPE_SCHEMA
     )
-    merged = materialise(merge_stripes(pairs, save_pairs, STRIPE_SCHEMA + ", classes array<bigint>, pairs bigint"), "followers")
+    merged = materialise(merge_stripes(pairs, save_pairs, STRIPE_SCHEMA + FOLLOWER_SCHEMA), "followers")
     of = [F.coalesce(F.sum(F.col("classes")[k]), F.lit(0)) for k in range(4)]
     *counts, model.pairs = merged.agg(*of, F.coalesce(F.sum("pairs"), F.lit(0))).first()
     model.pair_discounts = discounts(counts)
@@ -333,15 +444,100 @@ def fit(texts: DataFrame, path: str | None = None) -> Model:
     counts = [int(v or 0) for v in totals.agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4", "n")]).first()]
     model.word_discounts = discounts(counts[:4])
     model.word_classes = [counts[0], counts[1], counts[4] - counts[0] - counts[1]]
+    model.run_discounts[2] = model.pair_discounts
+    if order > 2:
+        model.places[2] = _places(merged, model.stripes)
+    for length in range(3, order + 1):
+        _count_runs(rows, model, length)
     return model
 
 
+def _places(merged: DataFrame, stripes: int) -> list[int]:
+    """Place of the first run of each stripe, and the number of runs."""
+    sizes = [0] * stripes
+    for r in merged.where("pairs IS NOT NULL").select("source", "pairs").collect():  # a row per stripe
+        sizes[r["source"]] = r["pairs"]
+    return [0, *np.cumsum(sizes).tolist()]
+
+
+def _count_runs(rows: DataFrame, model: Model, length: int) -> None:
+    """Count runs of a length, and those shorter by one by the different words before them."""
+    path, size, top = model.path, U(max(model.words, 1)), length == model.order
+    edges, shorter = model.run_edges(length), model.places[length - 1]
+    targets = np.array(shorter[1:-1]).astype(U)
+
+    def keys_of(texts) -> np.ndarray:
+        hashes, at = tokens_of(texts)
+        numbers = model.numbers(hashes)
+        contexts = model.before(model.run_numbers(numbers, at[:-1], length - 1), at[:-1], length)
+        fit = contexts >= 0
+        return contexts[fit].astype(U) * size + numbers[fit].astype(U)
+
+    def without_first(places: np.ndarray) -> np.ndarray:
+        """What is left of runs shorter by one without their first word: a word, or the place of a run."""
+        out = np.zeros(len(places), np.int64)
+        for i, lo, hi in _cuts(places, targets.astype(np.int64)):
+            own = places[lo:hi] - shorter[i]
+            if length == 3:
+                out[lo:hi] = (model.run_keys(2, i)[own] % size).astype(np.int64)
+            else:
+                out[lo:hi] = model.table(f"{length - 1}-ends-{i}", U)[own].astype(np.int64)
+        return out
+
+    def save_runs(stripe: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        store.save(path, f"{length}-runs-{stripe}", keys)
+        store.save(path, f"{length}-run-counts-{stripe}", counts.astype(np.uint32))
+        contexts = keys // size
+        if top:
+            _save_facts(path, f"{length}-facts-{stripe}", contexts, counts)
+        ends = model.run_places(length - 1, without_first(contexts.astype(np.int64)), (keys % size).astype(np.int64))[0]
+        if not top:
+            store.save(path, f"{length}-ends-{stripe}", ends.astype(U))
+        follow, times = np.unique(ends, return_counts=True)
+        out = stripe_rows(follow.astype(U), times.astype(U), targets)
+        classes = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+        mine = [i == 0 for i in range(out.num_rows)]
+        return (
+            out.append_column("classes", pa.array([classes if m else None for m in mine], pa.list_(pa.int64())))
+            .append_column("pairs", pa.array([len(keys) if m else None for m in mine], pa.int64()))
+            .append_column("source", pa.array([stripe] * out.num_rows, pa.int32()))
+        )
+
+    runs = rows.mapInArrow(lambda b: _chunks(b, keys_of, edges.astype(U) * size), STRIPE_SCHEMA)
+    merged = materialise(merge_stripes(runs, save_runs, STRIPE_SCHEMA + FOLLOWER_SCHEMA), f"followers-{length}")
+    model.places[length] = _places(merged, model.stripes)
+    if top:
+        of = [F.coalesce(F.sum(F.col("classes")[k]), F.lit(0)) for k in range(4)]
+        model.run_discounts[length] = discounts([int(c) for c in merged.agg(*of).first()])
+
+    def save_adjusted(stripe: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        name = f"pair-counts-{stripe}" if length == 3 else f"{length - 1}-run-counts-{stripe}"
+        adjusted = np.zeros(shorter[stripe + 1] - shorter[stripe], np.uint32)
+        adjusted[keys.astype(np.int64) - shorter[stripe]] = counts
+        own = model.table(name, np.uint32)
+        adjusted = np.where(adjusted == 0, own, adjusted)  # nothing stands before the beginning of a document
+        store.save(path, f"{length - 1}-adjusted-{stripe}", adjusted)
+        _save_facts(path, f"{length - 1}-facts-{stripe}", model.run_keys(length - 1, stripe) // size, adjusted)
+        return pa.RecordBatch.from_pylist([{f"n{k}": int((adjusted == k).sum()) for k in (1, 2, 3, 4)}])
+
+    # every stripe is written, also one whose runs all begin documents
+    first = [(i, 1, pack(np.array([lo], U)), pack(np.zeros(1, U))) for i, lo in enumerate(shorter[:-1]) if shorter[i + 1] > lo]
+    every = merged.select("stripe", "size", "keys", "counts").union(rows.sparkSession.createDataFrame(first, STRIPE_SCHEMA))
+    totals = merge_stripes(every, save_adjusted, "n1 bigint, n2 bigint, n3 bigint, n4 bigint")
+    counts = totals.agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4")]).first()
+    model.run_discounts[length - 1] = discounts([int(c or 0) for c in counts])
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with n_tokens, n_known, base_score and score (log10 probabilities of the text)."""
+    """The documents with n_tokens, n_known, base_score and score (log10 probabilities of the text by words and pairs).
+
+    A model of a higher order adds ``score_`` and its order, the score by its longest runs.
+    """
     columns = docs.columns
-    into = [fresh(docs, n) for n in ("n_tokens", "n_known", "base_score", "score")]
+    longer = [f"score_{model.order}"] if model.order > 2 else []
+    into = [fresh(docs, n) for n in ("n_tokens", "n_known", "base_score", "score", *longer)]
     text = fresh(docs, "whole_text")
-    kinds = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
+    kinds = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), *[T.DoubleType() for _ in longer]]
     schema = T.StructType(list(docs.schema.fields) + [T.StructField(n, k) for n, k in zip(into, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,6 +554,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 pa.array(np.add.reduceat(base, at[:-1])),
                 pa.array(np.add.reduceat(logs, at[:-1])),
             ]
+            if longer:
+                values.append(pa.array(np.add.reduceat(model.run_log_probabilities(numbers, at[:-1]), at[:-1])))
             kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, *values], [*columns, *into])
 

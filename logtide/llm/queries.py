@@ -140,10 +140,10 @@ def jaccard_join(spark, sf_dir):
 @query("op7_language_model")
 def language_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.id_remainder(7) == 2)
-    model = lm.fit(docs.where(~F.col("held_out")).select("text"))
+    model = lm.fit(docs.where(~F.col("held_out")).select("text"), order=3)
     scored = lm.score(docs, model)
     train = F.lit(model.tokens).cast("long").alias("train_tokens")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", train, "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", train, "base_score", "score", "score_3")
 
 
 @query("op1_toxicity")
