@@ -74,6 +74,12 @@ def sum_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[edges], np.add.reduceat(counts, edges)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as their largest needs."""
+    most = int(counts.max()) if len(counts) else 0
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
 def stripe_rows(keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
     """Counted keys cut at ``edges`` (the first key of each stripe but the first), as one row per stripe."""
     cuts = np.append(0, np.append(np.searchsorted(keys, edges), len(keys)))
@@ -173,6 +179,11 @@ class Model:
             self._open[name] = store.load(self.path, name, dtype)
         return self._open[name]
 
+    def counts(self, name: str, rows: int) -> np.ndarray:
+        """A table of counts, whose width follows from its size."""
+        data = self.table(name, np.uint8)
+        return data.view(f"<u{len(data) // rows}") if rows else data
+
     def context_edges(self) -> np.ndarray:
         """The first context of each stripe but the first; context number V is the beginning of a document."""
         return np.linspace(0, self.words + 1, self.stripes + 1).astype(np.int64)[1:-1]
@@ -221,7 +232,7 @@ class Model:
             keys = self.table(f"pairs-{i}", U)
             if len(keys):
                 place = np.minimum(np.searchsorted(keys, different[lo:hi]), len(keys) - 1)
-                counts = self.table(f"pair-counts-{i}", np.uint32)
+                counts = self.counts(f"pair-counts-{i}", len(keys))
                 out[lo:hi] = np.where(keys[place] == different[lo:hi], counts[place], 0)
         return out[back]
 
@@ -237,8 +248,10 @@ class Model:
     def run_counts(self, length: int, stripe: int) -> np.ndarray:
         """Counts of runs as their order uses them: by the words before them below the highest."""
         if length < self.order:
-            return self.table(f"{length}-adjusted-{stripe}", np.uint32)
-        return self.table(f"pair-counts-{stripe}" if length == 2 else f"{length}-run-counts-{stripe}", np.uint32)
+            name = f"{length}-adjusted-{stripe}"
+        else:
+            name = f"pair-counts-{stripe}" if length == 2 else f"{length}-run-counts-{stripe}"
+        return self.counts(name, len(self.run_keys(length, stripe)))
 
     def run_places(self, length: int, contexts: np.ndarray, words: np.ndarray, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Places of runs (context, word), -1 for those not seen or with a part that is -1, and, if asked for, their counts."""
@@ -410,7 +423,7 @@ def fit(texts: DataFrame, path: str | None = None, order: int = 2) -> Model:
 
     def save_pairs(stripe: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         store.save(path, f"pairs-{stripe}", keys)
-        store.save(path, f"pair-counts-{stripe}", counts.astype(np.uint32))
+        store.save(path, f"pair-counts-{stripe}", narrow(counts))
         bounds = np.append(0, np.append(context_edges, model.words + 1))
         context = (keys // size).astype(np.int64) - bounds[stripe]
         rows = int(bounds[stripe + 1] - bounds[stripe])
@@ -486,7 +499,7 @@ def _count_runs(rows: DataFrame, model: Model, length: int) -> None:
 
     def save_runs(stripe: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         store.save(path, f"{length}-runs-{stripe}", keys)
-        store.save(path, f"{length}-run-counts-{stripe}", counts.astype(np.uint32))
+        store.save(path, f"{length}-run-counts-{stripe}", narrow(counts))
         contexts = keys // size
         if top:
             _save_facts(path, f"{length}-facts-{stripe}", contexts, counts)
@@ -514,9 +527,9 @@ def _count_runs(rows: DataFrame, model: Model, length: int) -> None:
         name = f"pair-counts-{stripe}" if length == 3 else f"{length - 1}-run-counts-{stripe}"
         adjusted = np.zeros(shorter[stripe + 1] - shorter[stripe], np.uint32)
         adjusted[keys.astype(np.int64) - shorter[stripe]] = counts
-        own = model.table(name, np.uint32)
+        own = model.counts(name, len(adjusted))
         adjusted = np.where(adjusted == 0, own, adjusted)  # nothing stands before the beginning of a document
-        store.save(path, f"{length - 1}-adjusted-{stripe}", adjusted)
+        store.save(path, f"{length - 1}-adjusted-{stripe}", narrow(adjusted))
         _save_facts(path, f"{length - 1}-facts-{stripe}", model.run_keys(length - 1, stripe) // size, adjusted)
         return pa.RecordBatch.from_pylist([{f"n{k}": int((adjusted == k).sum()) for k in (1, 2, 3, 4)}])
 
