@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logtide.llm import decontam, exact, jaccard, lm, mixing, secrets, substring, suffix, toxicity, warc
+from logtide.llm import audit, codes, decontam, exact, jaccard, lm, mixing, secrets, substring, suffix, toxicity, warc
 from logtide.llm.common import table
 from logtide.session import scratch_path
 
@@ -201,3 +201,87 @@ def toxicity_query(spark, sf_dir):
 def revisits(spark, sf_dir):
     records = warc.records_of_pages(table(spark, sf_dir, "pages"))
     return warc.resolve_revisits(records).withColumn("headers", warc.header_text(F.col("headers")))
+
+
+def _codes_sql() -> str:
+    """Every round written out: parts with their nearest entry, then the floors of the means."""
+    steps = []
+    for i in range(codes.ROUNDS + 1):
+        steps.append(f"""
+          a{i} AS MATERIALIZED (
+            SELECT vec_id, label, p, min(d) AS d, arg_min(e, (d, e)) AS e, any_value(x) AS x
+            FROM (SELECT v.*, b.e, list_sum(list_transform(list_zip(v.x, b.y), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d
+                  FROM v JOIN b{i} b USING (p)) GROUP BY vec_id, label, p)""")
+        if i < codes.ROUNDS:
+            steps.append(f"""
+          m{i} AS (
+            SELECT p, e, list(m ORDER BY i) AS y
+            FROM (SELECT p, e, i, (sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*) AS m
+                  FROM (SELECT p, e, unnest(x)::HUGEINT AS c, unnest(range(len(x))) AS i FROM a{i}) GROUP BY p, e, i)
+            GROUP BY p, e),
+          b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y::BIGINT[], b.y) AS y FROM b{i} b LEFT JOIN m{i} m USING (p, e))""")
+    return f"""
+    WITH k AS (
+      SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {codes.SCALE})::BIGINT) AS w FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    v AS MATERIALIZED (
+      SELECT vec_id, label, p, list_slice(w, p * len(w) // {codes.PARTS} + 1, (p + 1) * len(w) // {codes.PARTS}) AS x
+      FROM k, range({codes.PARTS}) AS r(p)),
+    b0 AS MATERIALIZED (
+      SELECT p, e, x AS y FROM v JOIN (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT {codes.ENTRIES}) USING (vec_id)),
+    {",".join(steps)},
+    c AS (
+      SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+      FROM a{codes.ROUNDS} GROUP BY vec_id, label),
+    h AS (
+      SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{codes.ROUNDS})
+    SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def vector_codes(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+    d AS (
+      SELECT doc_id, part,
+             [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+              100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+              regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails,
+             coalesce((SELECT bool_or(quality = 1) FROM labels l WHERE l.doc_id = w.doc_id), false) AS good,
+             coalesce((SELECT bool_or(toxic = 1) FROM labels l WHERE l.doc_id = w.doc_id), false) AS toxic
+      FROM w),
+    g AS (
+      SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+    f AS (SELECT i, chr(64 + i::INT) AS name FROM range(1, 6) AS r(i)),
+    o AS (
+      SELECT [a.i, b.i, c.i, d.i, e.i] AS ids, a.name || b.name || c.name || d.name || e.name AS filter_order
+      FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    s AS (SELECT *, unnest(range(1, 6)) AS step FROM o),
+    x AS (
+      SELECT part, filter_order, step, ids[step] AS filter, n, good, toxic,
+             list_bool_or(list_transform(list_slice(ids, 1, step - 1), lambda j: fails[j])) AS gone, fails[ids[step]] AS failed,
+             len(list_filter(fails, lambda b: b)) = 1 AS alone
+      FROM g, s),
+    c AS (
+      SELECT part, filter_order, step, filter,
+             coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND NOT failed), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND failed), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (gone AND failed), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (failed AND alone), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (NOT coalesce(gone, false) AND failed), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (NOT coalesce(gone, false) AND failed), 0)::BIGINT AS toxic_lost
+      FROM x GROUP BY ALL)
+    SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+    FROM c""",
+)
+def filter_audit(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return audit.audit(docs, labels, F.col("lang"), audit.text_failures(), "E")
