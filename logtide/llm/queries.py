@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logtide.llm import audit, codes, decontam, exact, jaccard, lm, mixing, secrets, substring, suffix, toxicity, warc
+from logtide.llm import audit, codes, decontam, exact, jaccard, lm, mixing, quality, secrets, substring, suffix, toxicity, warc
 from logtide.llm.common import table
 from logtide.session import scratch_path
 
@@ -285,3 +285,12 @@ def vector_codes(spark, sf_dir):
 def filter_audit(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return audit.audit(docs, labels, F.col("lang"), audit.text_failures(), "E")
+
+
+@query("op11_line_quality")
+def line_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lm.id_remainder(3) == 1
+    field = quality.fit_on(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = quality.score(docs.withColumn("held_out", held_out), field)
+    return scored.select("doc_id", "held_out", "score", "predicted")
