@@ -65,7 +65,7 @@ class Lines:
         change = np.ones(len(words), bool)
         change[1:] = (np.diff(newline) != 0) | (np.diff(words.of) != 0)
         first = np.flatnonzero(change)
-        last = np.append(first[1:], len(words)) - 1
+        last = np.append(first[1:], len(words))[: len(first)] - 1
         line = np.cumsum(change) - 1
         of = words.of[first]
         some = self._features(texts, words, first, last, line, of)

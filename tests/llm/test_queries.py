@@ -6,7 +6,7 @@ import pytest
 
 from logtide.llm import queries
 
-NUMBERS = range(1, 11)
+NUMBERS = range(1, 14)
 
 
 @pytest.fixture(scope="module")
