@@ -18,7 +18,6 @@ error fits 64 bits; a sum over a label that does not is null.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,17 +44,32 @@ def cuts_of(dims: int, parts: int) -> list[int]:
     return [p * dims // parts for p in range(parts + 1)]
 
 
+def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All components of a list column as doubles, null as NaN, and the offsets of its rows; a null list is empty."""
+    at = np.append(0, np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float), at
+
+
 def whole_vectors(vectors: DataFrame, vector: str, carry: list[str]) -> DataFrame:
     """The rows of finite vectors without null, with integer components."""
-    v = F.col(f"`{vector}`")
-    good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    kept = vectors.where(good)
 
-    def whole(n):
-        most = F.pow(F.lit(2.0), F.floor((62 - F.length(F.bin(F.greatest(n - 1, F.lit(1))))) / 2) - 1)
-        return F.transform(v, lambda x: F.greatest(F.least(F.floor(F.greatest(F.least(x.cast("double") * SCALE, most), -most)), most), -most).cast("int"))
-
-    return kept.select(*[F.col(f"`{c}`") for c in carry], whole(F.size(v)).alias("whole"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = rows_of(batch.column(len(carry)))
+            size = np.diff(at)
+            of = np.repeat(np.arange(len(size)), size)
+            good = (size > 0) & (np.bincount(of, ~np.isfinite(flat), len(size)) == 0)
+            used = good[of]
+            most = np.array([limit(int(n)) for n in size[good]], float)[np.cumsum(good) - 1][of[used]] if good.any() else np.zeros(0)
+            with np.errstate(over="ignore"):
+                whole = np.clip(np.floor(flat[used] * SCALE), -most, most).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size[good])), pa.int32()), pa.array(whole))
+            kept = batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([*[kept.column(i) for i in range(len(carry))], lists], [*carry, "whole"])
+
+    columns = vectors.select(*[F.col(f"`{c}`") for c in [*carry, vector]])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1])
+    return columns.mapInArrow(run, f"{schema}, whole array<int>")
 
 
 class Slices:
@@ -196,10 +210,9 @@ def compress(vectors: DataFrame, vector: str = "embedding", parts: int = PARTS,
     give codebooks of as many entries; an empty table gives no rows. Other columns are not read.
     """
     ready_for_texts(vectors.sparkSession)
-    kept = whole_vectors(vectors, vector, ["vec_id", "label"])
+    kept = materialise(whole_vectors(vectors, vector, ["vec_id", "label"]), "whole-vectors")
     head = kept.orderBy(F.col("vec_id").asc_nulls_last(), "whole").select(F.size("whole").alias("n")).first()
-    dims = head["n"] if head else 0
-    kept = materialise(kept.where(F.size("whole") == dims), "whole-vectors")
+    kept = kept.where(F.size("whole") == (head["n"] if head else 0))
     coder = fit_codes(kept, parts, entries, rounds)
     if coder is None:
         coded = kept.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"))
