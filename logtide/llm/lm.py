@@ -39,7 +39,7 @@ from logtide.llm import store
 from logtide.llm.arrays import U, Words, blocks, mix64
 from logtide.llm.common import fresh, ready_for_texts, whole_text
 from logtide.llm.substring import text_bytes
-from logtide.session import materialise, scratch_path
+from logtide.session import materialise
 
 CHUNK = 3_000_000  # tokens that a task counts before it sends them
 STRIPE_TOKENS = 4_000_000  # tokens of the corpus for each stripe of the pairs
@@ -77,7 +77,13 @@ def sum_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def narrow(counts: np.ndarray) -> np.ndarray:
     """Counts in as few bytes as their largest needs."""
     most = int(counts.max()) if len(counts) else 0
-    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def guard_keys(contexts: int, words: int) -> None:
+    """Keys of runs are context * words + word in 64 bits; refuse a corpus whose keys would wrap around."""
+    if contexts * words >= 1 << 64:
+        raise OverflowError(f"{contexts} contexts of {words} words do not fit 64-bit keys; use a lower order")
 
 
 def stripe_rows(keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
@@ -176,9 +182,22 @@ class Model:
 
     def table(self, name: str, dtype) -> np.ndarray:
         if name not in self._open:
-            self._open[name] = store.load(self.path, name, dtype)
+            self._open[name] = store.load(self.path, name, dtype) if self.written(name) else np.zeros(0, dtype)
         return self._open[name]
 
+    def written(self, name: str) -> bool:
+        """Whether the stripe that a table is named after has rows, by what the writing tasks have reported."""
+        kind, stripe = name.rsplit("-", 1)
+        i = int(stripe)
+        if kind.startswith("vocab"):
+            first = self.offsets
+        elif kind == "continuations":
+            first = np.minimum([0, *self.context_edges(), self.words], self.words)
+        else:
+            length = kind.split("-", 1)[0]
+            first = self.places[int(length) if length.isdigit() else 2]
+        return first[i + 1] > first[i]
+
     def counts(self, name: str, rows: int) -> np.ndarray:
         """A table of counts, whose width follows from its size."""
         data = self.table(name, np.uint8)
@@ -355,8 +374,8 @@ def _save_facts(path: str, name: str, contexts: np.ndarray, counts: np.ndarray)
     """Totals of the contexts (sorted) with more than FEW rows."""
     at = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if len(contexts) else np.zeros(0, np.int64)
     many = np.diff(np.append(at, len(contexts))) > FEW
-    if many.any():
-        store.save(path, name, np.column_stack([contexts[at], _facts(counts, at)])[many].astype(U))
+    facts = np.column_stack([contexts[at], _facts(counts, at)])[many] if len(at) else np.zeros((0, 5))
+    store.save(path, name, facts.astype(U))
 
 
 def _hash_edges() -> np.ndarray:
@@ -393,7 +412,7 @@ def fit(texts: DataFrame, path: str | None = None, order: int = 2) -> Model:
     if order < 2:
         raise ValueError("order must be 2 or more")
     ready_for_texts(texts.sparkSession)
-    path = path or scratch_path(texts.sparkSession, "language-model")
+    path = path or store.shared_path(texts.sparkSession, "language-model")
     rows = texts.select(whole_text().alias("text"))
     model = Model(path, stripes=max(8, text_bytes(rows) // BYTES_PER_TOKEN // STRIPE_TOKENS), order=order)
 
@@ -412,6 +431,7 @@ def fit(texts: DataFrame, path: str | None = None, order: int = 2) -> Model:
     model.tokens = sum(r["tokens"] for r in found)
 
     size = U(max(model.words, 1))
+    guard_keys(model.words + 1, model.words)
     context_edges = model.context_edges()
 
     def pair_keys(texts) -> np.ndarray:
@@ -458,8 +478,7 @@ def fit(texts: DataFrame, path: str | None = None, order: int = 2) -> Model:
     model.word_discounts = discounts(counts[:4])
     model.word_classes = [counts[0], counts[1], counts[4] - counts[0] - counts[1]]
     model.run_discounts[2] = model.pair_discounts
-    if order > 2:
-        model.places[2] = _places(merged, model.stripes)
+    model.places[2] = _places(merged, model.stripes)
     for length in range(3, order + 1):
         _count_runs(rows, model, length)
     return model
@@ -477,6 +496,7 @@ def _count_runs(rows: DataFrame, model: Model, length: int) -> None:
     """Count runs of a length, and those shorter by one by the different words before them."""
     path, size, top = model.path, U(max(model.words, 1)), length == model.order
     edges, shorter = model.run_edges(length), model.places[length - 1]
+    guard_keys(shorter[-1], model.words)
     targets = np.array(shorter[1:-1]).astype(U)
 
     def keys_of(texts) -> np.ndarray:
@@ -525,7 +545,7 @@ def _count_runs(rows: DataFrame, model: Model, length: int) -> None:
 
     def save_adjusted(stripe: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         name = f"pair-counts-{stripe}" if length == 3 else f"{length - 1}-run-counts-{stripe}"
-        adjusted = np.zeros(shorter[stripe + 1] - shorter[stripe], np.uint32)
+        adjusted = np.zeros(shorter[stripe + 1] - shorter[stripe], U)
         adjusted[keys.astype(np.int64) - shorter[stripe]] = counts
         own = model.counts(name, len(adjusted))
         adjusted = np.where(adjusted == 0, own, adjusted)  # nothing stands before the beginning of a document
@@ -542,15 +562,14 @@ def _count_runs(rows: DataFrame, model: Model, length: int) -> None:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with n_tokens, n_known, base_score and score (log10 probabilities of the text by words and pairs).
+    """The documents with n_tokens, n_known, base_score (by single words) and score, log10 probabilities of the text.
 
-    A model of a higher order adds ``score_`` and its order, the score by its longest runs.
+    ``score`` is that of the model: each token after the ``order`` - 1 before it.
     """
     columns = docs.columns
-    longer = [f"score_{model.order}"] if model.order > 2 else []
-    into = [fresh(docs, n) for n in ("n_tokens", "n_known", "base_score", "score", *longer)]
+    into = [fresh(docs, n) for n in ("n_tokens", "n_known", "base_score", "score")]
     text = fresh(docs, "whole_text")
-    kinds = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), *[T.DoubleType() for _ in longer]]
+    kinds = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType(list(docs.schema.fields) + [T.StructField(n, k) for n, k in zip(into, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,7 +578,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             numbers = model.numbers(hashes)
             counts = model.word_counts(numbers)
             base = np.log10((counts + 1.0) / (model.tokens + model.words + 1.0))
-            logs = model.log_probabilities(numbers, at[:-1])
+            logs = model.log_probabilities(numbers, at[:-1]) if model.order == 2 else model.run_log_probabilities(numbers, at[:-1])
             number = np.diff(at)
             values = [
                 pa.array(number, pa.int64()),
@@ -567,8 +586,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 pa.array(np.add.reduceat(base, at[:-1])),
                 pa.array(np.add.reduceat(logs, at[:-1])),
             ]
-            if longer:
-                values.append(pa.array(np.add.reduceat(model.run_log_probabilities(numbers, at[:-1]), at[:-1])))
             kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, *values], [*columns, *into])
 

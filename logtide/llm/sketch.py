@@ -14,11 +14,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from logtide.llm import store
 from logtide.llm.arrays import U, mix64
-from logtide.session import scratch_path
 
 STRIPE = 22
 CHUNK = 4_000_000  # hashes that a task gathers before it sends their counters
@@ -68,6 +66,7 @@ class Sketch:
 
     def __init__(self, path: str, rows: int, log_width: int, dtype) -> None:
         self.path, self.rows, self.log_width, self.dtype = path, rows, log_width, dtype
+        self.written: frozenset[int] = frozenset()  # stripes that have a file; no counter of another one was raised
         self._files: dict[int, np.ndarray] = {}
 
     def __getstate__(self):
@@ -75,7 +74,8 @@ class Sketch:
 
     def _stripe(self, number: int) -> np.ndarray:
         if number not in self._files:
-            self._files[number] = store.load(self.path, f"stripe-{number}", self.dtype)
+            there = number in self.written
+            self._files[number] = store.load(self.path, f"stripe-{number}", self.dtype) if there else np.zeros(0, self.dtype)
         return self._files[number]
 
     def _look(self, row: int, numbers: np.ndarray, read: Callable) -> np.ndarray:
@@ -122,7 +122,7 @@ def build(
 
     With ``bits`` it keeps one bit per counter, whether it was raised at least twice; otherwise it keeps counts.
     """
-    path = scratch_path(docs.sparkSession, name)
+    path = store.shared_path(docs.sparkSession, name)
     out = Sketch(path, rows, log_width, np.uint8 if bits else np.uint32)
     most = 2 if bits else None
 
@@ -165,7 +165,7 @@ def build(
 
     sent = docs.mapInArrow(send, "stripe int, raised binary")
     merged = sent.repartition("stripe").sortWithinPartitions("stripe").mapInArrow(add_up, "stripe int")
-    merged.agg(F.count(F.lit(1))).collect()  # one number: the stripes are written
+    out.written = frozenset(r["stripe"] for r in merged.collect())  # numbers of stripes, at most rows * 2^(34 - STRIPE)
     return out
 
 

@@ -123,6 +123,53 @@ def kneser_ney(train, texts):
         yield len(seq), sum(w in words for w in seq), base, score
 
 
+def longer_scores(train, texts, order):
+    """Interpolated modified Kneser-Ney of an order by dictionaries of tuples."""
+    import math
+    from collections import Counter, defaultdict
+
+    def cuts_of(n):
+        if not all(n):
+            return [0.5, 1.0, 1.5]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0), k + 1) for k in range(3)]
+
+    tokens = lambda t: [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in split_words(t)] + [None]
+    raw = [Counter() for _ in range(order + 1)]
+    for text in train:
+        seq = ["<", *tokens(text)]
+        for k in range(1, order + 1):
+            raw[k].update(tuple(seq[i : i + k]) for i in range(len(seq) - k + 1))
+    counts = [None] * (order + 1)
+    counts[order] = raw[order]
+    for k in range(1, order):
+        counts[k] = Counter(g[1:] for g in raw[k + 1])
+        if k > 1:
+            counts[k].update({g: c for g, c in raw[k].items() if g[0] == "<"})
+    cut, groups = [None], [None]
+    for k in range(1, order + 1):
+        n = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
+        cut.append(cuts_of(n))
+        groups.append(defaultdict(list))
+        for g, c in counts[k].items():
+            groups[k][g[:-1]].append(c)
+    words = len(raw[1]) - 1
+    off = lambda k, c: cut[k][min(c, 3) - 1] if c else 0
+
+    def p(context, w):
+        k = len(context) + 1
+        low = p(context[1:], w) if context else 1 / (words + 1)
+        seen = groups[k].get(context)
+        if not seen:
+            return low
+        c = counts[k][(*context, w)]
+        return (max(c - off(k, c), 0) + sum(off(k, x) for x in seen) * low) / sum(seen)
+
+    for text in texts:
+        seq = ["<", *tokens(text)]
+        yield sum(math.log10(p(tuple(seq[max(0, i - order + 1) : i]), seq[i])) for i in range(1, len(seq)))
+
+
 def overlaps(docs, items, masks, stretch=20, share=0.8):
     """(doc index, item id, similarity, place): every window of every text against every window of every item."""
     import math

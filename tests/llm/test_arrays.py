@@ -1,6 +1,11 @@
+import pathlib
+import pickle
+import urllib.parse
+
 import brute
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -88,3 +93,27 @@ def test_blocks_cover_all_rows():
     parts = list(blocks(iter([batch]), most=8))
     assert [i for b, _ in parts for i in b.column(0).to_pylist()] == list(range(7))
     assert b"".join(t.data.tobytes() for _, t in parts) == b"aaaaa" + b"b" * 30 + b"cd"
+
+
+def test_missing_stripe_is_an_error(spark):
+    """A stripe that was written and is not there must not be taken for one without counters."""
+    docs = spark.createDataFrame([("a",)] * 50 + [("b",)] * 50, "text string")
+    hashes = lambda batches: (np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in batches)
+    built = sketch.build(docs.coalesce(2).select("text"), hashes, "probe", 24, rows=1)
+    asked = next(iter(hashes([0])))
+    assert built.repeated(asked).sum() >= 0 and len(built.written) == 4
+    folder = pathlib.Path(urllib.parse.urlparse(built.path).path)
+    (folder / "stripe-2").rename(folder / "gone")
+    with pytest.raises(FileNotFoundError):
+        pickle.loads(pickle.dumps(built)).repeated(asked)
+
+
+def test_paths_are_qualified_as_spark_does(spark):
+    from logtide.llm import store
+
+    path = store.shared_path(spark, "x")
+    assert path.startswith("file:/")
+    store.save(path, "a", np.arange(3))
+    store.save(path, "a", np.arange(3))  # a task that runs twice
+    assert store.load(path, "a", np.int64).tolist() == [0, 1, 2]
+    spark.read.format("binaryFile").load(f"{path}/a").select("path").collect()

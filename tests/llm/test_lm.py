@@ -1,8 +1,12 @@
+import pathlib
+import pickle
 import random
+import urllib.parse
 import zlib
 
 import brute
 import cases
+import numpy as np
 import pytest
 
 from logtide.llm import lm
@@ -74,47 +78,6 @@ def test_id_remainder(spark):
     assert all(r["r"] == zlib.crc32(str(r["doc_id"]).encode() if r["doc_id"] is not None else b"") % 7 for r in rows.collect())
 
 
-def longer_scores(train, texts, order):
-    """Interpolated modified Kneser-Ney of an order by dictionaries of tuples."""
-    import math
-    from collections import Counter, defaultdict
-
-    tokens = lambda t: [w.lower() for w in brute.split_words(t)] + [None]
-    raw = [Counter() for _ in range(order + 1)]
-    for text in train:
-        seq = ["<", *tokens(text)]
-        for k in range(1, order + 1):
-            raw[k].update(tuple(seq[i : i + k]) for i in range(len(seq) - k + 1))
-    counts = [None] * (order + 1)
-    counts[order] = raw[order]
-    for k in range(1, order):
-        counts[k] = Counter(g[1:] for g in raw[k + 1])
-        if k > 1:
-            counts[k].update({g: c for g, c in raw[k].items() if g[0] == "<"})
-    cut, groups = [None], [None]
-    for k in range(1, order + 1):
-        n = [sum(c == j for c in counts[k].values()) for j in (1, 2, 3, 4)]
-        cut.append(lm.discounts(n))
-        groups.append(defaultdict(list))
-        for g, c in counts[k].items():
-            groups[k][g[:-1]].append(c)
-    words = len(raw[1]) - 1
-    off = lambda k, c: cut[k][min(c, 3) - 1] if c else 0
-
-    def p(context, w):
-        k = len(context) + 1
-        low = p(context[1:], w) if context else 1 / (words + 1)
-        seen = groups[k].get(context)
-        if not seen:
-            return low
-        c = counts[k][(*context, w)]
-        return (max(c - off(k, c), 0) + sum(off(k, x) for x in seen) * low) / sum(seen)
-
-    for text in texts:
-        seq = ["<", *tokens(text)]
-        yield sum(math.log10(p(tuple(seq[max(0, i - order + 1) : i]), seq[i])) for i in range(1, len(seq)))
-
-
 @pytest.mark.parametrize(("order", "words"), [(3, 3), (3, 40), (4, 12)])
 def test_longer_runs(spark, monkeypatch, order, words):
     monkeypatch.setattr(lm, "FEW", 2)
@@ -124,6 +87,28 @@ def test_longer_runs(spark, monkeypatch, order, words):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
     model = lm.fit(spark.createDataFrame([(t,) for t in train], "text string").repartition(2), order=order)
     rows = sorted(lm.score(docs, model).collect())
-    assert [r[f"score_{order}"] for r in rows] == pytest.approx(list(longer_scores(train, texts, order)), rel=1e-9)
-    two = list(brute.kneser_ney(train, texts))
-    assert [r["score"] for r in rows] == pytest.approx([t[3] for t in two], rel=1e-9)
+    assert [r["score"] for r in rows] == pytest.approx(list(brute.longer_scores(train, texts, order)), rel=1e-9)
+
+
+def test_counts_and_keys_do_not_wrap():
+    counts = np.array([1, 2**33 + 5], np.uint64)
+    assert lm.narrow(counts).tolist() == counts.tolist()
+    assert [lm.narrow(np.array([m], np.uint64)).itemsize for m in (255, 256, 65_536, 2**32 - 1, 2**32)] == [1, 2, 4, 4, 8]
+    lm.guard_keys(2**40, 2**23)
+    with pytest.raises(OverflowError):
+        lm.guard_keys(2**40, 2**24)
+
+
+def test_missing_table_is_an_error(spark):
+    docs = cases.odd_docs(spark)
+    model = lm.fit(docs.select("text"), order=3)
+    folder = pathlib.Path(urllib.parse.urlparse(model.path).path)
+    files = [f.name for f in folder.iterdir() if not f.name.startswith(".")]
+    for kind in sorted({f.rsplit("-", 1)[0] for f in files}):
+        file = next(folder / f for f in files if f.rsplit("-", 1)[0] == kind)
+        away = file.with_name("." + file.name)
+        file.rename(away)
+        fresh = pickle.loads(pickle.dumps(model))
+        with pytest.raises(FileNotFoundError):
+            fresh.table(file.name, np.uint8)
+        away.rename(file)
