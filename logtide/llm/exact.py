@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +30,38 @@ def text_digest(column: str = "text") -> Column:
 class DigestIndex:
     """The stored index: one row per known digest with the row that stays.
 
-    ``path`` is a folder in the shared store and outlives the session; open it again with the same number of buckets.
+    ``path`` is a folder in the shared store and outlives the session. The number of buckets, which every reader must know,
+    is stored beside it when the index is made; a later opening takes it from there and refuses another number.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
         self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._layout(path.rstrip("/"), buckets)
         self.name = "digest_index_" + hashlib.md5(path.encode()).hexdigest()[:16]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT) USING parquet"
             f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _layout(self, path: str, asked: int | None) -> int:
+        """The stored number of buckets; of a new index the one asked for, by default as many as a shuffle has partitions."""
+        beside = f"{path}.layout"
+        schema = "buckets int"
+        try:
+            stored = self.spark.read.schema(schema).json(beside).first()["buckets"]
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+                raise ValueError(f"{path} has no layout beside it, so its buckets cannot be read") from None
+            new = asked or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.spark.createDataFrame([(new,)], schema).coalesce(1).write.json(beside)
+            return new
+        if asked is not None and asked != stored:
+            raise ValueError(f"{path} has {stored} buckets, not {asked}")
+        return stored
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 

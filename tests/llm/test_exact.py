@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import cases
+import pytest
+from pyspark.sql import functions as F
 
 from logtide.llm import exact
 from logtide.session import scratch_path
@@ -69,3 +71,30 @@ def test_plan_reads_buckets_in_place(spark):
     plan = new.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in text and text.count("Exchange") == 1
+
+
+def test_index_opened_with_another_number_of_partitions(spark):
+    """The buckets are those that the index was made with, whatever the session's shuffle partitions are by then."""
+    path = scratch_path(spark, "index")
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    batch = docs.select(exact.text_digest().alias("digest"), "doc_id", F.col("doc_id").alias("row"))
+    exact.DigestIndex(spark, path, 4).add(batch)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.sql(f"DROP TABLE {exact.DigestIndex(spark, path).name}")  # as in a new session
+        index = exact.DigestIndex(spark, path)
+        assert index.buckets == 4
+        index.add(batch)
+        assert index.rows().count() == 2_000 == index.rows().distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact.DigestIndex(spark, path, 7)
+
+
+def test_index_without_layout_is_refused(spark):
+    path = scratch_path(spark, "index")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(ValueError, match="layout"):
+        exact.DigestIndex(spark, path)
