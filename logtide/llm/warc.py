@@ -6,14 +6,14 @@ not-modified answer may update.
 
 The as-of join is split by time: captures of a URL are cut into slices, the last response of each slice is carried to the
 slices behind it by a short window over slices, and a window inside each slice finds the rest. A URL or host with a third
-of all captures is spread over its slices. Only ids and times go through the windows; headers are joined to the result
-by id.
+of all captures is spread over its slices. Records are stored once under a row number; only numbers, ids and times go through
+the windows, and headers are joined to the result by row number, so records that share an id are resolved each.
 
-Rules. Equal times are not earlier; of responses at one time the one with the largest id counts. A validator is compared
+Rules. Equal times are not earlier; of responses at one time the one with the largest id counts (a null id last), of those
+with one id the one with the largest row hash. A validator is compared
 if both sides have it: the entity tag without its weak mark, the time of last modification, the payload digest. All that
 are compared must agree. A revisit without URL or time has no earlier response. Header names are lower-cased, of names
-that differ only in case the last entry counts, null headers are empty. Rows that repeat an id are resolved each; of responses with one id, one is used. An
-empty table gives no rows.
+that differ only in case the last entry counts, null headers are empty. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtide.llm.common import row_hash
+from logtide.session import materialise
+
 # The fields that a 304 answer updates in a stored response (RFC 9110, 15.4.5).
 UPDATED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 # Query parameters that do not select content.
@@ -53,21 +56,25 @@ def clean_headers(headers: Column) -> Column:
 
 
 def latest_earlier(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """(id, base) of each revisit in rows (id, key, at in microseconds, response): the last response before it or null."""
+    """(row, base) of each revisit with key and time in rows (row, id, turn, key, at in microseconds, response).
+
+    ``base`` is the row number of the last response before it, or null; ``turn`` breaks ties of responses.
+    """
     cut = records.where(F.col("key").isNotNull() & F.col("at").isNotNull())
     cut = cut.withColumn("slice", F.floor(F.col("at") / (slice_seconds * 1_000_000)))
-    capture = F.when(F.col("response"), F.struct("at", "id"))
-    last = cut.where("response").groupBy("key", "slice").agg(F.max(F.struct("at", "id")).alias("last"))
+    place = F.struct("at", "id", "turn", "row")
+    capture = F.when(F.col("response"), place)
+    last = cut.where("response").groupBy("key", "slice").agg(F.max(place).alias("last"))
     # every slice that has a row gets the last response of the slices before it
     used = cut.where(~F.col("response")).select("key", "slice").distinct()
-    steps = last.unionByName(used.withColumn("last", F.lit(None).cast("struct<at:bigint,id:bigint>")))
+    steps = last.unionByName(used.withColumn("last", F.lit(None).cast(last.schema["last"].dataType)))
     steps = steps.groupBy("key", "slice").agg(F.max("last").alias("last"))
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = steps.select("key", "slice", F.max("last").over(before).alias("carried"))
     inside = Window.partitionBy("key", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     found = cut.withColumn("near", F.max(capture).over(inside)).where(~F.col("response"))
     found = found.join(carried.where("carried IS NOT NULL"), ["key", "slice"], "left")
-    return found.select("id", F.coalesce("near.id", "carried.id").alias("base"))
+    return found.select("row", F.coalesce("near.row", "carried.row").alias("base"))
 
 
 def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -85,14 +92,17 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
         clean_headers(F.col("headers")).alias("headers"),
         "digest",
     )
-    pairs = latest_earlier(known.select("id", "key", "at", "response"), slice_seconds)
-    pairs = pairs.groupBy("id").agg(F.max("base").alias("base"))
-    revisits = known.where(~F.col("response")).drop("response", "at").join(pairs, "id", "left")
-    bases = known.where(F.col("response")).dropDuplicates(["id"])
-    bases = bases.select(F.col("id").alias("stored_id"), F.col("headers").alias("stored"), F.col("digest").alias("payload"))
+    known = known.withColumns({"turn": row_hash(known), "row": F.monotonically_increasing_id()})
+    known = materialise(known, "captures")  # row numbers must not change between the reads below
+    pairs = latest_earlier(known.select("row", "id", "turn", "key", "at", "response"), slice_seconds)
+    revisits = known.where(~F.col("response")).drop("response", "at").join(pairs, "row", "left")
+    bases = known.where(F.col("response"))
+    bases = bases.select(
+        F.col("row").alias("stored_row"), F.col("id").alias("base_id"), F.col("headers").alias("stored"), F.col("digest").alias("payload")
+    )
     # rows without a base match nothing; a number of their own keeps them from meeting in one task
-    near = revisits.withColumn("near", F.coalesce("base", F.xxhash64("id")))
-    both = near.join(bases, F.col("base").isNotNull() & (F.col("near") == F.col("stored_id")), "left")
+    near = revisits.withColumn("near", F.coalesce("base", -1 - F.col("row")))
+    both = near.join(bases, F.col("near") == F.col("stored_row"), "left")
     bare = lambda tag: F.regexp_replace(tag, r"^W/", "")
     equal = [
         bare(F.col("headers")["etag"]) == bare(F.col("stored")["etag"]),
@@ -113,7 +123,7 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE_SECONDS) ->
         F.col("id").alias("record_id"),
         F.col("key").alias("url"),
         "status",
-        F.col("base").alias("base_id"),
+        "base_id",
         F.when(done, F.map_concat(kept, fresh)).otherwise(F.col("headers")).alias("headers"),
         F.when(done, F.col("payload")).otherwise(F.col("digest")).alias("digest"),
     )

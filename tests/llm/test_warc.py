@@ -86,5 +86,41 @@ def test_repeated_rows(spark):
     assert [(r["record_id"], r["status"]) for r in found] == [(2, "resolved")] * 2
 
 
+def test_records_that_share_an_id_are_resolved_each(spark):
+    """Equal and null ids under different URLs, of revisits and of responses."""
+    x, y, z = "http://a.com/x", "http://b.com/y", "http://c.com/z"
+    rows = [
+        (1, "response", x, at(1), {"etag": "a"}, "dx"),
+        (2, "response", y, at(1), {"etag": "b"}, "dy"),
+        (2, "response", z, at(1), {"etag": "c"}, "dz"),
+        (None, "response", "http://d.com/", at(1), {"etag": "d"}, "dd"),
+        (9, "revisit", x, at(2), {"etag": "a"}, None),
+        (9, "revisit", y, at(2), {"etag": "b"}, None),
+        (None, "revisit", z, at(2), {"etag": "c"}, None),
+        (None, "revisit", "http://d.com/", at(2), {"etag": "d"}, None),
+        (None, "revisit", "http://e.com/", at(2), {"etag": "d"}, None),
+    ]
+    found = sorted((r["url"], r["status"], r["base_id"], r["digest"]) for r in warc.resolve_revisits(log(spark, rows)).collect())
+    assert found == [
+        ("a.com/x", "resolved", 1, "dx"),
+        ("b.com/y", "resolved", 2, "dy"),
+        ("c.com/z", "resolved", 2, "dz"),
+        ("d.com", "resolved", None, "dd"),
+        ("e.com", "no_earlier_response", None, None),
+    ]
+
+
+def test_ties_of_one_id_do_not_depend_on_order(spark):
+    u = "http://e.com/x"
+    twins = [(1, "response", u, at(1), {"etag": t}, t) for t in "abcdef"] + [(None, "response", u, at(1), {"etag": "n"}, "n")]
+    chosen = set()
+    for some in (twins, twins[::-1]):
+        rows = some + [(ord(t), "revisit", u, at(2), {"etag": t}, None) for t in "abcdefn"]
+        got = resolved(spark, rows)
+        assert {r["base_id"] for r in got.values()} == {1}
+        chosen.add(tuple(i for i, r in sorted(got.items()) if r["status"] == "resolved"))
+    assert len(chosen) == 1 and len(min(chosen)) == 1
+
+
 def test_empty(spark):
     assert resolved(spark, []) == {}
