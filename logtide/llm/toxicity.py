@@ -32,7 +32,7 @@ from logtide.session import materialise
 
 SAMPLE = 4_000  # documents of each class that are used for training, at most
 SPAN = 32  # words in a window
-STEP = 24  # words from one window to the next
+STEP = 16  # words from one window to the next
 BUCKETS = 1 << 15  # embeddings of words, and as many of character n-grams
 WIDTH = 4  # of an embedding
 HIDDEN = 6  # units in each direction
@@ -248,14 +248,19 @@ def document_logits(network: Network, texts: Texts) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column | None, most: int) -> DataFrame:
-    """(text, toxic) of the sampled documents: the first of each class by a hash of the id."""
+    """(text, toxic) of the sampled documents: the first of each class by a hash of the id.
+
+    Of rows that share an id the smallest text is taken; an id with labels of both classes is taken with both.
+    """
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     if usable is not None:
         rows = rows.where(usable)
     classes = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     picked = classes[0].unionByName(classes[1])  # at most twice ``most`` rows
     texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), "doc_id")
-    return materialise(texts.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
+    # one row for each id and class, so that an id that repeats does not multiply the sample
+    texts = texts.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))
+    return materialise(texts.select("text", "toxic"), "toxicity-sample")
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
