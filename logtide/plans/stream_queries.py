@@ -6,6 +6,12 @@ returned.
 
 from __future__ import annotations
 
+import contextlib
+import os
+from collections.abc import Iterator
+from urllib.parse import urlparse
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +23,7 @@ from logtide.plans.registry import query
 from logtide.plans.sqltext import KEYED, PROC, flagged, iso
 from logtide.session import scratch_path
 from logtide.sources import tables, topics
+from logtide.sources.tail import tail_files
 from logtide.streaming import jobs
 
 CUTS = ["2024-01-11", "2024-01-21"]
@@ -181,3 +188,61 @@ def stream_model_swap(spark, sf_dir):
         tables.save_model(model, root, "v0002")
     found = spark.read.parquet(f"{out}/alerts")
     return found.groupBy("model_version").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+def grow_files(lines: DataFrame, folder: str, part: int) -> None:
+    """Append the lines of a part to their files; rows are (file, part, place, value), parts before it are there already.
+
+    A task cuts its file to what the earlier parts have left before it writes, so it may run twice.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[str, int] = {}
+        with contextlib.ExitStack() as closing:
+            files: dict = {}
+            for batch in batches:
+                for name, of, value in zip(*(batch.column(c).to_pylist() for c in ("file", "part", "value")), strict=True):
+                    line = value.encode() + b"\n"
+                    if of == part:
+                        if name not in files:
+                            files[name] = closing.enter_context(open(f"{folder}/{name}", "ab"))
+                            files[name].truncate(sizes.get(name, 0))
+                        files[name].write(line)
+                    sizes[name] = sizes.get(name, 0) + len(line)
+        yield pa.RecordBatch.from_arrays([pa.array([len(sizes)])], ["files"])
+
+    dealt = lines.where(F.col("part") <= part).repartition("file").sortWithinPartitions("file", "part", "place")
+    dealt.select("file", "part", "value").mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
+@query(
+    "stream_tail_files",
+    f"""WITH l AS (SELECT event_id, 'svc-' || (user_id % 10) AS container_name,
+    CASE WHEN ts < TIMESTAMP '{CUTS[0]}' THEN 0 WHEN ts < TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END AS part,
+    user_id % 10 % 3 = 0 AND ts >= TIMESTAMP '{CUTS[1]}' AS renewed,
+    '{{"event_id":' || event_id || ',"message":"' || event_type || '"}}' AS value FROM events)
+  SELECT container_name, value, coalesce(sum(length(value) + 1) OVER (PARTITION BY container_name, renewed ORDER BY part, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM l""",
+)
+def stream_tail_files(spark, sf_dir):
+    """Lines of container files that grow between three runs of a query; before the last run some files are rotated."""
+    rows = inputs.events(spark, sf_dir)
+    first, second = (F.lit(c).cast("timestamp_ntz") for c in CUTS)
+    part = F.when(F.col("ts") < first, 0).when(F.col("ts") < second, 1).otherwise(2)
+    service = F.col("user_id") % 10
+    name = F.concat(F.lit("svc-"), service, F.when((service % 3 == 0) & (part == 2), ".new").otherwise(""), F.lit(".log"))
+    value = F.to_json(F.struct("event_id", F.col("event_type").alias("message")))
+    lines = rows.select(name.alias("file"), part.alias("part"), F.col("event_id").alias("place"), value.alias("value"))
+    folder, out, checkpoint = (urlparse(scratch_path(spark, n)).path for n in ("containers", "tailed", "checkpoint"))
+    os.makedirs(folder)
+    for number in range(3):
+        grow_files(lines, folder, number)
+        for renewed in [f for f in os.listdir(folder) if f.endswith(".new.log")]:
+            old = renewed.replace(".new.log", ".log")
+            os.rename(f"{folder}/{old}", f"{folder}/{old}.1")
+            os.rename(f"{folder}/{renewed}", f"{folder}/{old}")
+        tailed = tail_files(spark, f"{folder}/*.log", f"{folder}/*.log.*", partitionBytes=10_000)
+        query = tailed.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query.start(out).awaitTermination()
+    container = F.regexp_extract("file", r"([^/]+)\.log[^/]*$", 1)
+    return spark.read.parquet(out).select(container.alias("container_name"), "value", "position")

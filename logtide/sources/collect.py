@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logtide.sources.tail import tail_files
+
 # Severity names by their syslog number (fixed values).
 SYSLOG_SEVERITY = ["emerg", "alert", "crit", "err", "warn", "notice", "info", "debug"]
 
@@ -14,14 +16,19 @@ NESTED_COLUMNS = ("level", "service", "response_time_ms", "error_code")
 SYSLOG_LINE = r"^<(\d{1,3})>([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([^:\[\s]+)(?:\[(\d+)\])?: ?(.*)$"
 
 
-def read_container_logs(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
+def read_container_logs(spark: SparkSession, path: str, stream: bool = True, rotated: str | None = None) -> DataFrame:
     """Lines of container log files with the container name from the file name.
 
-    The checkpoint of the query keeps the position; new files are read from their start.
+    The stream follows growing files (``sources.tail``): the checkpoint of the query keeps the positions, files are read from
+    their start, and files renamed to a name that ``rotated`` finds are read to their end.
     """
-    lines = spark.readStream.format("text").load(path) if stream else spark.read.text(path)
-    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return lines.select("value", F.regexp_replace(file, r"\.log$", "").alias("container_name"))
+    if stream:
+        lines = tail_files(spark, path, rotated)
+        file = F.col("file")
+    else:
+        lines, file = spark.read.text(path), F.input_file_name()
+    name = F.element_at(F.split(file, "/"), -1)
+    return lines.select("value", F.regexp_replace(name, r"\.log(\..*)?$", "").alias("container_name"))
 
 
 def service_from_container(name: Column) -> Column:
