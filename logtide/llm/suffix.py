@@ -12,8 +12,9 @@ further ahead in the same one. Sorting every suffix of the corpus is not needed
   there, are put in order by deep-shallow sorting: multikey quicksort over the first bytes, blind tries for groups that
   are still equal then. Neighbours' common prefixes give, for each distance of the anchor from the start of the string,
   the classes of equal strings; all but the first of a class go.
-* An anchor that is much more common than the mean is sent string by string under the string's own hash, so that its
-  rows are spread and those that are equal are settled early.
+* An anchor with more rows than a task should hold is sent string by string under the string's own hash, so that its rows
+  are spread and those that are equal are settled early. This is the exact way beyond the bound ``COMMON``: each of its
+  regions becomes at most n/2 + 1 rows, whatever the size of the group.
 
 A null text has no bytes. A null id stands behind all others. Rows that repeat an id and text are one document and get the same result; rows with one id and
 different texts are ordered by a hash of the text. An empty table gives no rows.
@@ -35,7 +36,8 @@ from logtide.llm.substring import RUNS, apply_runs, covered, joined_runs, keyed,
 
 LENGTH = 100
 ROOM = 16  # counters per anchor in each row of the sketch
-COMMON = 2_000  # an anchor that is estimated to occur so often, above 8 times the mean load of a counter, is common
+COMMON = 100_000  # rows of one anchor that a task holds, above 8 times the mean load of a counter; more are dealt by string
+HELD = 50_000  # rows of whole anchors that are settled at once
 SHALLOW = 2  # words of 8 bytes that quicksort compares before the tries take over
 BLOCK = 500_000  # bytes of text that are hashed at once
 SMALL = 24  # segments up to this size are sorted directly
@@ -301,7 +303,7 @@ def repeated_strings(docs: DataFrame, n: int = LENGTH) -> DataFrame:
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size >= 100_000:
+            if size >= HELD:
                 block = pa.Table.from_batches(held).combine_chunks()
                 anchors = block.column(0).to_numpy()
                 whole = int(np.searchsorted(anchors, anchors[-1]))  # the last group may go on

@@ -96,3 +96,15 @@ def test_repeated_rows_in_several_partitions_are_one_document(spark, monkeypatch
 
 def suffix_id(i):
     return substring.LAST_ID if i is None else i
+
+
+def test_runs_grow_with_the_documents_of_a_shared_passage(spark):
+    """Five times the documents with one passage give five times the runs, not more."""
+    passage = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400))
+    sizes = []
+    for n in (300, 1_500):
+        rng = random.Random(n)
+        rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(80)) + passage + str(i)) for i in range(n)]
+        found = suffix.repeated_strings(as_docs(spark, rows), 100)
+        sizes.append(sum(len(r["parts"]) for r in found.collect()))
+    assert sizes[0] >= 299 and sizes[1] <= 5.5 * sizes[0]
