@@ -6,7 +6,7 @@ import importlib
 
 from logtide.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ["ingest_queries", "search_queries", "alert_queries", "model_queries", "rule_queries", "stream_queries"]
+MODULES = ["ingest_queries", "search_queries", "alert_queries", "model_queries", "rule_queries", "stream_queries", "table_queries"]
 
 
 def _load() -> None:

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logtide.operators import alerts as alerting
-from logtide.operators import dedup, features, iforest, validate
+from logtide.operators import dedup, features, iforest, rollups, validate
 from logtide.operators.normalise import normalise_logs
 from logtide.schemas import PROCESSED_LOG, conform
-from logtide.sources import tables, topics
+from logtide.sources import snapshots, tables, topics
+from logtide.sources.snapshots import SnapshotTable
 
 log = logging.getLogger(__name__)
 
@@ -85,6 +86,28 @@ def send_batch(rows: DataFrame, write: Callable[[DataFrame], None]) -> tuple[int
     return seen.get["n"], 0
 
 
+def into_table(table: SnapshotTable, name: str) -> Callable[[DataFrame, int], None]:
+    """A store of micro-batches in a snapshot table; each batch is stored once, however often it is run."""
+    return lambda rows, batch_id: table.upsert(rows, (writer_name(rows.sparkSession, name), batch_id)) and None
+
+
+def writer_name(spark: SparkSession, name: str) -> str:
+    """The name with the id of the running query, as a query with a new checkpoint counts its batches from 0 again."""
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{name}:{query}" if query else name
+
+
+def forget(spark: SparkSession, paths: list[str], batch_id: int, keep: int) -> None:
+    """Delete the folders of batches before the last ``keep``, which no run of a batch can need any more."""
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            name = status.getPath().getName()
+            if name.startswith("batch_id=") and int(name.split("=")[1]) <= batch_id - keep:
+                fs.delete(status.getPath(), True)
+
+
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, name: str, once: bool):
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).queryName(name)
     return writer.trigger(availableNow=True).start() if once else writer.start()
@@ -100,6 +123,7 @@ class ProcessLogs:
     late_seconds: int = LATE_SECONDS
     store: Callable[[DataFrame, int], None] | None = None
     publish: Callable[[DataFrame, int], None] | None = None
+    keep_batches: int | None = None
     store_errors: list[int] = field(default_factory=list)
     unstored: str = field(init=False)
 
@@ -145,6 +169,8 @@ class ProcessLogs:
             self.store_errors.append(batch_id)
             put(dated, self.unstored, batch_id)
         self.publish(processed, batch_id)
+        if self.keep_batches:
+            forget(self.spark, [path, f"{self.out}/times"], batch_id, max(self.keep_batches, 2))
 
     def store_again(self) -> list[int]:
         """Store the batches whose store failed, from the rows kept for that; returns those done.
@@ -231,6 +257,8 @@ class HandleAlerts:
     time: str = "detected_at"
     late_seconds: int = LATE_SECONDS
     require_uuid: bool = True
+    history: SnapshotTable | None = None
+    keep_batches: int | None = None
 
     def __post_init__(self) -> None:
         self.open = StateTable(self.spark, f"{self.out}/state/open", "dedup_key string, free bigint")
@@ -250,12 +278,36 @@ class HandleAlerts:
         put(alerting.notification_outbox(flagged, list(self.channels)), f"{self.out}/outbox", batch_id)
         marked = alerting.mark_notified(flagged, list(self.channels)).withColumn("seq", F.lit(batch_id))
         changes = alerting.history_rows(marked, now, require_uuid=self.require_uuid)
-        put(changes, f"{self.out}/changes", batch_id)
+        if self.history is None:
+            put(changes, f"{self.out}/changes", batch_id)
+        else:
+            self.history.upsert(snapshots.alert_changes(changes), (writer_name(batch.sparkSession, "handle_alerts"), batch_id))
+        if self.keep_batches:
+            forget(self.spark, [f"{self.out}/{n}" for n in ("alerts", "times")], batch_id, max(self.keep_batches, 2))
 
     def start(self, alerts: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
         return _run(alerts, self.each, checkpoint, "handle_alerts", once)
 
 
+@dataclass
+class RollUps:
+    """Minute roll-ups kept up to date: those of each micro-batch are added to the table, which is compacted now and then."""
+
+    table: SnapshotTable
+    rollup: Callable[[DataFrame], DataFrame] = rollups.minute_rollup
+    name: str = "rollups"
+    compact_every: int = 50
+
+    def each(self, batch: DataFrame, batch_id: int) -> None:
+        self.table.upsert(self.rollup(batch), (writer_name(batch.sparkSession, self.name), batch_id))
+        if batch_id % self.compact_every == self.compact_every - 1:
+            self.table.compact()
+            self.table.vacuum()
+
+    def start(self, rows: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
+        return _run(rows, self.each, checkpoint, self.name, once)
+
+
 def logs_per_minute(logs: DataFrame, out: str, checkpoint: str, late: str = "10 minutes", once: bool = True):
     """Tumbling counts per service. A minute is written whenever its count has changed, also while it is open;
     ``minutes_so_far`` reads the newest count of each. Rows behind the watermark are dropped and counted by the
