@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.functions import features as E
+from logtide.operators.quantiles import numbered
 from logtide.schemas import FEATURES
 from logtide.session import materialise
 
@@ -74,14 +75,14 @@ def rolling_count(
 def service_labels(df: DataFrame, known: DataFrame | None = None, time: str = "event_time") -> DataFrame:
     """(service, service_id): ids from 1 in order of first appearance; ``known`` labels keep theirs.
 
-    The window has no partition; it sees one row per service, after the aggregation.
+    Service names are client text, so there may be many: they are numbered by ranges (``quantiles.numbered``).
     """
     seen = df.groupBy("service").agg(F.min(time).alias("first_seen"))
-    order = F.row_number().over(Window.orderBy("first_seen", "service"))
     if known is None:
-        return seen.select("service", order.alias("service_id"))
+        return numbered(seen, ["first_seen", "service"]).select("service", F.col("number").cast("int").alias("service_id"))
     top = known.agg(F.coalesce(F.max("service_id"), F.lit(0)).alias("top")).scalar()
-    fresh = seen.join(known, "service", "left_anti").select("service", (order + top).alias("service_id"))
+    fresh = numbered(seen.join(known, "service", "left_anti"), ["first_seen", "service"])
+    fresh = fresh.select("service", (F.col("number") + top).cast("int").alias("service_id"))
     return known.select("service", "service_id").unionByName(fresh)
 
 

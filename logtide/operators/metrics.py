@@ -1,7 +1,7 @@
 """Functions over metric samples (ts, metric, labels, value): rates, quantiles, ratios, latest values.
 
-A series is one metric with one set of labels. Samples are scraped at a fixed interval, so a series holds a
-bounded number of rows per day and a time window a fixed number of them, whatever the traffic behind it.
+A series is one metric with one set of labels. Rates are computed in slices of time, so a series of any length spreads over
+tasks: a slice also gets the samples of the slice before that its windows reach back to.
 """
 
 from __future__ import annotations
@@ -39,14 +39,23 @@ def series_key() -> Column:
     return F.array_sort(F.map_entries("labels"))
 
 
-def counter_rate(samples: DataFrame, window_seconds: int) -> DataFrame:
+SLICE_SECONDS = 86_400
+
+
+def counter_rate(samples: DataFrame, window_seconds: int, slice_seconds: int | None = None) -> DataFrame:
     """Add ``increase`` over (t - window, t] and ``rate`` per second, for every sample of a counter.
 
     A value below the one before means the counter restarted from 0. Only steps between two samples inside the
-    window count; nothing is extrapolated.
+    window count; nothing is extrapolated. A step needs the sample before only if that lies inside the window too, so a
+    slice (a day, or the window if that is longer) is whole with the samples of one window before it.
     """
+    width = max(slice_seconds or SLICE_SECONDS, window_seconds) * MICROS
     rows = samples.withColumn("_series", series_key()).withColumn("_us", F.unix_micros("ts"))
-    in_time = Window.partitionBy("metric", "_series").orderBy("_us")
+    own = F.floor(F.col("_us") / width)
+    to_end = (own + 1) * width - F.col("_us")
+    slices = F.when(to_end < window_seconds * MICROS, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.select("*", own.alias("_own"), F.explode(slices).alias("_slice"))
+    in_time = Window.partitionBy("metric", "_series", "_slice").orderBy("_us")
     before = F.lag("value").over(in_time)
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(
         F.col("value") - before
@@ -57,7 +66,8 @@ def counter_rate(samples: DataFrame, window_seconds: int) -> DataFrame:
         .withColumn("_total", F.sum("_step").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("increase", F.col("_total") - F.min("_total").over(recent))
         .withColumn("rate", F.col("increase") / window_seconds)
-        .drop("_series", "_us", "_step", "_total")
+        .where(F.col("_own") == F.col("_slice"))
+        .drop("_series", "_us", "_step", "_total", "_own", "_slice")
     )
 
 

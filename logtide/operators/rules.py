@@ -88,17 +88,38 @@ def apply_rule(vector: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
-def rule_firing(evaluated: DataFrame) -> DataFrame:
+def rule_firing(evaluated: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     """Add ``state``: inactive, pending or firing. Firing starts once a run of active samples is old enough.
 
-    ``since`` is the first sample of the run. It is the time of the last change into the active state, found
-    by one running maximum per series.
+    ``since`` is the first sample of the run. A series is cut into slices of time, so one of any length spreads over tasks.
+    Each slice sends a summary: whether its last sample is active, whether all are, where its last run starts. From those
+    of the slices before, in a window over slices, each slice learns since when the run has been open that it goes on with.
     """
-    series = Window.partitionBy("alertname", "job").orderBy("ts")
+    key = ["alertname", "job"]
+    rows = evaluated.withColumn("_slice", F.floor(F.unix_micros("ts") / (slice_seconds * 1_000_000)))
+    series = Window.partitionBy(*key, "_slice").orderBy("ts")
     starts = F.col("active") & ~F.coalesce(F.lag("active").over(series), F.lit(False))
-    rows = evaluated.withColumn("_start", F.when(starts, F.col("ts")))
-    run = F.max("_start").over(series.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("since", F.when(F.col("active"), run)).drop("_start")
+    rows = rows.withColumn("_start", F.when(starts, F.col("ts")))
+    so_far = series.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.max("_start").over(so_far))
+    # whether the run at hand has been open since the first sample of the slice
+    rows = rows.withColumn("_whole", F.min(F.coalesce("active", F.lit(False)).cast("int")).over(so_far) == 1)
+    ends = rows.groupBy(*key, "_slice").agg(
+        F.max_by(F.coalesce("active", F.lit(False)), "ts").alias("open"),
+        F.min(F.coalesce("active", F.lit(False)).cast("int")).alias("all"),
+        F.max("_start").alias("start"),
+    )
+    slices = Window.partitionBy(*key).orderBy("_slice")
+    goes_on = (F.col("all") == 1) & F.coalesce(F.lag("open").over(slices), F.lit(False))
+    ends = ends.withColumn("_opened", F.when(F.col("open") & ~goes_on, F.col("start")))
+    before = slices.rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.when(F.lag("open").over(slices), F.max("_opened").over(before))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in [*key, "_slice"]]
+    ends = ends.select(*key, "_slice", carried.alias("_carried")).where("_carried IS NOT NULL")
+    rows = rows.alias("r").join(ends.alias("e"), same, "left").select("r.*", "e._carried")
+    since = F.when(F.col("_whole"), F.coalesce("_carried", "_run")).otherwise(F.col("_run"))
+    rows = rows.withColumn("since", F.when(F.col("active"), since))
+    rows = rows.drop("_start", "_slice", "_run", "_whole", "_carried")
     age = F.unix_micros("ts") - F.unix_micros("since")
     state = (
         F.when(~F.col("active"), "inactive")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions.text import tokens
+from logtide.session import materialise
 
 MAX_PAGE_SIZE = 100
 
@@ -150,9 +151,15 @@ def list_anomalies(
     return found
 
 
-def flag_anomalous_logs(logs: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Add ``anomaly``: own flag, or an alert on the log, or level CRITICAL."""
-    hits = alerts.filter(F.col("log_id").isNotNull()).select("log_id").distinct().withColumn("_hit", F.lit(True))
+def flag_anomalous_logs(logs: DataFrame, alerts: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
+    """Add ``anomaly``: own flag, or an alert on the log, or level CRITICAL.
+
+    The ids with an alert are stored and counted. Up to ``most_broadcast`` of them are broadcast, so the logs, by far the
+    larger side, are not shuffled; beyond, the join is shuffled. Logs without id go by unjoined.
+    """
+    hits = materialise(alerts.filter(F.col("log_id").isNotNull()).select("log_id").distinct(), "alerted").withColumn("_hit", F.lit(True))
+    if hits.limit(most_broadcast + 1).count() <= most_broadcast:
+        hits = F.broadcast(hits)
     own = F.coalesce("is_anomaly", F.lit(False)) if "is_anomaly" in logs.columns else F.lit(False)
     flagged = own | F.col("_hit").isNotNull() | (F.upper("level") == "CRITICAL")
     return logs.join(hits, "log_id", "left").withColumn("anomaly", F.coalesce(flagged, F.lit(False))).drop("_hit")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.operators import iforest
+from logtide.operators import dedup, iforest
 from logtide.plans import inputs, model_queries
 from logtide.plans.alert_queries import SEVERITY_SQL
 from logtide.plans.common import stamped
@@ -24,7 +24,7 @@ from logtide.plans.sqltext import KEYED, PROC, flagged, iso
 from logtide.session import scratch_path
 from logtide.sources import tables, topics
 from logtide.sources.tail import tail_files
-from logtide.streaming import jobs
+from logtide.streaming import jobs, keyed
 
 CUTS = ["2024-01-11", "2024-01-21"]
 
@@ -246,3 +246,49 @@ def stream_tail_files(spark, sf_dir):
         query.start(out).awaitTermination()
     container = F.regexp_extract("file", r"([^/]+)\.log[^/]*$", 1)
     return spark.read.parquet(out).select(container.alias("container_name"), "value", "position")
+
+
+def _kept(stream_of, rows: DataFrame, time: str) -> DataFrame:
+    """What a stateful stream has written after three runs from one checkpoint."""
+    spark = rows.sparkSession
+    out, checkpoint = scratch_path(spark, "keyed"), scratch_path(spark, "checkpoint")
+
+    def start(stream: DataFrame):
+        writer = stream_of(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start(out)
+
+    stream_parts(rows, time, start)
+    return spark.read.parquet(out)
+
+
+@query(
+    "stream_keyed_dedup",
+    f"WITH RECURSIVE {KEYED}, {flagged(86_400 * 3)} SELECT alert_id, dedup_key, deduplicated FROM flagged",
+)
+def stream_keyed_dedup(spark, sf_dir):
+    """Duplicate flags with the suppressions kept in the state store."""
+    rows = dedup.with_dedup_key(inputs.alerts(spark, sf_dir)).select("alert_id", "dedup_key", "detected_at")
+    found = _kept(lambda s: keyed.dedup_stream(s, 86_400 * 3), rows, "detected_at")
+    return found.select("alert_id", "dedup_key", "deduplicated")
+
+
+@query("stream_keyed_rolling", f"WITH {PROC} {model_queries.rolling_sql(21_600)}")
+def stream_keyed_rolling(spark, sf_dir):
+    """Rolling counts with the times of each service kept in the state store."""
+    rows = inputs.processed(spark, sf_dir).select("log_id", "service", "event_time")
+    found = _kept(lambda s: keyed.rolling_count_stream(s, 21_600), rows, "event_time")
+    return found.select("log_id", "request_count_last_60s")
+
+
+@query("stream_once_delivered", """SELECT user_id % 4 AS "partition", event_id AS "offset", event_type AS value FROM events""")
+def stream_once_delivered(spark, sf_dir):
+    """Topic records of which every fifth is delivered again, in the same run of the query or the next."""
+    rows = inputs.events(spark, sf_dir).select(
+        F.lit("raw").alias("topic"), (F.col("user_id") % 4).alias("partition"), F.col("event_id").alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("value"),
+    )
+    again = rows.where("offset % 5 = 0")
+    arrives = F.when(F.col("offset") % 10 == 0, F.col("timestamp")).otherwise(F.col("timestamp") + F.expr("INTERVAL 10 DAYS"))
+    both = rows.withColumn("arrives", F.col("timestamp")).unionByName(again.withColumn("arrives", arrives))
+    found = _kept(lambda s: keyed.once_delivered(s.drop("arrives"), within="40 days"), both, "arrives")
+    return found.select("partition", "offset", "value")
