@@ -21,6 +21,7 @@ from logtide.schemas import PROCESSED_LOG, conform
 from logtide.session import scratch_path
 from logtide.sources import snapshots
 from logtide.sources.snapshots import SnapshotTable
+from logtide.sources.text_index import TextIndex
 from logtide.streaming import jobs
 
 _kept: dict = {}
@@ -213,3 +214,21 @@ def alert_history_upsert(spark, sf_dir):
         table.upsert(snapshots.alert_changes(changes), ("changes", number))
     now = stamped(table.read(), "created_at")
     return now.select("alert_id", "message", "slack_sent", "deduplicated", "anomaly_score", "created_at")
+
+
+@query(
+    "search_logs_indexed",
+    f"""WITH {PROC} SELECT log_id, message FROM proc WHERE list_has_any(
+    list_filter(regexp_split_to_array(lower(message), '[^a-z0-9]+'), lambda w: w <> ''), ['purchase', '42'])""",
+)
+def search_logs_indexed(spark, sf_dir):
+    """Words found through the index of the daily table; the last days were written after the index."""
+    table = snapshots.log_table(spark, scratch_path(spark, "daily"), PROCESSED_LOG)
+    index = TextIndex(table, scratch_path(spark, "words"))
+    rows = conform(inputs.processed(spark, sf_dir), PROCESSED_LOG).withColumn("log_date", F.to_date("event_time"))
+    first, second, last = in_parts(rows, "event_time")
+    table.upsert(first.unionByName(second))
+    table.compact()
+    index.update()
+    table.upsert(last)
+    return index.search("Purchase! 42").select("log_id", "message")
