@@ -32,8 +32,8 @@ class Rule:
         return F.coalesce(OPERATORS[self.op](value, F.lit(self.limit)), F.lit(False))
 
 
-# Names, limits, hold times and texts of the monitoring rules (fixed values). In texts {job} is the label of the series
-# and {value} its value cut to two digits.
+# Names, limits, hold times and texts of the monitoring rules (fixed values). In texts, labels of the series stand in braces;
+# {value} is its value cut to two digits, {percent} the same of a share as a percentage, {duration} of seconds.
 SERVICE_DOWN = Rule(
     "ServiceDown", "==", 0, 60, "critical", "Service {job} is down", "{job} has been down for more than 1 minute."
 )
@@ -42,34 +42,48 @@ ANOMALY_RATE = Rule(
     "Anomaly rate is {value} per second (threshold: 0.5/s)",
 )
 ERROR_RATE = Rule(
-    "HighIngestionErrorRate", ">", 0.05, 120, "warning", "High error rate on {job}", "Error rate is {value} (threshold: 0.05)"
-)
+    "HighIngestionErrorRate", ">", 0.05, 120, "warning", "High error rate on log-ingestion-api",
+    "Error rate is {percent} (threshold: 5%)",
+)
 CONSUMER_LAG = Rule(
-    "KafkaConsumerLag", ">", 10_000, 300, "warning", "High consumer lag of {job}", "Consumer group {job} has lag {value}"
-)
+    "KafkaConsumerLag", ">", 10_000, 300, "warning", "High Kafka consumer lag",
+    "Consumer group {group} has lag {value} on topic {topic}",
+)
 SLOW_RESPONSE = Rule(
-    "SlowAPIResponse", ">", 2, 300, "warning", "Slow API response times", "95th percentile response time is {value} s"
+    "SlowAPIResponse", ">", 2, 300, "warning", "Slow API response times", "95th percentile response time is {duration}"
+)
+CPU_BUSY = Rule(
+    "HighCPUUsage", ">", 85, 300, "warning", "High CPU usage on {instance}", "CPU usage is {value}%"
+)
+LOW_DISK = Rule(
+    "LowDiskSpace", "<", 15, 300, "critical", "Low disk space on {instance}", "Available disk space is {value}%"
 )
-CPU_BUSY = Rule("HighCPUUsage", ">", 85, 300, "warning", "High CPU usage on {job}", "CPU usage is {value}%")
-LOW_DISK = Rule("LowDiskSpace", "<", 15, 300, "critical", "Low disk space on {job}", "Available disk space is {value}%")
 CLUSTER_RED = Rule(
     "ElasticsearchClusterUnhealthy", "==", 1, 120, "critical", "Elasticsearch cluster is RED",
-    "Elasticsearch cluster health is RED, data may be unavailable",
+    "Elasticsearch cluster health is RED \u2014 data may be unavailable",
 )
 RULES = (SERVICE_DOWN, ANOMALY_RATE, ERROR_RATE, CONSUMER_LAG, SLOW_RESPONSE, CPU_BUSY, LOW_DISK, CLUSTER_RED)
 
 
-def rendered(text: str) -> Column:
-    """A rule's text with {value} and the labels in braces filled in from the columns of the vector."""
+NUMBERS = {"value": (1, ""), "percent": (100, "%"), "duration": (1, "s")}  # factor and unit of the forms of the value
+
+
+def rendered(text: str, labels: list[str]) -> Column:
+    """A rule's text with the forms of the value and the labels in braces filled in from the columns of the vector.
+
+    A label that the vector has no column for is empty, an instance without one is named by its job.
+    """
     parts = []
     for i, part in enumerate(re.split(r"\{(\w+)\}", text)):
         if i % 2 == 0:
             parts.append(F.lit(part))
-        elif part == "value":
-            number = F.format_string("%.2f", F.floor(F.col("value").cast("double") * 100) / 100)
-            parts.append(F.when(F.col("value").isNotNull(), number).otherwise("NaN"))
+        elif part in NUMBERS:
+            factor, unit = NUMBERS[part]
+            number = F.format_string("%.2f", F.floor(F.col("value").cast("double") * factor * 100) / 100)
+            parts.append(F.when(F.col("value").isNotNull(), F.concat(number, F.lit(unit))).otherwise("NaN"))
         else:
-            parts.append(F.coalesce(F.col(part).cast("string"), F.lit("")))
+            name = "job" if part == "instance" and part not in labels else part
+            parts.append(F.coalesce(F.col(name).cast("string"), F.lit("")) if name in labels else F.lit(""))
     return F.concat(*parts)
 
 
@@ -83,8 +97,8 @@ def apply_rule(vector: DataFrame, rule: Rule) -> DataFrame:
         "ts",
         "value",
         rule.broken(F.col("value")).alias("active"),
-        rendered(rule.summary).alias("summary"),
-        rendered(rule.description).alias("description"),
+        rendered(rule.summary, vector.columns).alias("summary"),
+        rendered(rule.description, vector.columns).alias("description"),
     )
 
 

@@ -238,6 +238,29 @@ def assign_log_ids(spark, sf_dir):
     return rows.select("event_id", "log_id")
 
 
+STAMPED = """left({h}, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' ||
+  substr({h}, 21, 12)""".format(h="sha256(event_id::VARCHAR)")
+
+
+@query(
+    "stamp_ingest",
+    f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN {STAMPED} ELSE 'log-' || event_id END AS log_id,
+  '{END.replace(" ", "T")}.000000' AS ingested_at,
+  CASE WHEN event_id % 9 = 5 THEN '{END.replace(" ", "T")}.000000' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS event_time
+  FROM events""",
+)
+def stamp_ingest(spark, sf_dir):
+    """Entries as the server stores them: ids and times filled in where the client sent none."""
+    rows = inputs.logs(spark, sf_dir).withColumns(
+        {
+            "log_id": F.when(F.col("event_id") % 11 != 0, F.col("log_id")).otherwise("  "),
+            "event_time": F.when(F.col("event_id") % 9 != 5, F.col("timestamp")),
+        }
+    )
+    stamped_rows = ingest.stamp_ingest(rows, the_end(), ["event_id"])
+    return stamped(stamped_rows.select("event_id", "log_id", "ingested_at", "event_time"), "ingested_at", "event_time")
+
+
 # ---------------------------------------------------------------- scalar features
 
 

@@ -158,10 +158,10 @@ EVALUATED = f"""{RATIO}, upv AS (SELECT ts, service AS job, min(CASE WHEN event_
   evaluated AS (
     SELECT 'ServiceDown' AS alertname, 'critical' AS severity, 60 AS hold, job, ts, value, value = 0 AS active,
       'Service ' || job || ' is down' AS summary FROM upv
-    UNION ALL SELECT 'KafkaConsumerLag', 'warning', 300, job, ts, value, value > 10000, 'High consumer lag of ' || job FROM lagv
+    UNION ALL SELECT 'KafkaConsumerLag', 'warning', 300, job, ts, value, value > 10000, 'High Kafka consumer lag' FROM lagv
     UNION ALL SELECT 'LowDiskSpace', 'critical', 300, job, ts, value, value < 15, 'Low disk space on ' || job FROM diskv
     UNION ALL SELECT 'HighIngestionErrorRate', 'warning', 120, job, ts, value, coalesce(value > 0.05, false),
-      'High error rate on ' || job FROM ratio)"""
+      'High error rate on log-ingestion-api' FROM ratio)"""
 
 
 @query(
@@ -235,7 +235,20 @@ def _told_sql(name: str, active: str, summary: str, description: str, source: st
 )
 def rule_cpu_busy(spark, sf_dir):
     busy = metrics.cpu_busy(inputs.samples(spark, sf_dir, "node_cpu_seconds_total"))
-    return _told(rules.apply_rule(busy.withColumnRenamed("instance", "job"), rules.CPU_BUSY))
+    return _told(rules.apply_rule(busy.withColumn("job", F.col("instance")), rules.CPU_BUSY))
+
+
+@query(
+    "rule_consumer_lag",
+    f"""WITH {LAG}, v AS (SELECT ts, job, value FROM lag_samples)
+  {_told_sql("KafkaConsumerLag", "value > 10000", "'High Kafka consumer lag'",
+             "'Consumer group readers of ' || job || ' has lag ' || printf('%.2f', value) || ' on topic raw-logs'", "v")}""",
+)
+def rule_consumer_lag(spark, sf_dir):
+    """The text names the group and the topic of the series."""
+    lag = inputs.samples(spark, sf_dir, "consumer_lag").select("ts", metrics.label("job").alias("job"), "value")
+    named = lag.withColumns({"group": F.concat(F.lit("readers of "), "job"), "topic": F.lit("raw-logs")})
+    return _told(rules.apply_rule(named, rules.CONSUMER_LAG))
 
 
 @query(
@@ -255,7 +268,7 @@ def rule_anomaly_rate(spark, sf_dir):
     "rule_cluster_red",
     f"""WITH {UP}, v AS (SELECT ts, 'search' AS job, 1 - min(value) AS value FROM up GROUP BY 1)
   {_told_sql("ElasticsearchClusterUnhealthy", "value = 1", "'Elasticsearch cluster is RED'",
-             "'Elasticsearch cluster health is RED, data may be unavailable'", "v")}""",
+             "'Elasticsearch cluster health is RED \u2014 data may be unavailable'", "v")}""",
 )
 def rule_cluster_red(spark, sf_dir):
     """The rule over a health gauge, which is red here when any service is down."""
@@ -272,7 +285,7 @@ def rule_cluster_red(spark, sf_dir):
     max(rate) OVER (PARTITION BY ts) AS total FROM rates WINDOW w AS (PARTITION BY ts ORDER BY le)),
   t AS (SELECT DISTINCT ts FROM cum), v AS (SELECT ts, 'api' AS job, {_quantile_sql(0.95)} / 1000 AS value FROM t)
   SELECT * EXCLUDE (description) FROM ({_told_sql("SlowAPIResponse", "value > 2", "'Slow API response times'",
-             "'95th percentile response time is ' || coalesce(printf('%.2f', floor(value * 100) / 100), 'NaN') || ' s'", "v")})""",
+             "'95th percentile response time is ' || coalesce(printf('%.2f', floor(value * 100) / 100), 'NaN') || 's'", "v")})""",
 )
 def rule_slow_response(spark, sf_dir):
     """The rule over a histogram quantile, brought from milliseconds to seconds."""

@@ -14,20 +14,22 @@ ALERT_TOPIC = "anomaly-alerts"
 POLL_SIZE = 500
 
 
+def source_options(servers: str, topic: str, earliest: bool = True, per_trigger: int | None = None) -> dict[str, str]:
+    """Options of a topic source: one topic, aborted transactions not read, at most ``per_trigger`` records a batch."""
+    options = {
+        "kafka.bootstrap.servers": servers,
+        "subscribe": topic,
+        "startingOffsets": "earliest" if earliest else "latest",
+        "kafka.isolation.level": "read_committed",
+    }
+    return options | ({"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {})
+
+
 def read_topic(
     spark: SparkSession, servers: str, topic: str, earliest: bool = True, per_trigger: int | None = None
 ) -> DataFrame:
-    """Streaming rows of a Kafka topic. Aborted transactions are not read. Needs the Kafka connector."""
-    reader = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("startingOffsets", "earliest" if earliest else "latest")
-        .option("kafka.isolation.level", "read_committed")
-    )
-    if per_trigger:
-        reader = reader.option("maxOffsetsPerTrigger", per_trigger)
-    return reader.load()
+    """Streaming rows of a Kafka topic. Needs the Kafka connector."""
+    return spark.readStream.format("kafka").options(**source_options(servers, topic, earliest, per_trigger)).load()
 
 
 def topic_options(servers: str, topic: str) -> dict[str, str]:

@@ -24,6 +24,7 @@ from logtide.operators.normalise import normalise_logs
 from logtide.schemas import PROCESSED_LOG, conform
 from logtide.sources import snapshots, tables, topics
 from logtide.sources.snapshots import SnapshotTable
+from logtide.streaming import keyed
 
 log = logging.getLogger(__name__)
 
@@ -208,6 +209,10 @@ class ProcessLogs:
     def start(self, raw: DataFrame, checkpoint: str, once: bool = True) -> StreamingQuery:
         return _run(raw, self.each, checkpoint, "process_logs", once)
 
+    def start_from_topic(self, servers: str, checkpoint: str, topic: str = topics.RAW_TOPIC, once: bool = False) -> StreamingQuery:
+        """Process a raw topic; a record that is delivered again within an hour is dropped by its place in the topic."""
+        return self.start(keyed.once_delivered(topics.read_topic(self.spark, servers, topic)), checkpoint, once)
+
 
 @dataclass
 class DetectAnomalies:

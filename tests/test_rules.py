@@ -118,3 +118,18 @@ def test_ratio_needs_both(spark):
     ]
     found = metrics.ratio_percent(series(spark, *rows), "avail", "size", ["instance"], {"fstype": "tmpfs"})
     assert [(r["instance"], r["value"]) for r in found.select("instance", F.col("value")).collect()] == [("a", 12.5)]
+
+
+def test_texts_name_the_labels_of_the_series(spark):
+    made = [(dt.datetime(2024, 1, 1), "j", "g", "t", "i", 12345.678), (dt.datetime(2024, 1, 1), "j", None, "t", "i", None)]
+    vector = spark.createDataFrame(made, "ts timestamp, job string, group string, topic string, instance string, value double")
+    told = lambda rule, v=vector: [(r["summary"], r["description"]) for r in rules.apply_rule(v, rule).collect()]
+    assert told(rules.CONSUMER_LAG) == [
+        ("High Kafka consumer lag", "Consumer group g has lag 12345.67 on topic t"),
+        ("High Kafka consumer lag", "Consumer group  has lag NaN on topic t"),
+    ]
+    assert told(rules.LOW_DISK)[0] == ("Low disk space on i", "Available disk space is 12345.67%")
+    assert told(rules.CPU_BUSY, vector.drop("instance"))[0][0] == "High CPU usage on j"
+    share = vector.withColumn("value", F.lit(0.0625))
+    assert told(rules.ERROR_RATE, share)[0][1] == "Error rate is 6.25% (threshold: 5%)"
+    assert told(rules.SLOW_RESPONSE, share)[0][1] == "95th percentile response time is 0.06s"

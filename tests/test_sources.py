@@ -151,3 +151,21 @@ def test_stats_golden(spark):
     three = spark.createDataFrame([(as_of,)] * 3, "detected_at timestamp")
     none = stats.system_stats(logs.filter("false"), three, F.lit(as_of)).first()
     assert none["anomaly_rate_percent"] == 300.0
+
+
+def test_topic_source_options():
+    options = topics.source_options("a:1,b:2", "raw-logs", per_trigger=500)
+    assert options == {
+        "kafka.bootstrap.servers": "a:1,b:2",
+        "subscribe": "raw-logs",
+        "startingOffsets": "earliest",
+        "kafka.isolation.level": "read_committed",
+        "maxOffsetsPerTrigger": "500",
+    }
+    assert topics.source_options("a:1", "t", earliest=False)["startingOffsets"] == "latest"
+    assert "maxOffsetsPerTrigger" not in topics.source_options("a:1", "t")
+
+
+def test_topic_source_needs_the_connector(spark):
+    with pytest.raises(Exception, match="(?i)kafka"):
+        topics.read_topic(spark, "localhost:1", "raw-logs")
