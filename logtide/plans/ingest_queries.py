@@ -406,6 +406,35 @@ def collect_container_logs(spark, sf_dir):
     return rows.select("source", "container_name", "service", "level", "message", *more)
 
 
+@query(
+    "collect_typed_logs",
+    """SELECT event_id, 'svc-' || (user_id % 10) AS service, event_type AS message, value * 20 AS response_time_ms,
+    CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS INTEGER) END AS error_code,
+    CASE WHEN event_id % 3 = 0 THEN 'OBJECT<k: BIGINT, on: BOOLEAN>' ELSE 'ARRAY<BIGINT>' END AS kind,
+    CASE WHEN event_id % 3 = 0 THEN event_id ELSE user_id END AS inside
+    FROM events""",
+)
+def collect_typed_logs(spark, sf_dir):
+    """Numbers, objects and arrays of nested records, read back with their types."""
+    rows = inputs.events(spark, sf_dir)
+    nested = F.to_json(F.struct(
+        F.col("event_type").alias("message"), (F.col("value") * 20).alias("response_time_ms"),
+        F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("error_code"),
+        F.when(F.col("event_id") % 3 == 0, F.struct(F.col("event_id").alias("k"), F.lit(True).alias("on"))).alias("object"),
+        F.when(F.col("event_id") % 3 != 0, F.array("user_id", F.lit(7).cast("long"))).alias("array"),
+    ))
+    line = F.to_json(F.struct(nested.alias("log"), F.lit("outer").alias("message"), F.col("event_id").alias("event_id")))
+    name = F.concat(F.lit("svc-"), F.col("user_id") % 10, F.lit("-x"))
+    found = collect.collect_typed_logs(rows.select(line.alias("value"), name.alias("container_name")), the_end())
+    member = lambda n, p, k: collect.value_of("values", n, k, p)
+    whole = F.coalesce(F.try_element_at("values", F.lit("object")), F.try_element_at("values", F.lit("array")))
+    return found.select(
+        member("event_id", "$", "long").alias("event_id"), "service", "message", "response_time_ms", "error_code",
+        F.schema_of_variant(whole).alias("kind"),
+        F.coalesce(member("object", "$.k", "long"), member("array", "$[0]", "long")).alias("inside"),
+    )
+
+
 @query(
     "collect_quarantine",
     """SELECT event_id, 'not json' AS value, 'no JSON object' AS reason FROM events WHERE event_id % 101 = 0

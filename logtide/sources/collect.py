@@ -129,3 +129,42 @@ def collect_all(*inputs: DataFrame) -> DataFrame:
     for df in inputs[1:]:
         merged = merged.unionByName(df, allowMissingColumns=True)
     return merged
+
+
+VALUES = "map<string,variant>"
+
+
+def json_values(text: Column) -> Column:
+    """All members of a JSON object with their types, by name; null if the text is no object."""
+    is_object = F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT")
+    return F.when(is_object, F.from_json(text, VALUES))
+
+
+def value_of(values: str, name: str, kind: str, path: str = "$") -> Column:
+    """A member, or a place within it, as a type; null if it is missing or of another kind."""
+    return F.try_variant_get(F.try_element_at(values, F.lit(name)), path, kind)
+
+
+def collect_typed_logs(lines: DataFrame, collected_at: Column) -> DataFrame:
+    """Container lines (value, container_name) to records whose members keep their types.
+
+    ``values`` holds all members of the line and of the record nested in its ``log``, which wins: numbers, nested objects
+    and arrays as they were sent. Texts are as in ``collect_container_logs``, numbers come as numbers.
+    """
+    outer = split_container_lines(lines)[0].withColumn("_outer", json_values(F.col("value")))
+    log = value_of("_outer", "log", "string")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    both = outer.withColumn("_inner", F.coalesce(json_values(log), none))
+    left = F.map_filter("_outer", lambda k, v: ~F.map_contains_key("_inner", k))
+    rows = both.withColumn("values", F.map_concat(left, "_inner"))
+    return rows.select(
+        F.lit("docker").alias("source"),
+        "container_name",
+        service_from_container(F.col("container_name")).alias("service"),
+        F.coalesce(value_of("values", "level", "string"), value_of("values", "severity", "string"), F.lit("INFO")).alias("level"),
+        F.coalesce(value_of("values", "message", "string"), log).alias("message"),
+        value_of("values", "response_time_ms", "double").alias("response_time_ms"),
+        value_of("values", "error_code", "int").alias("error_code"),
+        "values",
+        collected_at.alias("collected_at"),
+    )

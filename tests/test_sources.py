@@ -169,3 +169,26 @@ def test_topic_source_options():
 def test_topic_source_needs_the_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         topics.read_topic(spark, "localhost:1", "raw-logs")
+
+
+def test_members_keep_their_types(spark):
+    """Numbers, booleans, nulls, objects and arrays; the nested record wins; lines that are no object are left out."""
+    lines = [
+        json.dumps({"log": json.dumps({"n": 5, "f": 1.5, "b": True, "o": {"x": [1, {"y": "z"}]}, "same": "inner", "nil": None, "error_code": "7"}), "same": 1, "own": "s"}),
+        json.dumps({"message": 12, "severity": "warn", "response_time_ms": 3}),
+        json.dumps({"log": "plain"}),
+        "no",
+        None,
+    ]
+    df = spark.createDataFrame([(v, "a-b-1") for v in lines], "value string, container_name string")
+    rows = collect.collect_typed_logs(df, F.lit(DAY))
+    value = lambda n, k, p="$": collect.value_of("values", n, k, p).alias(f"{n}{p}")
+    first, second, third = rows.select(
+        "service", "level", "message", "response_time_ms", "error_code", value("n", "int"), value("f", "double"), value("b", "boolean"),
+        value("o", "string", "$.x[1].y"), value("same", "string"), value("own", "string"), value("n", "timestamp", "$.x"),
+        F.map_contains_key("values", "nil").alias("nil"), F.schema_of_variant(F.try_element_at("values", F.lit("o"))).alias("kind"),
+    ).collect()
+    assert tuple(first) == ("a-b", "INFO", lines and json.loads(lines[0])["log"], None, 7, 5, 1.5, True, "z", "inner", "s", None, True, first["kind"])
+    assert first["kind"].startswith("OBJECT<x: ARRAY<")
+    assert (second["level"], second["message"], second["response_time_ms"]) == ("warn", "12", 3.0)
+    assert (third["level"], third["message"], third["nil"]) == ("INFO", "plain", False)
