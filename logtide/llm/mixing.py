@@ -121,19 +121,33 @@ def sized_rows(docs: DataFrame, *carried: str) -> DataFrame:
 
 def report_mix(docs: DataFrame) -> DataFrame:
     """One row per document: sizes, target of its source, words taken, copies, position of the first copy."""
-    plan = plan_mix(materialise(sized_rows(docs, "doc_id"), "sized"))
-    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return plan.select(
+    numbered = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    plan = materialise(plan_mix(materialise(sized_rows(numbered, "doc_id", "row"), "sized")), "mix-plan")
+    sequence = materialise(in_sequence(plan).select("doc.row", "copy.words", "copy.position"), "mix-sequence")
+    dealt = sequence.groupBy("row").agg(
+        F.sum("words").alias("taken"), F.count(F.lit(1)).alias("copies_dealt"), F.min("position").alias("position")
+    )
+    dealt = materialise(dealt, "mix-taken").withColumnRenamed("row", "dealt_row")
+    none = F.lit(0).cast("long")
+    return plan.join(dealt, F.col("doc.row") == F.col("dealt_row"), "left").select(
         "doc.doc_id",
         "size",
         "source_size",
         "target",
-        taken.alias("taken"),
-        F.size("copies").cast("long").alias("copies"),
-        F.round(F.get("copies", F.lit(0))["position"], 9).alias("position"),
+        F.coalesce("taken", none).alias("taken"),
+        F.coalesce("copies_dealt", none).alias("copies"),
+        F.round("position", 9).alias("position"),
     )
 
 
+def in_sequence(plan: DataFrame) -> DataFrame:
+    """(doc, copy) of every copy that is taken, dealt to partitions by ranges of position and sorted there."""
+    rows = plan.select("doc", "turn", F.explode("copies").alias("copy"))
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.greatest(F.floor(F.col("copy.share") * parts), F.lit(0)), F.lit(parts - 1)).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("copy.position", "turn")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """The training sequence: the documents' columns with epoch, words taken and position, sorted by position.
 
@@ -142,11 +156,6 @@ def mix(docs: DataFrame) -> DataFrame:
     this copy. Added names that the documents have already get an underscore.
     """
     epoch, taken, place = (fresh(docs, n) for n in ("epoch", "taken", "position"))
-    plan = plan_mix(sized_rows(docs, *docs.columns))
-    rows = plan.select("doc", "turn", F.explode("copies").alias("copy"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.least(F.greatest(F.floor(F.col("copy.share") * parts), F.lit(0)), F.lit(parts - 1)).cast("int")
-    rows = rows.repartitionById(parts, part)
-    rows = rows.sortWithinPartitions("copy.position", "turn")
+    rows = in_sequence(plan_mix(sized_rows(docs, *docs.columns)))
     added = [F.col("copy.epoch").alias(epoch), F.col("copy.words").alias(taken), F.col("copy.position").alias(place)]
     return rows.select("doc.*", *added)

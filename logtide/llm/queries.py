@@ -69,8 +69,8 @@ def _secret_sql() -> str:
 
 @query("op5_secrets", _secret_sql())
 def find_secrets(spark, sf_dir):
-    ledger = secrets.BlobLedger(spark, scratch_path(spark, "blob-ledger"))
-    return secrets.digest_columns(ledger.report(ledger.scan(table(spark, sf_dir, "documents"))))
+    found = secrets.scan_over_time(table(spark, sf_dir, "documents"), scratch_path(spark, "blob-ledger"))
+    return secrets.digest_columns(found)
 
 
 @query("op3_decontamination")

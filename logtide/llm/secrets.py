@@ -153,6 +153,21 @@ class BlobLedger:
         )
 
 
+def scan_over_time(versions: DataFrame, path: str, steps: int = 2, rules: tuple[Rule, ...] = RULES, before: int = len(BASE_RULES)) -> DataFrame:
+    """The report on all versions, scanned as they would arrive: ``steps`` ranges of ``doc_id``, one after another.
+
+    All ranges but the last are scanned with the first ``before`` rules. Then the other rules come in, and the ledger is
+    shown every version again: of the blobs it knows only the new rules are run, of the others all.
+    """
+    early = BlobLedger(versions.sparkSession, path, rules[:before])
+    cuts = versions.agg(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], 1000).alias("c")).first()["c"] or []
+    for low, high in zip([None, *cuts], cuts, strict=False):
+        part = versions.where(F.col("doc_id") <= high)
+        early.scan(part if low is None else part.where(F.col("doc_id") > low))
+    ledger = BlobLedger(versions.sparkSession, path, rules)
+    return ledger.report(ledger.scan(versions))
+
+
 def span_text(spans: Column, rules: tuple[Rule, ...]) -> Column:
     """kind:start:end of all spans, joined by commas."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])

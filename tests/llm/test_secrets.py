@@ -69,3 +69,18 @@ def test_runs_without_python(spark):
     docs = cases.odd_docs(spark).withColumn("text", whole_text())
     spans = docs.select(secrets.rule_spans(docs["text"], secrets.RULES[0], 0))
     assert "Python" not in spans._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_over_time_run_each_pair_once(spark):
+    """Half the versions with the first rules, then all with every rule: the report of one scan, no pair run twice."""
+    docs = cases.odd_docs(spark, [(i, t, "s") for i, t in enumerate(TEXTS)] + [(99, TEXTS[0], "s"), (None, TEXTS[-1], "s")])
+    for steps in (1, 2, 4):
+        path = scratch_path(spark, "ledger")
+        rows = secrets.scan_over_time(docs, path, steps).collect()
+        assert len(rows) == len(TEXTS) + 2
+        for r in rows:
+            text = TEXTS[-1] if r["path"] is None else TEXTS[0] if r["path"] == 99 else TEXTS[r["path"]]
+            assert [tuple(s) for s in r["spans"]] == brute(text)
+        scanned = spark.read.parquet(f"{path}/scanned")
+        blobs = len({t or "" for t in TEXTS})
+        assert scanned.count() == scanned.distinct().count() == blobs * len(secrets.RULES)
