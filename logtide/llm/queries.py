@@ -118,7 +118,22 @@ def mixing_query(spark, sf_dir):
     return mixing.report_mix(table(spark, sf_dir, "documents"))
 
 
-@query("op6_substring_dedup")
+@query(
+    "op6_substring_dedup",
+    rf"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, w, unnest(range(1, len(w) - {substring.WINDOW - 2})) AS i FROM t WHERE len(w) >= {substring.WINDOW}),
+    k AS (
+      SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(list_slice(w, i, i + {substring.WINDOW - 1}), ' '))
+        ORDER BY doc_id, i) AS turn FROM s),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WINDOW})) AS p FROM k WHERE turn > 1),
+    x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t),
+    c AS (
+      SELECT doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (g.p IS NULL) AS kept
+      FROM x LEFT JOIN g USING (doc_id, p) GROUP BY doc_id)
+    SELECT t.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM t LEFT JOIN c USING (doc_id)""",
+)
 def substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring.drop_repeated_windows(docs, carry=["doc_id"])
@@ -132,7 +147,24 @@ def suffix_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
-@query("op8_jaccard_join")
+@query(
+    "op8_jaccard_join",
+    r"""
+    WITH RECURSIVE t AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN 'short ' || array_to_string(w, ' ')
+        ELSE array_to_string(list_slice(w, i, i + 3), ' ') END AS shingle
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM t WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (
+      SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.size + y.size - shared)),
+    r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached)
+    SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, (SELECT min(reached) FROM r WHERE r.node = d.doc_id) AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id)""",
+)
 def jaccard_join(spark, sf_dir):
     return jaccard.report_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -1,11 +1,12 @@
 import random
+import re
 
 import cases
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from logtide.llm import toxicity
+from logtide.llm import queries, toxicity
 from logtide.llm.arrays import texts_of
 
 
@@ -96,3 +97,60 @@ def test_nothing_to_learn(spark):
     assert toxicity.fit_on(docs, labels) is None
     assert {r["predicted"] for r in toxicity.score(docs, None).collect()} == {0}
     assert toxicity.fit_on(cases.no_docs(spark), labels.limit(0)) is None
+
+
+def plain_logit(net, text):
+    """The highest logit of a text's windows, word by word and gate by gate."""
+    p, hidden = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    words = [w for w in re.split("[ \t-\r]+", text or "") if w]
+    known = {}
+    for w in set(words):
+        single = toxicity.Vocabulary(texts_of(pa.array([w])))
+        if not len(single.bucket):
+            return None
+        grams = p["grams"][single.grams].mean(axis=0) if len(single.grams) else np.zeros(toxicity.WIDTH)
+        known[w] = np.concatenate([p["words"][single.bucket[0]], grams])
+    best = -np.inf
+    last = max(len(words) - toxicity.SPAN, 0)
+    for start in sorted({min(s, last) for s in range(0, last + toxicity.STEP, toxicity.STEP)}):
+        window = [known[w] for w in words[start : start + toxicity.SPAN]]
+        states = []
+        for way, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            h, found = np.zeros(hidden), [None] * len(window)
+            for t in order:
+                x = window[t] @ p[f"in_{way}"] + p[f"in_bias_{way}"]
+                u = h @ p[f"state_{way}"]
+                z, r = sigmoid(x[:hidden] + u[:hidden]), sigmoid(x[hidden : 2 * hidden] + u[hidden : 2 * hidden])
+                n = np.tanh(x[2 * hidden :] + r * u[2 * hidden :])
+                h = z * h + (1 - z) * n
+                found[t] = h
+            states.append(found)
+        both = [np.concatenate(s) for s in zip(*states, strict=True)]
+        look = np.array([b @ p["look"] for b in both])
+        share = np.exp(look - look.max()) / np.exp(look - look.max()).sum()
+        best = max(best, float(sum(s * b for s, b in zip(share, both, strict=True)) @ p["out"] + p["bias"][0]))
+    return best
+
+
+def test_scores_of_the_whole_table_by_a_plain_forward_pass(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text")
+    net = toxicity.fit_on(docs, spark.read.parquet(f"{small_dir}/labels.parquet"))
+    for r in toxicity.score(docs, net).collect():
+        logit = plain_logit(net, r["text"]) if (r["text"] or "").split() else None
+        assert r["score"] == pytest.approx(0 if logit is None else 1 / (1 + np.exp(-logit)), abs=2e-3)
+
+
+def test_recall_and_false_alarms_on_held_out_documents(spark):
+    """Of labels that training has not seen: toxic documents found, clean ones left alone."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = queries.QUERIES["op1_toxicity"](spark, sf).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
+def test_sample_is_bounded_when_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(5_000)] + [(2, "b")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    assert sorted(map(tuple, toxicity.labelled_sample(docs, labels, None, 10).collect())) == [("b", 0), ("text 0", 1)]
