@@ -23,6 +23,7 @@ HEADLINE = [
     "alerts_upsert",
     "notification_outbox",
     "system_stats",
+    "system_stats_rollup",  # from roll-ups that a stream keeps: the first round takes up all logs, the best one only asks
     "search_logs_page",
     "search_logs_text",
     "flag_anomalous_logs",

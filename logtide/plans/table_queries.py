@@ -62,7 +62,7 @@ def alert_rollups(spark: SparkSession, sf_dir: str) -> SnapshotTable:
 @query("system_stats_rollup", f"WITH {ALERTS}, {STATS_SQL.format(as_of=AS_OF, minutes=1440, alerts='alerts')}")
 def system_stats_rollup(spark, sf_dir):
     """The stats row from the maintained roll-ups alone."""
-    logs, alerts = log_rollups(spark, sf_dir).read(), alert_rollups(spark, sf_dir).read()
+    logs, alerts = log_rollups(spark, sf_dir).parts(), alert_rollups(spark, sf_dir).parts()
     return rollups.system_stats(logs, alerts, at(), 1440)
 
 
@@ -70,13 +70,13 @@ EDGE = "2024-01-15 12:34:56.789"
 
 
 @query(
-    "system_stats_rollup_edge",
+    "system_stats_unique_rollup",
     f"WITH RECURSIVE {KEYED}, {flagged(86_400)}, u AS (SELECT * FROM flagged WHERE NOT deduplicated),"
     f"{STATS_SQL.format(as_of=EDGE, minutes=90, alerts='u')}",
 )
-def system_stats_rollup_edge(spark, sf_dir):
+def system_stats_unique_rollup(spark, sf_dir):
     """Between two minutes, of notified alerts only: the rest of the first minute comes from the rows."""
-    logs, alerts = log_rollups(spark, sf_dir).read(), alert_rollups(spark, sf_dir).read()
+    logs, alerts = log_rollups(spark, sf_dir).parts(), alert_rollups(spark, sf_dir).parts()
     rows = inputs.processed(spark, sf_dir), inputs.flagged_alerts(spark, sf_dir)
     return rollups.system_stats(logs, alerts, at(EDGE), 90, True, *rows)
 
@@ -90,7 +90,7 @@ def system_stats_rollup_edge(spark, sf_dir):
   FROM s, b, proc p WHERE p.service = s.service GROUP BY 1, 2""",
 )
 def latency_histogram_rollup(spark, sf_dir):
-    rows = rollups.latency_histogram(log_rollups(spark, sf_dir).read(), ["service"])
+    rows = rollups.latency_histogram(log_rollups(spark, sf_dir).parts(), ["service"])
     return rows.withColumn("sum", F.round("sum", 3))
 
 
@@ -100,7 +100,7 @@ def latency_histogram_rollup(spark, sf_dir):
   SELECT {iso("b")} AS bucket, service, n FROM c""",
 )
 def logs_per_minute_rollup(spark, sf_dir):
-    return stamped(rollups.per_minute(log_rollups(spark, sf_dir).read(), ["service"]), "bucket")
+    return stamped(rollups.per_minute(log_rollups(spark, sf_dir).parts(), ["service"]), "bucket")
 
 
 POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -113,7 +113,7 @@ POINTS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 )
 def latency_quantiles_rollup(spark, sf_dir):
     """Whether the true ranks of the sketches' quantiles lie within 2.5 % of those asked for."""
-    found = rollups.latency_quantiles(log_rollups(spark, sf_dir).read(), POINTS, ["service"])
+    found = rollups.latency_quantiles(log_rollups(spark, sf_dir).parts(), POINTS, ["service"])
     rows = inputs.processed(spark, sf_dir).where("response_time_ms IS NOT NULL").select("service", "response_time_ms")
     ranks = [F.count_if(F.col("response_time_ms") <= F.col(p)).alias(p) for p in POINTS]
     true = rows.join(found, "service").groupBy("service", "n").agg(*ranks)

@@ -251,6 +251,11 @@ class SnapshotTable:
             return self._merged(at, dirty)
         return clean.unionByName(self._merged(at, dirty))
 
+    def parts(self, version: int | None = None) -> DataFrame:
+        """All stored rows of a snapshot, not merged: for tables whose rows of one key only add up, as roll-ups do."""
+        at = self.snapshot(version)
+        return self._rows({**at.base, **at.deltas}, lambda p: True)
+
     def files(self) -> int:
         """Partition directories that the newest snapshot names."""
         return len(self.snapshot().folders())
