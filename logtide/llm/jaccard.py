@@ -8,7 +8,9 @@ ones of each (the long lists) they share about c of those before (the short list
    shingles has no partner and drops out; the sets of the others are stored.
 2. The short lists are inverted: rows (shingle, set) are sorted by shingle across the cluster. A list is cut where sizes
    are too far apart to match; lists with the same first set are one block, so that a group of copies, whose lists differ
-   by a few members each, goes into few blocks. A long list becomes pairs of parts, which cover all its pairs.
+   by a few members each, goes into few blocks. A large block is searched in parts; then one set of the largest component
+   of each part is searched against those of the other parts, and what is not in the block's largest component after that
+   against all parts. A group of copies of any size is so sent once or twice, not once for each part.
 3. In each block the T-occurrence search runs as DivideSkip: the short inverted lists of a set are merged with a heap that
    skips what cannot reach the threshold, the long ones are probed by binary search, and sets that reach the overlap are
    linked. Sets that a block has connected already are not searched again, so a group of copies costs a chain of links,
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.llm import sketch
@@ -43,7 +45,8 @@ from logtide.session import materialise
 ROOM = 16  # counters per short-list shingle in each row of the sketch
 FREQUENT = 32  # estimated count, above the mean load of a counter, from which a shingle counts as frequent
 EXTRA = 10  # one more short list for so many shingles; c of the module text
-MOST = 1_000_000  # shingles of all sets of a list, from which it is cut into parts
+MOST = 200_000  # shingles of the sets of a block that are searched in one go; larger blocks are searched in parts
+LEAST_SETS = 8  # sets of a part on average, so that parts are fewer than sets
 MU = 0.0085  # weight of a probe against a merge step in DivideSkip's choice of long lists
 
 
@@ -128,8 +131,11 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (lists[i][at], i, at))
 
 
-def block_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For sets in order of size: the number of the first set of each one's component within the block."""
+def block_links(sets: list[np.ndarray], percent: int, classes: np.ndarray | None = None) -> np.ndarray:
+    """For sets in order of size: the number of the first set of each one's component within the block.
+
+    Sets of equal ``classes`` are connected from the start and are not compared.
+    """
     size = np.array([len(s) for s in sets])
     at = np.append(0, np.cumsum(size))
     order = np.argsort(np.concatenate(sets), kind="stable")
@@ -141,7 +147,12 @@ def block_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     list_of = np.empty(len(ranked), np.int64)
     list_of[order] = np.cumsum(new) - 1
     part = np.arange(len(sets))
+    if classes is not None:
+        _, first, of = np.unique(classes, return_index=True, return_inverse=True)
+        part = first[of]
     for q in range(1, len(sets)):
+        if (part[:q] == part[q]).all():
+            continue
         mine = list_of[at[q] : at[q + 1]]
         length = end[mine] - begin[mine]
         need = least_overlap(int(size[q]), percent)
@@ -226,65 +237,44 @@ def _inverted(sets: DataFrame, shingles: Shingles, seen: sketch.Sketch) -> DataF
     return sets.mapInArrow(run, "shingle bigint, size bigint, digest bigint")
 
 
-def _lists(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """(block, digest): inverted lists with the same first set are one block.
+def _lists(rows: DataFrame, percent: int) -> DataFrame:
+    """(block, digest, size, number): inverted lists with the same first set are one block of ``number`` parts.
 
     A copy lacks some shingles of its group, so a group has many lists that differ a little, but few first sets. A list
-    of more than ``most`` shingles in all is cut into parts by set, and each pair of parts is a block. A set leaves the
-    blocks that hold fewest of its lists, as long as these lists are within what it may miss: chance matches end there.
+    is read as it comes, so its length does not matter. A set leaves the blocks that hold fewest of its lists, as long as
+    these lists are within what it may miss: chance matches end there.
     """
 
-    def parts(digests: np.ndarray, total: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(block, places in the list)."""
-        number = 1 << (2 * total // most).bit_length()
-        part = (mix64(digests.view(U)) % U(number)).astype(np.int64)
-        own = [np.flatnonzero(part == i) for i in range(number)]
-        for i in range(number):
-            for j in range(i + 1):
-                name = np.array([digests.min(), number, i, j], np.int64).view(U)
-                both = own[i] if i == j else np.concatenate([own[j], own[i]])
-                yield int(join_hash(join_hash(name[:1], name[1:2]), join_hash(name[2:3], name[3:4])).view(np.int64)[0]), both
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.zeros(0, np.int64)] * 3
-
-        def closed(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            shingle, size, digest = columns
+        last = [np.zeros(0, np.int64)] * 3  # the row before, with the first set of its list, and whether it was sent
+        name, sent = 0, False
+        for batch in batches:
+            shingle, size, digest = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(last))
             if not len(shingle):
-                return
+                continue
             new = np.append(True, (np.diff(shingle) != 0) | (np.diff(digest) != 0))  # a set that several tasks have stored
             shingle, size, digest = shingle[new], size[new], digest[new]
             far = (np.diff(shingle) != 0) | (100 * size[:-1] < percent * size[1:])  # no match across a gap in size
             begin = np.flatnonzero(np.append(True, far))
             number = np.diff(np.append(begin, len(shingle)))
-            total = np.add.reduceat(size, begin)
-            first = np.minimum.reduceat(digest, begin)
-            whole = np.repeat((number > 1) & (total <= most), number)
-            blocks_, places = [np.repeat(first, number)[whole]], [np.flatnonzero(whole)]
-            for k in np.flatnonzero((number > 1) & (total > most)):
-                for block, both in parts(digest[begin[k] : begin[k] + number[k]], int(total[k])):
-                    blocks_.append(np.full(len(both), block))
-                    places.append(begin[k] + both)
-            block, place = np.concatenate(blocks_), np.concatenate(places)
-            turn = np.lexsort((digest[place], block))
-            block, place = block[turn], place[turn]
-            edges = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(digest[place]) != 0))[: len(block)])
+            names = digest[begin]
+            if len(last[0]):
+                names[0] = name
+            several = np.repeat(number > 1, number)
+            due = several.copy()
+            due[0] &= not sent
+            sent = bool(several[-1]) or (sent and len(begin) == 1)
+            name, last = names[-1], [c[-1:] for c in (shingle, size, digest)]
+            block, size, digest = np.repeat(names, number)[due], size[due], digest[due]
+            turn = np.lexsort((digest, block))
+            block, size, digest = block[turn], size[turn], digest[turn]
+            edges = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(digest) != 0))[: len(block)])
             lists = np.diff(np.append(edges, len(block)))
-            head = place[edges]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block[edges]), pa.array(digest[head]), pa.array(size[head]), pa.array(lists)],
+                [pa.array(block[edges]), pa.array(digest[edges]), pa.array(size[edges]), pa.array(lists)],
                 ["block", "digest", "size", "lists"],
             )
 
-        for batch in batches:
-            columns = [np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(left)]
-            if not len(columns[0]):
-                continue
-            whole = int(np.searchsorted(columns[0], columns[0][-1]))
-            yield from closed([c[:whole] for c in columns])
-            left = [c[whole:] for c in columns]
-        yield from closed(left)
-
     by_shingle = rows.repartition("shingle").sortWithinPartitions("shingle", "size", "digest")
     found = by_shingle.mapInArrow(run, "block bigint, digest bigint, size bigint, lists bigint")
     found = found.groupBy("block", "digest").agg(F.first("size").alias("size"), F.sum("lists").alias("lists"))
@@ -292,37 +282,106 @@ def _lists(rows: DataFrame, percent: int, most: int) -> DataFrame:
     missed = F.sum("lists").over(weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # half of what least_common leaves over: two sets together miss fewer lists than they share
     may_miss = F.expr(f"(greatest(1, size div {EXTRA}) - 1) div 2")
-    found = materialise(found.withColumn("missed", missed).where(F.col("missed") > may_miss), "inverted-lists")
-    several = found.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return found.join(several, "block").select("block", "digest")
+    found = found.withColumn("missed", missed).where(F.col("missed") > may_miss)
+    return materialise(found.select("block", "digest", "size"), "inverted-lists")
+
+
+def _in_parts(members: DataFrame, most: int) -> DataFrame:
+    """(block, digest, size, number): blocks of several sets, with the number of parts that they are searched in."""
+    blocks_ = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1")
+    number = _parts_of(F.col("total"), F.col("n"), most)
+    blocks_ = materialise(blocks_.select("block", number.alias("number")), "block-parts")  # so that a large block is split
+    return members.join(blocks_, "block").select("block", "digest", "size", "number")
+
+
+def _parts_of(total: Column, n: Column, most: int) -> Column:
+    """Parts for n sets of so many shingles: about ``most`` shingles in each, but LEAST_SETS sets at least."""
+    ratio = F.greatest(F.least(2 * total / F.lit(most), n / F.lit(LEAST_SETS)), F.lit(1.0))
+    return F.pow(F.lit(2), F.floor(F.log2(ratio))).cast("long")
+
 
+def _part(number: Column) -> Column:
+    return F.pmod(F.xxhash64("digest"), number)
 
-def _search(blocks_rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect what a block connects, from rows (block, size, digest, shingles)."""
+
+def _search(rows: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """(a, b): links that connect what a block connects, from rows (block, digest, root).
+
+    Sets of one root are connected already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, digests, sets = None, [], []
+        now, digests, roots, found = None, [], [], []
 
         def links() -> pa.RecordBatch:
-            first = block_links(sets, percent) if len(sets) > 1 else np.zeros(len(sets), np.int64)
             own = np.array(digests, np.int64)
+            first = block_links(found, percent, np.array(roots, np.int64))
             joined = np.flatnonzero(first != np.arange(len(first)))
             return pa.RecordBatch.from_arrays([pa.array(own[joined]), pa.array(own[first[joined]])], ["a", "b"])
 
         for batch in batches:
-            for block, digest, data in zip(
-                batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True
-            ):
+            for block, digest, root, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if block != now:
-                    if sets:
+                    if found:
                         yield links()
-                    now, digests, sets = block, [], []
+                    now, digests, roots, found = block, [], [], []
                 digests.append(digest)
-                sets.append(np.frombuffer(data, U))
-        if sets:
+                roots.append(root)
+                found.append(np.frombuffer(data, U))
+        if found:
             yield links()
 
-    return blocks_rows.mapInArrow(run, "a bigint, b bigint")
+    searched = rows.join(sets, "digest").select("block", "size", "digest", "root", "shingles")
+    searched = searched.repartition("block").sortWithinPartitions("block", "size", "digest")
+    return materialise(searched.mapInArrow(run, "a bigint, b bigint"), name)
+
+
+def _sub_block(*of: str) -> Column:
+    return F.xxhash64("block", "number", *of).alias("block")
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+
+def _across_parts(long: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, most: int) -> DataFrame:
+    """(node, root) with the links between parts of the blocks ``long`` (block, digest, size, number).
+
+    First one set of the largest component in each part is searched against those of the other parts, in parts again
+    where they are many, so that a group of copies is one component, each of its sets having been sent once. Then the
+    sets outside a block's largest component are searched against all parts. These searches lose no link.
+    """
+
+    def with_links(links: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+    level = long
+    while not level.isEmpty():
+        classes = _with_roots(level, roots).groupBy("block", _part(F.col("number")).alias("part"), "root")
+        classes = classes.agg(F.sum("size").alias("s"), F.min(F.struct("digest", "size")).alias("one"))
+        tops = classes.groupBy("block", "part").agg(F.max_by("one", F.struct("s", "root")).alias("one"))
+        tops = materialise(tops.select("block", "one.digest", "one.size"), "part-tops")
+        tops = materialise(_in_parts(tops, most), "part-tops-in-parts")
+        rows = _with_roots(tops, roots).withColumn("part", _part(F.col("number"))).select(_sub_block("part"), "digest", "root")
+        roots = with_links(_search(rows, sets, percent, "top-links"))
+        level = tops.where("number > 1")
+
+    rows = materialise(_with_roots(long, roots).select("block", "digest", "size", "number", "root"), "long-roots")
+    classes = rows.groupBy("block", "root").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    hub = classes.groupBy("block").agg(
+        F.max_by("root", F.struct("s", "root")).alias("hub"),
+        (F.sum("s") - F.max("s")).alias("rest"),
+        (F.sum("n") - F.max_by("n", F.struct("s", "root"))).alias("n_rest"),
+    )
+    others = _parts_of(F.col("rest"), F.col("n_rest"), most)
+    hub = materialise(hub.where("n_rest > 0").select("block", "hub", others.alias("others")), "hubs")
+    rows = rows.join(hub, "block")
+    every = F.sequence(F.lit(0), F.col("others") - 1)
+    own, all_of = _part(F.col("others")), F.sequence(F.lit(0), F.col("number") - 1)
+    one = rows.select("block", "number", "digest", "root", _part(F.col("number")).alias("j"), F.explode(every).alias("i"))
+    two = rows.where("root <> hub").select("block", "number", "digest", "root", F.explode(all_of).alias("j"), own.alias("i"))
+    pairs = one.unionByName(two).select(_sub_block("i", "j"), "digest", "root").dropDuplicates(["block", "digest"])
+    return with_links(_search(pairs, sets, percent, "rest-links"))
 
 
 def document_components(docs: DataFrame, words: int = 4, percent: int = 85, most: int = MOST) -> DataFrame:
@@ -352,11 +411,14 @@ def document_components(docs: DataFrame, words: int = 4, percent: int = 85, most
     seen = sketch.build(rows.select("text"), short_keys, "short-lists", width)
     found = materialise(_document_sets(rows, shingles, seen), "document-sets")
     some = found.where(F.col("shingles").isNotNull()).select("digest", "size", "shingles")
-    lists = _lists(_inverted(some, shingles, seen), percent, most)
+    members = _in_parts(_lists(_inverted(some, shingles, seen), percent), most)
     unique = some.dropDuplicates(["digest"])
-    searched = lists.join(unique, "digest").select("block", "size", "digest", "shingles")
-    searched = searched.repartition("block").sortWithinPartitions("block", "size", "digest")
-    roots = components(materialise(_search(searched, percent), "links"))
+    parted = members.withColumn("part", _part(F.col("number"))).select(_sub_block("part"), "digest", F.col("digest").alias("root"))
+    roots = components(_search(parted, unique, percent, "links"))
+    long = materialise(members.where("number > 1"), "long-lists")
+    if not long.isEmpty():
+        long_sets = materialise(unique.join(long.select("digest").distinct(), "digest", "left_semi"), "long-sets")
+        roots = _across_parts(long, long_sets, roots, percent, most)
     filled = found.where("size > 0").select("doc_id", "row", "digest", "size")
     joined = filled.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     none = found.where("size = 0").select("doc_id", "row", "size", F.lit(None).cast("bigint").alias("component"))

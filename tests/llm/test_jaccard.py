@@ -42,6 +42,58 @@ def test_long_lists_are_cut_into_parts(spark, monkeypatch):
     assert report(spark, rows, 4, 85) == brute.component_rows(rows, 4, 85)
 
 
+def drifting(seed, number, words=120):
+    """One large group: copies that drift away from each other, some of them joined by a few links only, and strangers."""
+    rng = random.Random(seed)
+    first = cases.prose(rng, words, 4000).split()
+    now, rows = list(first), []
+    for i in range(number):
+        rows.append(" ".join(now))
+        now[rng.randrange(words)] = f"n{rng.randrange(9999)}"
+        if i % 40 == 39:
+            now = first[: words // 2] + cases.prose(rng, words // 2, 4000).split()
+    return list(enumerate(rows))
+
+
+def searched_rows(monkeypatch):
+    """Rows of each search, by its name."""
+    rows, fn = {}, jaccard._search
+
+    def search(found, sets, percent, name):
+        rows[name] = rows.get(name, 0) + found.count()
+        return fn(found, sets, percent, name)
+
+    monkeypatch.setattr(jaccard, "_search", search)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_large_block_is_searched_in_parts(spark, monkeypatch, seed):
+    rows = drifting(seed, 170)
+    fn, seen = jaccard.document_components, searched_rows(monkeypatch)
+    monkeypatch.setattr(jaccard, "document_components", lambda d, w, p: fn(d, w, p, most=1500))
+    assert report(spark, rows, 4, 85) == brute.component_rows(rows, 4, 85)
+    assert set(seen) == {"links", "top-links", "rest-links"} and seen["rest-links"] > 0
+
+
+def test_a_group_of_copies_is_sent_in_proportion(spark, monkeypatch):
+    fn = jaccard.document_components
+    monkeypatch.setattr(jaccard, "document_components", lambda d, w, p: fn(d, w, p, most=1500))
+    sent = []
+    for number in (80, 320):
+        rng = random.Random(4)
+        base = cases.prose(rng, 120, 4000).split()
+        rows = []
+        for i in range(number):
+            words = list(base)
+            words[rng.randrange(120)] = f"n{i}"
+            rows.append((i, " ".join(words)))
+        seen = searched_rows(monkeypatch)
+        assert {r[2] for r in report(spark, rows, 4, 85)} == {0}
+        sent.append(sum(seen.values()))
+    assert sent[1] < 6 * sent[0]
+
+
 def test_whole_table(spark, small_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert report(spark, rows, 4, 85) == brute.component_rows(rows, 4, 85)
