@@ -10,8 +10,9 @@ The masks lose nothing: for a stretch of L tokens of which k may differ, whichev
 at a place where all that it compares is equal. Shorter items have masks of their own with fewer compared tokens, and only
 masks that the benchmark's lengths ask for are hashed.
 
-Tokens are runs of letters and digits in lower case. Items without tokens match nothing, as do null and empty texts. Rows that repeat an id and text give one
-result. Documents are told apart by id and text, so of rows with one id only those with the leaked text are marked.
+Tokens are runs of letters and digits in lower case. Items without tokens match nothing, as do null and empty
+texts. Rows that repeat an id and text give one result. Items of one ``item_id`` (null too) with different texts are one item, of
+which the best stretch counts. Documents are told apart by id and text, so of rows with one id only those with the leaked text are marked.
 """
 
 from __future__ import annotations
@@ -37,12 +38,12 @@ FAMILIES = {
 MASKS = tuple(dict.fromkeys(m for family in FAMILIES.values() for m in family))
 STRETCH = 20
 SHARE = 0.8
-# The join to the benchmark's hashes is broadcast up to this many (about 60 MB); beyond, it is shuffled.
+# The join to the benchmark's hashes is broadcast up to this many rows of three numbers (about 20 MB); beyond, it is shuffled.
 MOST_BROADCAST = 200_000
 
 
 def tokens(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def masks_for(need: int, share: float = SHARE) -> tuple[str, ...]:
@@ -83,68 +84,55 @@ def find_overlaps(
     ``similarity`` is the share of equal tokens in the best stretch, ``at`` the token of the document where it begins.
     """
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    of_item = F.array_remove(tokens(whole_text()), "")
-    bench = materialise(
-        items.select("item_id", of_item.alias("item")).where(F.size("item") > 0).withColumn("hashes", hashed(F.col("item"))),
-        "benchmark-tokens",
-    )
+    key = F.xxhash64("item_id", F.concat_ws(" ", "item"))
+    bench = items.select("item_id", tokens(whole_text()).alias("item")).where(F.size("item") > 0).withColumn("item_key", key)
+    bench = materialise(bench.dropDuplicates(["item_key"]), "benchmark-tokens")
     need = F.least(F.lit(stretch), F.size("item"))
     families = {r["n"]: masks_for(r["n"], share) for r in bench.select(need.alias("n")).distinct().collect()}  # at most ``stretch``
     masks = sorted({m for f in families.values() for m in f}, key=lambda m: (len(m), m)) or ["1"]
-    seeds = _seeds(bench, masks, "item_id", "item", "hashes")
+    seeds = _seeds(bench.withColumn("hashes", hashed(F.col("item"))), masks, "item_key", "item")
     # a mask that reaches beyond the end of an item would hash missing tokens; an item has the masks of its length only
     lengths = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
-    seeds = seeds.withColumn("length", lengths).where(F.col("at") + F.col("length") <= F.size("item"))
+    seeds = seeds.where(F.col("at") + lengths <= F.size("item"))
     asked = [(need == n) & F.col("mask").isin(*[masks.index(m) for m in f]) for n, f in families.items()]
     seeds = seeds.where(reduce(or_, asked, F.lit(False)))
-    seeds = materialise(seeds.select("item_id", "item", F.col("at").alias("item_at"), "seed", "length"), "benchmark-seeds")
-    texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), tokens(whole_text()).alias("words"))
-    hashed_texts = texts.withColumn("hashes", hashed(F.col("words")))
-    if seeds.count() <= most_broadcast:
-        hits = _seeds(hashed_texts, masks, "doc_id", "text_key", "words").join(F.broadcast(seeds), "seed")
-    else:
-        hits = _seeds(hashed_texts, masks, "doc_id", "text_key").join(seeds, "seed")
-        again = texts.select(F.col("doc_id").alias("of"), F.col("text_key").alias("same"), "words")
-        hits = hits.join(again, (F.col("text_key") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    seeds = materialise(seeds.select("item_key", F.col("at").alias("item_at"), "seed"), "benchmark-seeds")
+
+    texts = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
+    split = texts.select("doc_id", "text_key", tokens(F.col("text")).alias("words"))
+    windows = _seeds(split.withColumn("hashes", hashed(F.col("words"))), masks, "doc_id", "text_key")
+    hits = windows.join(F.broadcast(seeds) if seeds.count() <= most_broadcast else seeds, "seed")
+    # hits along one shift of the item against the document are one, however often its tokens repeat
+    hits = hits.select("doc_id", "text_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = materialise(hits, "seed-hits")
+
+    # the few documents that are hit are split once more and read apart from the windows
+    hit = materialise(hits.select(F.col("doc_id").alias("of"), F.col("text_key").alias("same")).distinct(), "hit-documents")
+    is_hit = lambda of, same: (F.col("text_key") == F.col(same)) & F.col("doc_id").eqNullSafe(F.col(of))
+    read = texts.join(hit, is_hit("of", "same"), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    read = read.select(F.col("doc_id").alias("of"), F.col("text_key").alias("same"), tokens(F.col("text")).alias("words"))
+    along = hits.join(materialise(read, "hit-texts"), is_hit("of", "same")).join(bench, "item_key")
     # the stretch of the document that lies along the item; what hangs over at either end is cut on both sides
-    shift = F.col("at") - F.col("item_at")
-    first = F.greatest(-shift, F.lit(0))
-    last = F.least(F.size("item"), F.size("words") - shift)
-    # hits are few; stored, they are checked apart from the join, which then stays one compiled loop over the windows
-    hits = materialise(
-        hits.select(
-            "doc_id",
-            "text_key",
-            "item_id",
-            (shift + first).alias("begin"),
-            F.slice("item", first + 1, last - first).alias("item_part"),
-            F.slice("words", shift + first + 1, last - first).alias("part"),
-            (F.col("item_at") - first).alias("hit"),
-            "length",
-            F.least(F.lit(stretch), F.size("item")).alias("need"),
-        ),
-        "seed-hits",
-    )
-    along = F.zip_with("item_part", "part", lambda a, b: F.when(a == b, 1).otherwise(0))
-    hits = hits.withColumn("along", along).where(F.size("along") >= F.col("need"))
-    starts = F.sequence(
-        F.greatest(F.col("hit") + F.col("length") - F.col("need"), F.lit(0)),
-        F.least(F.col("hit"), F.size("along") - F.col("need")),
-    )
-    equal = lambda s: F.aggregate(F.slice("along", s + 1, F.col("need")), F.lit(0), lambda a, x: a + x)
-    stretches = F.transform(starts, lambda s: F.struct(equal(s).alias("equal"), (-s).alias("back")))
-    room = F.greatest(F.col("hit") + F.col("length") - F.col("need"), F.lit(0)) <= F.least(
-        F.col("hit"), F.size("along") - F.col("need")
+    first = F.greatest(-F.col("shift"), F.lit(0))
+    room = F.least(F.size("item"), F.size("words") - F.col("shift")) - first
+    item_part, part = F.slice("item", first + 1, room), F.slice("words", F.col("shift") + first + 1, room)
+    equal = F.zip_with(item_part, part, lambda a, b: F.when(a == b, 1).otherwise(0))
+    along = along.where(room >= need).select(
+        "doc_id", "text_key", "item_id", (F.col("shift") + first).alias("begin"), need.alias("need"), equal.alias("equal")
     )
-    best = hits.where(room).withColumn("best", F.array_max(stretches))
+    starts = F.sequence(F.lit(0), F.size("equal") - F.col("need"))
+    score = lambda s: F.aggregate(F.slice("equal", s + 1, F.col("need")), F.lit(0), lambda a, x: a + x)
+    best = along.withColumn("best", F.array_max(F.transform(starts, lambda s: F.struct(score(s).alias("equal"), (-s).alias("back")))))
     best = best.where(F.col("best.equal") >= F.ceil(F.col("need") * F.lit(share)))
     similarity = F.col("best.equal") / F.col("need")
     found = best.select(
         "doc_id", "text_key", "item_id", similarity.alias("similarity"), (F.col("begin") - F.col("best.back")).alias("at")
     )
-    return found.groupBy("doc_id", "text_key", "item_id").agg(
-        F.max("similarity").alias("similarity"),
-        F.min("at").cast("long").alias("at"),
+    # of equally good stretches the earliest
+    return (
+        found.groupBy("doc_id", "text_key", "item_id")
+        .agg(F.max(F.struct("similarity", (-F.col("at")).cast("long").alias("back"))).alias("best"))
+        .select("doc_id", "text_key", "item_id", "best.similarity", (-F.col("best.back")).alias("at"))
     )
 
 

@@ -60,6 +60,25 @@ def test_shuffled_join_gives_the_same(spark):
     assert one == two
 
 
+def test_places_and_items_of_one_id(spark):
+    rng = random.Random(8)
+    a, b, c = (cases.prose(rng, n, 300) for n in (20, 20, 30))
+    items = [(1, a), (1, b), (None, c), (1, a), (None, None)]
+    texts = [(1, f'"{a}', "s"), (2, f"- {b} {a}", "s"), (3, f"one {c}", "s"), (4, f"two {c} {c}", "s")]
+    docs, bench = cases.odd_docs(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["similarity"], r["at"]) for r in decontam.find_overlaps(docs, bench).collect())
+    assert found == [(1, 1, 1.0, 0), (2, 1, 1.0, 0), (3, None, 1.0, 1), (4, None, 1.0, 1)]
+
+
+def test_repetitive_texts_are_one_hit_for_each_shift(spark, monkeypatch):
+    stored, keep = {}, decontam.materialise
+    monkeypatch.setattr(decontam, "materialise", lambda df, name: stored.setdefault(name, keep(df, name)))
+    docs = spark.createDataFrame([(1, "so " * 400)], "doc_id bigint, text string")
+    found = decontam.find_overlaps(docs, spark.createDataFrame([(1, "so " * 300)], "item_id bigint, text string")).collect()
+    assert [(r["similarity"], r["at"]) for r in found] == [(1.0, 0)]
+    assert stored["seed-hits"].count() < 700 and "words" not in stored["seed-hits"].columns
+
+
 def test_only_leaks_go(spark):
     docs, items = setting(spark)
     kept = decontam.drop_contaminated(docs, items)
