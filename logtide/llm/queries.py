@@ -73,7 +73,28 @@ def find_secrets(spark, sf_dir):
     return secrets.digest_columns(found)
 
 
-@query("op3_decontamination")
+@query(
+    "op3_decontamination",
+    rf"""
+    WITH d AS (
+      SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+    i AS (
+      SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+    x AS (SELECT doc_id, len(w) AS m, unnest(w) AS token, unnest(range(len(w))) AS p FROM d),
+    y AS (
+      SELECT item_id, len(w) AS n, least({decontam.STRETCH}, len(w)) AS need, unnest(w) AS token, unnest(range(len(w))) AS q FROM i),
+    g AS (
+      SELECT doc_id, m, item_id, n, need, p - q AS shift, list(q) AS same FROM x JOIN y USING (token)
+      GROUP BY ALL HAVING count(*) >= ceil(need * {decontam.SHARE}::DECIMAL(3, 2))),
+    s AS (
+      SELECT *, unnest(range(greatest(-shift, 0), least(n - need, m - shift - need) + 1)) AS s FROM g),
+    e AS (
+      SELECT doc_id, item_id, need, shift + s AS place, len(list_filter(same, lambda q: q >= s AND q < s + need)) AS equal FROM s),
+    b AS (
+      SELECT doc_id, item_id, max(equal::DOUBLE / need) AS similarity, arg_max(place, (equal::DOUBLE / need, -place)) AS place
+      FROM e WHERE equal >= ceil(need * {decontam.SHARE}::DECIMAL(3, 2)) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, round(similarity, 6) AS similarity, place AS at FROM b""",
+)
 def decontamination(spark, sf_dir):
     found = decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_key").withColumn("similarity", F.round("similarity", 6))
