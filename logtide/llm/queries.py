@@ -161,7 +161,36 @@ def substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op9_suffix_dedup")
+@query(
+    "op9_suffix_dedup",
+    f"""
+    WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    q AS (
+      SELECT doc_id, h, length(h) // 2 - {suffix.LENGTH - 1} AS n, unnest(range(0, length(h) // 2 - {suffix.LENGTH - 1}, 500)) AS base
+      FROM t WHERE length(h) >= {2 * suffix.LENGTH}),
+    s AS (
+      SELECT doc_id, base, substring(h, 2 * base + 1, {2 * (suffix.LENGTH + 499)}) AS piece, unnest(range(0, least(500, n - base))) AS j
+      FROM q),
+    k AS (
+      SELECT doc_id, base + j AS i, row_number() OVER (
+        PARTITION BY md5_number(substring(piece, 2 * j + 1, {2 * suffix.LENGTH})) ORDER BY doc_id, base + j) AS turn
+      FROM s),
+    g AS (
+      SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {suffix.LENGTH}, true)::INT AS new
+      FROM k WHERE turn > 1),
+    r AS (
+      SELECT doc_id, min(i) AS begins, max(i) + {suffix.LENGTH} AS ends
+      FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+    p AS (
+      SELECT doc_id, begins, ends, coalesce(lag(ends) OVER (PARTITION BY doc_id ORDER BY begins), 0) AS before FROM r),
+    c AS (
+      SELECT doc_id, sum(ends - begins)::BIGINT AS n_removed, count(*) AS n_spans, max(ends) AS last,
+             string_agg(substring(h, 2 * before + 1, 2 * (begins - before)), '' ORDER BY begins) AS kept
+      FROM p JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM t LEFT JOIN c USING (doc_id)""",
+)
 def suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = suffix.drop_repeated_strings(docs, carry=["doc_id"])
