@@ -12,7 +12,9 @@ position file. What follows from two offsets alone:
 
 A last line without line break waits until it is whole. Files that match only ``rotated`` when the query starts first are
 old and are not read. A range of bytes is cut into partitions of ``partitionBytes``; a line belongs to the
-partition its first byte lies in, so a large file is read by many tasks. The folder must be mounted on all executors.
+partition its first byte lies in, so a large file is read by many tasks. Where a micro-batch would have more than ``MANY``
+partitions smaller than ``PIECE`` they are larger, up to ``PIECE``: a task has a fixed cost, and lines are sent as they are
+read, so that a large partition takes no more memory. The folder must be mounted on all executors.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql.types import StructType
 
 HEAD = 64  # first bytes that tell a file from one written anew under its identity
 CHUNK = 1 << 20
+PIECE = 64 << 20  # bytes of a partition where no other size is asked for
+MANY = 96  # partitions of a micro-batch beyond which small ones grow
 SCHEMA = "value string, file string, file_id string, position bigint"
 
 
@@ -117,7 +121,7 @@ class TailReader(DataSourceStreamReader):
         if not options.get("path"):
             raise ValueError("the tail source needs a path, which may be a pattern")
         self.path, self.rotated = options["path"], options.get("rotated", "")
-        self.piece = int(options.get("partitionbytes", 64 << 20))
+        self.piece = int(options.get("partitionbytes", PIECE))
         self.most = int(options.get("maxbytespertrigger", 0))
         self.last: dict | None = None
 
@@ -183,12 +187,17 @@ class TailReader(DataSourceStreamReader):
         return now
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
-        pieces = []
+        firsts = {}
         for file_id, entry in end.items():
             before = start.get(file_id)
-            first = before["at"] if before and follows(before, entry) else 0
-            for at in range(first, entry["at"], self.piece):
-                last = min(at + self.piece, entry["at"])
+            firsts[file_id] = before["at"] if before and follows(before, entry) else 0
+        due = sum(entry["at"] - firsts[file_id] for file_id, entry in end.items())
+        size = max(self.piece, min(PIECE, -(-due // MANY)))
+        pieces = []
+        for file_id, entry in end.items():
+            first = firsts[file_id]
+            for at in range(first, entry["at"], size):
+                last = min(at + size, entry["at"])
                 pieces.append(Piece(entry["path"], file_id, entry["head"], at, last, at == first))
         return pieces
 

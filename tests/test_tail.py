@@ -128,3 +128,16 @@ def test_container_stream(spark, tmp_path):
     query = rows.writeStream.format("memory").queryName("tailed").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [tuple(r) for r in spark.table("tailed").collect()] == [('{"log": "hello", "level": "WARN"}', "auth-service-1")]
+
+
+def test_small_partitions_grow_with_the_input(tmp_path):
+    """A micro-batch of many small partitions has larger ones instead; every byte is in one of them, every line is read."""
+    lines = [f"line {i}\n" for i in range(20_000)]
+    (tmp_path / "a.log").write_text("".join(lines))
+    (tmp_path / "b.log").write_text("one\ntwo\n")
+    reader = tail.TailReader({"path": f"{tmp_path}/*.log", "partitionbytes": "100"})
+    pieces = reader.partitions({}, reader.latestOffset())
+    assert len(pieces) <= tail.MANY + 2
+    assert sum(p.last - p.first for p in pieces) == len("".join(lines)) + 8
+    read = [v for p in pieces for batch in tail.lines_of(p) for v in batch.column(0).to_pylist()]
+    assert sorted(read) == sorted([x.rstrip("\n") for x in lines] + ["one", "two"])
