@@ -138,13 +138,14 @@ class ProcessLogs:
         )
 
     def each(self, batch: DataFrame, batch_id: int) -> None:
-        parsed = topics.parse_raw_logs(batch)
-        good, undecodable = topics.quarantine_undecodable(parsed)
-        usable, malformed = validate.quarantine_malformed(good)
-        bad = undecodable.select("value", F.lit("undecodable").alias("reason")).unionByName(
-            malformed.select("value", "reason")
+        # parsed once per batch: a filter on parsed fields would parse the text again for each field it looks at
+        checked = topics.parse_raw_logs(batch).withColumn(
+            "reason", F.when(~F.col("decodable"), "undecodable").otherwise(validate.malformed_reason())
         )
-        put(bad, f"{self.out}/quarantine", batch_id)
+        put(checked.drop("decodable"), f"{self.out}/parsed", batch_id)
+        checked = self.spark.read.schema(checked.drop("decodable").schema).parquet(f"{self.out}/parsed/batch_id={batch_id}")
+        put(checked.where("reason IS NOT NULL").select("value", "reason"), f"{self.out}/quarantine", batch_id)
+        usable = checked.where("reason IS NULL").drop("reason")
         # written once per batch, then read by every later step
         path = f"{self.out}/normalised"
         now = batch_time(self.spark, f"{self.out}/times", batch_id)
@@ -171,7 +172,7 @@ class ProcessLogs:
             put(dated, self.unstored, batch_id)
         self.publish(processed, batch_id)
         if self.keep_batches:
-            forget(self.spark, [path, f"{self.out}/times"], batch_id, max(self.keep_batches, 2))
+            forget(self.spark, [f"{self.out}/parsed", path, f"{self.out}/times"], batch_id, max(self.keep_batches, 2))
 
     def store_again(self) -> list[int]:
         """Store the batches whose store failed, from the rows kept for that; returns those done.

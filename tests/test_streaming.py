@@ -122,3 +122,21 @@ def test_send_batch(spark):
     path = scratch_path(spark, "sent")
     assert jobs.send_batch(rows, lambda r: r.write.parquet(path)) == (7, 0)
     assert jobs.send_batch(rows, fail) == (0, 7)
+
+
+def test_records_of_a_batch_are_read_once(spark):
+    """Quarantine and normalisation work on the parsed records, so that no text is read or parsed again for them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = [line(0, 0), line(1, 30), "{broken", line(2, 31, service=" "), "[]", line(3, 60)]
+    batch = spark.createDataFrame([(x,) for x in texts], "value string").mapInArrow(count, "value string")
+    out = scratch_path(spark, "out")
+    jobs.ProcessLogs(spark, out).each(batch, 0)
+    assert seen.value == len(texts)
+    bad = {(r["value"], r["reason"]) for r in spark.read.parquet(f"{out}/quarantine/batch_id=0").collect()}
+    assert bad == {("{broken", "undecodable"), ("[]", "undecodable"), (texts[3], "service")}
