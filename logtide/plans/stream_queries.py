@@ -21,7 +21,7 @@ from logtide.plans.alert_queries import SEVERITY_SQL
 from logtide.plans.common import stamped
 from logtide.plans.registry import query
 from logtide.plans.sqltext import KEYED, PROC, flagged, iso
-from logtide.session import scratch_path
+from logtide.session import materialise, scratch_path
 from logtide.sources import tables, topics
 from logtide.sources.tail import tail_files
 from logtide.streaming import jobs, keyed
@@ -29,17 +29,21 @@ from logtide.streaming import jobs, keyed
 CUTS = ["2024-01-11", "2024-01-21"]
 
 
-def in_parts(rows: DataFrame, time: str) -> list[DataFrame]:
-    """All rows in three time ranges, in order: before, between and from the cuts on; rows without a time come last."""
+def in_parts(rows: DataFrame, time: str, stored: bool = False) -> list[DataFrame]:
+    """All rows in three time ranges, in order: before, between and from the cuts on; rows without a time come last.
+
+    Rows are stored first unless they are ``stored`` already, so that they are computed once and not for each range.
+    """
+    rows = rows if stored else materialise(rows, "all-parts")
     first, second = (F.lit(c).cast("timestamp") for c in CUTS)
     at = F.col(time)
     return [rows.filter(at < first), rows.filter((at >= first) & (at < second)), rows.filter((at >= second) | at.isNull())]
 
 
-def stream_parts(rows: DataFrame, time: str, start) -> None:
+def stream_parts(rows: DataFrame, time: str, start, stored: bool = False) -> None:
     """Land one time range after the other; each run of the query takes up the files that are new."""
     landed = scratch_path(rows.sparkSession, "landed")
-    for part in in_parts(rows, time):
+    for part in in_parts(rows, time, stored):
         part.write.mode("append").parquet(landed)
         start(rows.sparkSession.readStream.schema(rows.schema).parquet(landed)).awaitTermination()
 
@@ -134,7 +138,7 @@ def stream_detect_fixed(spark, sf_dir):
     root, out, checkpoint = (scratch_path(spark, n) for n in ("models", "stream-detect", "checkpoint"))
     tables.save_model(model_queries.small_forest(spark), root, "v0001")
     job = jobs.DetectAnomalies(spark, root, out)
-    stream_parts(_processed(spark, sf_dir), "event_time", lambda s: job.start(s, checkpoint))
+    stream_parts(_processed(spark, sf_dir), "event_time", lambda s: job.start(s, checkpoint), stored=True)
     return spark.read.parquet(f"{out}/alerts").select("log_id", "service", "anomaly_score", "model_version")
 
 
@@ -166,7 +170,7 @@ def stream_detect(spark, sf_dir):
                          "error_code", "features")
     out, checkpoint = scratch_path(spark, "stream-detect"), scratch_path(spark, "checkpoint")
     job = jobs.DetectAnomalies(spark, root, out)
-    stream_parts(stored, "event_time", lambda s: job.start(s, checkpoint))
+    stream_parts(stored, "event_time", lambda s: job.start(s, checkpoint), stored=True)
     return spark.read.parquet(f"{out}/alerts").select("alert_id", "log_id", "anomaly_score", "model_version")
 
 

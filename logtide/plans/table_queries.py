@@ -18,7 +18,7 @@ from logtide.plans.search_queries import BOUNDS_SQL, STATS_SQL
 from logtide.plans.sqltext import ALERTS, KEYED, PROC, flagged, iso
 from logtide.plans.stream_queries import CUTS, in_parts, stream_parts
 from logtide.schemas import PROCESSED_LOG, conform
-from logtide.session import scratch_path
+from logtide.session import materialise, scratch_path
 from logtide.sources import snapshots
 from logtide.sources.snapshots import SnapshotTable
 from logtide.sources.text_index import TextIndex
@@ -123,7 +123,7 @@ def latency_quantiles_rollup(spark, sf_dir):
 
 def _copies(spark, sf_dir) -> DataFrame:
     """All logs, and older versions of some of them."""
-    rows = inputs.processed(spark, sf_dir)
+    rows = materialise(inputs.processed(spark, sf_dir), "processed")  # read by every upsert
     older = rows.filter("user_id % 2 = 0").withColumns(
         {"level": F.lit("DEBUG"), "processed_at": F.col("processed_at") - F.expr("INTERVAL 1 MINUTE")}
     )
@@ -145,7 +145,7 @@ def index_logs_upsert(spark, sf_dir):
     """The daily table after four upserts, the last over all days, with a compaction between them."""
     table = snapshots.log_table(spark, scratch_path(spark, "daily"), PROCESSED_LOG)
     rows = _copies(spark, sf_dir)
-    for number, part in enumerate(in_parts(rows.where("level <> 'DEBUG'"), "event_time")):
+    for number, part in enumerate(in_parts(rows.where("level <> 'DEBUG'"), "event_time", stored=True)):
         table.upsert(part, ("load", number))
         if number == 1:
             table.compact()

@@ -229,3 +229,17 @@ def test_days_are_balanced(spark, tmp_path):
 def test_topic_publisher_options():
     options = topics.topic_options("h:1", "t")
     assert options["topic"] == "t" and options["kafka.acks"] == "all"
+
+
+def test_parts_compute_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.sql("SELECT id AS i, TIMESTAMP '2024-01-01' + make_dt_interval(id) AS t FROM range(31)")
+    parts = stream_queries.in_parts(rows.mapInArrow(count, "i bigint, t timestamp"), "t")
+    assert sorted(r["i"] for p in parts for r in p.collect()) == list(range(31))
+    assert seen.value == 31
