@@ -96,9 +96,13 @@ def malformed_reason() -> Column:
 
 
 def quarantine_malformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable records, unusable records with ``reason``)."""
-    marked = df.withColumn("reason", malformed_reason())
-    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+    """(usable records, unusable records with ``reason``).
+
+    The filter of the usable ones names each field once: it is moved below the expressions that make the fields, and would
+    work them out again at every mention. A null field is not blank and not usable: its comparison is null.
+    """
+    usable = df.filter(~is_blank(F.col("service")) & ~is_blank(F.col("message")))
+    return usable, df.withColumn("reason", malformed_reason()).filter(F.col("reason").isNotNull())
 
 
 def validate_features(df: DataFrame, features: str = "features") -> DataFrame:

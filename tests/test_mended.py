@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from logtide.operators import alerts, dedup, features, iforest, scaler, search
+from logtide.operators import alerts, dedup, features, iforest, scaler, search, validate
 from logtide.plans import stream_queries
 from logtide.session import scratch_path
 from logtide.sources import collect, tables, topics
@@ -243,3 +243,16 @@ def test_parts_compute_the_rows_once(spark):
     parts = stream_queries.in_parts(rows.mapInArrow(count, "i bigint, t timestamp"), "t")
     assert sorted(r["i"] for p in parts for r in p.collect()) == list(range(31))
     assert seen.value == 31
+
+
+def test_usable_records_work_out_a_field_once(spark):
+    """The filter, moved below what makes a field, has it once; usable and unusable records are still all records."""
+    texts = [None, "{}", '{"s": "a"}', '{"s": " ", "m": "x"}', '{"s": "a", "m": "\\u00a0"}', '{"s": "a", "m": "x"}']
+    raw = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    rows = raw.selectExpr("i", "get_json_object(t, '$.s') AS service", "get_json_object(t, '$.m') AS message")
+    usable, bad = validate.quarantine_malformed(rows)
+    plan = usable._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 4  # each field once for its column and once in the filter
+    assert [r["i"] for r in usable.collect()] == [5]
+    reasons = {r["i"]: r["reason"] for r in bad.collect()}
+    assert reasons == {0: "service", 1: "service", 2: "message_missing", 3: "service", 4: "message_empty"}
