@@ -14,7 +14,8 @@ ones of each (the long lists) they share about c of those before (the short list
 3. In each block the T-occurrence search runs as DivideSkip: the short inverted lists of a set are merged with a heap that
    skips what cannot reach the threshold, the long ones are probed by binary search, and sets that reach the overlap are
    linked. Sets that a block has connected already are not searched again, so a group of copies costs a chain of links,
-   not all pairs.
+   not all pairs. Where the lists hold so many entries that a heap would skip little, as in a group of sets just below the
+   similarity, they are merged by counting the entries of each set, for all candidates at once.
 
 Equal sets count once in all of this. Links become components by alternating stars, and no link between different texts
 is lost: any pair that reaches the similarity meets in a block.
@@ -48,6 +49,8 @@ EXTRA = 10  # one more short list for so many shingles; c of the module text
 MOST = 200_000  # shingles of the sets of a block that are searched in one go; larger blocks are searched in parts
 LEAST_SETS = 8  # sets of a part on average, so that parts are fewer than sets
 MU = 0.0085  # weight of a probe against a merge step in DivideSkip's choice of long lists
+DENSE = 256  # entries of short lists, and one for 16 sets, from which they are merged by counting instead of a heap
+PROBE = 32  # entries of long lists that are counted in the time of one probe
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -131,6 +134,13 @@ def merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
                 heapq.heappush(heap, (lists[i][at], i, at))
 
 
+def _counts(owners: np.ndarray, begin: np.ndarray, end: np.ndarray, number: int) -> np.ndarray:
+    """For each of so many sets, the number of these lists that have it."""
+    if not len(begin):
+        return np.zeros(number, np.int64)
+    return np.bincount(np.concatenate([owners[i:j] for i, j in zip(begin, end, strict=True)]), minlength=number)
+
+
 def block_links(sets: list[np.ndarray], percent: int, classes: np.ndarray | None = None) -> np.ndarray:
     """For sets in order of size: the number of the first set of each one's component within the block.
 
@@ -146,6 +156,8 @@ def block_links(sets: list[np.ndarray], percent: int, classes: np.ndarray | None
     end = np.append(begin[1:], len(ranked))
     list_of = np.empty(len(ranked), np.int64)
     list_of[order] = np.cumsum(new) - 1
+    place_of = np.empty(len(ranked), np.int64)
+    place_of[order] = np.arange(len(ranked))  # a list is in order of sets, so those before this place are before the set
     part = np.arange(len(sets))
     if classes is not None:
         _, first, of = np.unique(classes, return_index=True, return_inverse=True)
@@ -159,7 +171,24 @@ def block_links(sets: list[np.ndarray], percent: int, classes: np.ndarray | None
         many = int(need / (MU * np.log2(max(int(length.max()), 2)) + 1))
         many = max(0, min(many, need - 1))
         turn = np.argsort(length, kind="stable")
-        short, probe = mine[turn[: len(mine) - many]], sets[q][np.sort(turn[len(mine) - many :])]
+        near, far = turn[: len(mine) - many], turn[len(mine) - many :]
+        before = place_of[at[q] : at[q + 1]]
+        entries = before - begin[mine]
+        if entries[near].sum() >= DENSE + q // 16:
+            common = _counts(owners, begin[mine][near], before[near], q)
+            reach = (common >= need - many) & (part[:q] != part[q]) & (100 * size[:q] >= percent * size[q])
+            found = np.flatnonzero(reach)
+            if entries[far].sum() <= PROBE * many * len(found):
+                common = (common + _counts(owners, begin[mine][far], before[far], q))[found]
+            else:
+                probes = sets[q][far]
+                common = common[found] + np.array([np.isin(probes, sets[r], assume_unique=True).sum() for r in found], np.int64)
+            found = found[100 * common >= percent * (size[q] + size[found] - common)]
+            if len(found):
+                joined = np.unique(part[np.append(found, q)])
+                part[np.isin(part, joined)] = joined[0]
+            continue
+        short, probe = mine[near], sets[q][np.sort(far)]
         lists = [owners[begin[i] : end[i]] for i in short[length[turn[: len(short)]] > 1]]
         refused: set[int] = set()
         linked = True

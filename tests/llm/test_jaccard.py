@@ -129,6 +129,46 @@ def test_block_links():
         assert part.tolist() == parent
 
 
+def test_a_dense_block_is_counted(monkeypatch):
+    """Sets just below the similarity are no heap work for each pair, and the components are those of all pairs."""
+    rng = random.Random(5)
+    calls, fn = [], jaccard.merge_skip
+    monkeypatch.setattr(jaccard, "merge_skip", lambda *a: calls.append(1) or fn(*a))
+    for missing in (4, 5, 6):
+        base = rng.sample(range(10_000), 60)
+        sets = []
+        for i in range(150):
+            own = set(base) - set(rng.sample(base, missing)) | {10_000 + 10 * i + j for j in range(rng.randrange(3))}
+            sets.append(np.array(sorted(own), np.uint64))
+        sets.sort(key=len)
+        calls.clear()
+        dense = jaccard.block_links(sets, 85).tolist()
+        assert len(calls) < 75
+        for limits in ({"DENSE": 10**9}, {"DENSE": 0, "PROBE": 0}):
+            with monkeypatch.context() as m:
+                for name, value in limits.items():
+                    m.setattr(jaccard, name, value)
+                assert jaccard.block_links(sets, 85).tolist() == dense
+        parent = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 85 * (len(a) + len(b) - both):
+                    low, high = sorted((parent[i], parent[j]))
+                    parent = [low if x == high else x for x in parent]
+        assert dense == parent
+
+
+def test_settled_links_take_no_round(spark, monkeypatch):
+    from logtide.llm import components as module
+
+    names, fn = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: names.append(name) or fn(df, name))
+    stars = spark.createDataFrame([(1, 2), (1, 3), (7, 9)], "a bigint, b bigint")
+    assert sorted(map(tuple, components(stars).collect())) == [(2, 1), (3, 1), (9, 7)]
+    assert names == ["edges"]
+
+
 def test_short_lists_meet():
     """Any two sets that reach the similarity share enough shingles of their short lists, at worst one less than c."""
     for percent in (80, 85):
