@@ -100,15 +100,18 @@ def tree_samples(rows: DataFrame, columns: list[str], id_col: str, trees: int, p
     """(tree, pos, features): for each tree ``psi`` rows without repeats, chosen by seeded hash.
 
     A row is a candidate of a tree if its hash for that tree is under a bound that leaves about 2*psi+64 candidates
-    per tree; the ``psi`` smallest are taken. Every tree draws from all rows, and only candidates are shuffled.
+    per tree; the ``psi`` smallest are taken. Every tree draws from all rows, and only candidates are shuffled. Rows that
+    are no tree's candidate, nearly all of a large table, are left out before a hash per tree is put into an array.
     """
-    share = min(1.0, (2 * psi + 64) / max(n, 1))
-    picks = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed + 1), t, F.col(id_col)).alias("h")),
-    )
-    candidates = rows.select(
-        *columns, F.col(id_col), F.explode(F.filter(picks, lambda p: p["h"] <= hash_bound(share))).alias("p")
+    bound = hash_bound(min(1.0, (2 * psi + 64) / max(n, 1)))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+
+    def row_hash(t: Column) -> Column:
+        return F.xxhash64(F.lit(seed + 1), t, F.col(id_col))
+
+    picks = F.transform(every, lambda t: F.struct(t.alias("tree"), row_hash(t).alias("h")))
+    candidates = rows.where(F.exists(every, lambda t: row_hash(t) <= bound)).select(
+        *columns, F.col(id_col), F.explode(F.filter(picks, lambda p: p["h"] <= bound)).alias("p")
     ).select("p.tree", "p.h", *columns, F.col(id_col).cast("string").alias("_id"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy("h", "_id"))
     return candidates.withColumn("pos", rank).filter(F.col("pos") <= psi).drop("h", "_id")
@@ -204,11 +207,14 @@ def _arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
     }
 
 
-def mean_path(x: np.ndarray, forest: dict[str, np.ndarray], block: int = 2_048) -> np.ndarray:
+def mean_path(x: np.ndarray, forest: dict[str, np.ndarray], block: int = 512) -> np.ndarray:
     """Average path length of each row. The rows of a block go down all trees together, one level at a step."""
     trees, width = forest["feature"].shape
-    flat = {k: v.ravel() for k, v in forest.items()}
     base = np.arange(trees) * width
+    # both children of a node side by side, so that a step looks up one number
+    children = np.stack([forest["left"] + base[:, None], forest["right"] + base[:, None]], axis=-1).astype(np.intp).ravel()
+    feature = forest["feature"].ravel().astype(np.intp)
+    split, path = forest["split"].ravel(), forest["path"].ravel()
     out = np.empty(len(x))
     for lo in range(0, len(x), block):
         some = x[lo : lo + block]
@@ -216,12 +222,12 @@ def mean_path(x: np.ndarray, forest: dict[str, np.ndarray], block: int = 2_048)
         row = (np.arange(len(some)) * some.shape[1])[:, None]
         at = np.repeat(base[None, :], len(some), axis=0)
         while True:
-            goes_left = values[row + flat["feature"][at]] <= flat["split"][at]
-            step = base + np.where(goes_left, flat["left"][at], flat["right"][at])
+            goes_left = values.take(row + feature.take(at)) <= split.take(at)
+            step = children.take(2 * at + ~goes_left)
             if np.array_equal(step, at):
                 break
             at = step
-        out[lo : lo + block] = flat["path"][at].mean(axis=1)
+        out[lo : lo + block] = path.take(at).mean(axis=1)
     return out
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,33 @@ def test_report(spark):
     assert r["dataset"]["total_samples"] == 10 and len(r["classification_report"]) == 5
     approx = evaluate.score_distribution(df, approx=True).first()
     assert approx["p50"] == pytest.approx(0.2)
+
+
+def test_tree_samples_leave_out_rows_before_their_hashes_are_listed(spark):
+    """The rows of a tree are those of its smallest hashes, and rows that no tree takes do not reach the listing."""
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("log_id"), F.col("id").cast("double").alias("a"))
+    found = iforest.tree_samples(rows, ["a"], "log_id", 3, 4, 4000, 42)
+    listed = found._jdf.queryExecution().optimizedPlan().toString()
+    assert listed.index("Generate") < listed.index("exists(")
+    for tree in range(3):
+        hashed = rows.select("a", F.xxhash64(F.lit(43), F.lit(tree), "log_id").alias("h")).orderBy("h").limit(4).collect()
+        got = found.where(F.col("tree") == tree).orderBy("pos").collect()
+        assert [r["a"] for r in got] == [r["a"] for r in hashed]
+
+
+def test_mean_path_of_every_row():
+    rng = np.random.default_rng(3)
+    x = rng.random((1100, 3))
+    nodes = [(t, *node) for t in range(4) for node in iforest.grow_tree(x[:64], np.random.default_rng(t))]
+    table = pd.DataFrame(nodes, columns=[f.name for f in iforest.NODES.fields])
+    x[5, 1] = np.nan
+    found = iforest.mean_path(x, iforest._arrays(table))
+    for i in (*range(40), 511, 512, 1099):
+        paths = []
+        for _, tree in table.groupby("tree"):
+            tree = tree.set_index("node")
+            at = 0
+            while tree.loc[at, "feature"] >= 0:
+                at = tree.loc[at, "left" if x[i, tree.loc[at, "feature"]] <= tree.loc[at, "split"] else "right"]
+            paths.append(tree.loc[at, "path"])
+        assert found[i] == pytest.approx(np.mean(paths), abs=1e-12)
