@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ from logtide.operators.alerts import STATUS_COLUMNS
 from logtide.schemas import ALERT_HISTORY
 
 TRIES = 20
+FEW_ROWS = 100_000
 
 
 @dataclass
@@ -261,20 +262,27 @@ class SnapshotTable:
         return len(self.snapshot().folders())
 
 
-def last_by(keys: list[str], order: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+def last_by(keys: list[str], order: list[str], few: int = FEW_ROWS) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A merge that keeps the last row of each key by ``order``; ties by a hash of the row.
 
-    Base rows whose key is in no delta pass by; where the deltas' keys are few, Spark broadcasts them and the base is not shuffled.
+    Base rows whose key is in no delta pass by the keys of up to ``few`` delta rows, which are broadcast, and are not shuffled.
+    Beyond, all rows are dealt by key once, and only columns that are asked for.
     """
 
+    def last(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys]
+        plain = [c for c in rest if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]
+        # the hash is taken before the shuffle, so that columns nobody asks for stay behind
+        turned = rows.withColumn("_turn", F.struct(*order, F.xxhash64(*plain)))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_turn")))
+        return turned.withColumn("_place", place).where("_place = 1").select(*rows.columns)
+
     def merge(base: DataFrame, deltas: DataFrame) -> DataFrame:
-        changed = deltas.select(*keys).distinct()
-        rest = [c for c in base.columns if c not in keys]
-        plain = [c for c in rest if not isinstance(base.schema[c].dataType, (T.MapType, T.VariantType))]
+        if deltas.limit(few + 1).count() > few:
+            return last(base.unionByName(deltas))
+        changed = F.broadcast(deltas.select(*keys).distinct())
         again = base.join(changed, keys, "left_semi").select(*base.columns)
-        turn = F.struct(*order, F.xxhash64(*plain))
-        last = again.unionByName(deltas).groupBy(*keys).agg(F.max_by(F.struct(*rest), turn).alias("r")).select(*keys, "r.*")
-        return base.join(changed, keys, "left_anti").unionByName(last)
+        return base.join(changed, keys, "left_anti").select(*base.columns).unionByName(last(again.unionByName(deltas)))
 
     return merge
 

@@ -60,6 +60,25 @@ def test_clean_partitions_are_not_merged(spark, table):
     assert "PartitionFilters: [isnotnull(log_date" in physical
 
 
+def test_many_delta_rows_are_merged_in_one_pass(spark):
+    """Few delta rows let the base pass by a broadcast; many are dealt with the base once, without a join. Both give the same rows."""
+    base = [(f"i{i}", f"b{i}", i % 4 or None, i % 3 + 1) for i in range(60)]
+    deltas = [(f"i{i}", f"d{i}-{n}", n * i % 5 or None, i % 3 + 1) for i in range(0, 90, 2) for n in range(3)]
+    best = {}
+    for i, _, at, day in base + deltas:
+        best[i] = max(best.get(i, (-1, day)), (-1 if at is None else at, day))
+    found = []
+    for few, joins in ((0, 0), (10_000, 2)):
+        merge = snapshots.last_by(["log_date", "log_id"], ["processed_at"], few)
+        merged = merge(rows(spark, *base), rows(spark, *deltas))
+        found.append({(r["log_id"], r["level"], r["processed_at"], r["log_date"].day) for r in merged.collect()})
+        assert merged.count() == len(best)
+        plan = merged._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == plan.count("strategy=broadcast") == joins and plan.count("Window [") == 1
+    assert found[0] == found[1] <= set(base + deltas)  # ties fall the same way
+    assert {i: (-1 if at is None else at, day) for i, _, at, day in found[0]} == best
+
+
 def test_readers_keep_their_snapshot(spark, table):
     table.upsert(rows(spark, ("a", "1", 1, 1)))
     before = table.read()
