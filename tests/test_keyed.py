@@ -72,6 +72,26 @@ def test_rolling_count(spark):
     assert {i: n for i, n in got.items() if n is not None} == want and len(got) == 901
 
 
+def test_a_busy_service_is_dealt_by_slices(spark, monkeypatch):
+    """All rows are of one service: no group holds them all, and counts across slices and runs are those of the batch."""
+    rows = [(f"l{i}", "hot", BASE + dt.timedelta(seconds=20 * i, microseconds=i % 2)) for i in range(1080)]
+    logs = spark.createDataFrame(rows, "log_id string, service string, event_time timestamp")
+    parts = in_order(logs, "event_time", [3590, 9000])
+    found, _ = run(spark, parts, lambda s: keyed.rolling_count_stream(s, 90))
+    got = sorted((r["log_id"], r["request_count_last_60s"]) for r in found.collect())
+    assert got == sorted((r["log_id"], r["request_count_last_60s"]) for r in features.rolling_count(logs, 90).collect())
+
+    class Sizes(keyed.RollingCount):
+        def handleInputRows(self, key, rows, timerValues):
+            held = list(rows)
+            for counted in super().handleInputRows(key, iter(held), timerValues):
+                yield counted.assign(**{self.out: sum(map(len, held))})
+
+    monkeypatch.setattr(keyed, "RollingCount", Sizes)
+    found, _ = run(spark, [logs], lambda s: keyed.rolling_count_stream(s, 90))
+    assert found.count() == 1080 and found.agg(F.max("request_count_last_60s")).first()[0] <= 3600 // 20 + 90 // 20 + 1
+
+
 def test_redelivered_records_come_once(spark):
     """Again in the same batch, in the next one, after a restart; equal values at other places stay."""
     schema = "topic string, partition int, offset long, timestamp timestamp, value string"
